@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import neardup, substring
 from .common import read
 
 
@@ -12,5 +12,9 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup}
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op5_minhash_neardup": op5_minhash_neardup}
 ORACLE: dict[str, str] = {}

@@ -9,9 +9,9 @@ threshold of 0.85 meets in no table with a chance of 2.2e-5, at 0.9 of 3e-7.
    of any size are merged before any key is made.
 2. Keys of the small collections that only one class has are dropped, and with them every table they are in.
 3. In each table's bucket a pivot is compared with the other members: rows grow with the members, never
-   with pairs. Buckets whose members are not connected then get new pivots, until what pairs
-   are left between unconnected members of one bucket are few, at most ``PAIRS_PER_CLASS`` for each class;
-   these are compared directly. So every pair that meets in a bucket is compared or already connected.
+   with pairs. Buckets whose members are not connected then get new pivots, until the pairs that
+   are left in such buckets are few, at most ``PAIRS_PER_ROW`` for each row that the buckets had; those between
+   unconnected members are compared directly. So every pair that meets in a bucket is compared or already connected.
 4. Pairs are confirmed on the full shingle sets, by ``100 * intersection >= percent * union``.
 5. Components come from alternating rounds of large and small stars, over written tables.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, U, Grams, chunks, lists, longs, mix, release, row_key, spans, symbols, table
 
 WIDTH, PERCENT, TABLES, HALF = 5, 85, 12, 3
-PAIRS_PER_CLASS = 4
+PAIRS_PER_ROW = 8
 
 
 def _sets(data, off, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,14 +127,16 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
             out = out.select(F.col("p").alias("c"), F.col("m").alias("p")).union(low.select("c", F.col("m").alias("p")))
         return out.where("c <> p").distinct()
 
-    now = table(star(edges, False), name)
+    def mark(e: DataFrame):
+        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("c", "p").cast("decimal(20,0)"))).first()
+
+    now, seen = table(star(edges, False), name), None
     while True:
         new = table(star(star(now, True), False), name)
-        mark = [F.count(F.lit(1)), F.sum(F.xxhash64("c", "p").cast("decimal(20,0)"))]
-        same = new.agg(*mark).first() == now.agg(*mark).first()
+        last, seen = seen or mark(now), mark(new)
         release(now)
         now = new
-        if same:
+        if seen == last:
             return now.select(F.col("c").alias("node"), F.col("p").alias("label")).union(now.select(F.col("p").alias("node"), F.col("p").alias("label"))).distinct()
 
 
@@ -159,7 +161,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
     rows = table(rows.join(full, "bucket"), "buckets")
     near = (F.least("n", "n_p") * 100) >= (F.greatest("n", "n_p") * percent)
-    n_classes = own.count()
+    most = PAIRS_PER_ROW * rows.count()
     links = labels = None
 
     def confirm(pairs: DataFrame) -> None:
@@ -184,8 +186,9 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
         left = table(labelled(paired.where("c <> p").select("c", "n", "bucket")), "buckets")
         release(rows)
         rows = rows_now = left
-        pairs = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).agg(F.sum(F.expr("m * (m - 1) div 2"))).first()[0] or 0
-        if pairs <= PAIRS_PER_CLASS * n_classes:
+        members = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inside"))
+        pairs = members.agg(F.sum(F.expr("(m * m - inside) div 2"))).first()[0] or 0
+        if pairs <= most:
             break
     if pairs:
         q = rows.select("bucket", F.col("c").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))

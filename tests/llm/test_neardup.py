@@ -65,7 +65,7 @@ def test_families_chains_ties_nulls(spark, seed):
 
 
 def test_many_pairs_in_buckets_get_pivots(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PAIRS_PER_CLASS", 0)
+    monkeypatch.setattr(neardup, "PAIRS_PER_ROW", 0)
     r = random.Random(7)
     base = [f"w{i}" for i in range(60)]
     rows = []

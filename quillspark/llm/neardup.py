@@ -8,12 +8,14 @@ threshold of 0.85 meets in no table with a chance of 2.2e-5, at 0.9 of 3e-7.
 1. Documents with equal shingle sets become one class, known by a 128-bit hash of the set. Groups of copies
    of any size are merged before any key is made.
 2. Keys of the small collections that only one class has are dropped, and with them every table they are in.
-3. In each table's bucket a pivot is compared with the other members: rows grow with the members, never
-   with pairs. Buckets whose members are not connected then get new pivots, until the pairs that
-   are left in such buckets are few, at most ``PAIRS_PER_ROW`` for each row that the buckets had; those between
-   unconnected members are compared directly. So every pair that meets in a bucket is compared or already connected.
-4. Pairs are confirmed on the full shingle sets, by ``100 * intersection >= percent * union``.
-5. Components come from alternating rounds of large and small stars, over written tables.
+3. A class with ``r`` shingles that other candidates have too can share no more than ``r`` with any of them. This bound
+   (for similarity at the threshold, ``r`` must reach the share of both sizes) takes out classes that are too far from all others.
+4. In each bucket a pivot is compared with the other members: rows grow with the members, never with pairs. In buckets whose
+   members are not connected afterwards, members of different components that meet the bound are compared, each pair in the first bucket
+   that it shares. Buckets of more than ``DIRECT`` open members first get pivot after pivot, each compared with all others once, until
+   fewer are open. So every pair that meets in a bucket is compared, bounded away or already connected.
+   Pairs are confirmed on the full shingle sets, by ``100 * intersection >= percent * union``.
+5. Components come from stars within tasks of bounded size, joined by rounds of large and small stars over written tables.
 
 Defined cases: A-Z is lower-cased; a null or blank text has the empty set and is linked with nothing;
 fewer than ``width`` words make one shingle of all words; rows that share a doc_id are nodes of their own; a null
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, U, Grams, chunks, lists, longs, mix, release, row_key, spans, symbols, table
 
 WIDTH, PERCENT, TABLES, HALF = 5, 85, 12, 3
-PAIRS_PER_ROW = 8
+DIRECT, TASK_EDGES = 4096, 1_000_000
 
 
 def _sets(data, off, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +91,18 @@ def _sketch(width: int, tables: int, half: int):
     return run
 
 
+def _shingles(width: int):
+    """(shingle, class) rows."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, data, off in chunks(b.column("text")):
+                x, at = _sets(data, off, width)
+                yield pa.RecordBatch.from_arrays([longs(x), b.column("c")[lo:hi].take(pa.array(np.repeat(np.arange(hi - lo), np.diff(at))))], names=["s", "c"])
+
+    return run
+
+
 def _confirm(width: int, percent: int):
     """Keeps the pairs whose full sets are similar enough."""
 
@@ -111,11 +125,37 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _forest(batches):
+    """The edges of one task as stars: each node with the smallest node of its component."""
+    u, v = [], []
+    for b in batches:
+        u.append(np.asarray(b.column("c")))
+        v.append(np.asarray(b.column("p")))
+    if not u or not sum(map(len, u)):
+        return
+    nodes, at = np.unique(np.concatenate(u + v), return_inverse=True)
+    x, y = at[: len(at) // 2], at[len(at) // 2 :]
+    low = np.arange(len(nodes))
+    while True:
+        a, b = low[x], low[y]
+        new = low.copy()
+        np.minimum.at(new, a, b)
+        np.minimum.at(new, b, a)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    off = np.flatnonzero(low != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(nodes[low[off]])], names=["c", "p"])
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(node, label) of the nodes of ``edges`` (c, p): the label is the smallest node that is reachable.
+    """(node, label) of the nodes of ``edges`` (c, p), a written table: the label is the smallest node that is reachable.
 
-    Large-star then small-star rounds until no edge changes; the number of rounds follows the logarithm of
-    the longest path. Each round pre-aggregates by node and writes its edges."""
+    Tasks of ``TASK_EDGES`` edges at most first turn their edges into stars. If there is more than one such task, rounds
+    of large and small stars join them until no edge changes; the number of rounds follows the logarithm of
+    the longest path, nodes are pre-aggregated, and each round writes its edges."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("c", "p").union(e.select(F.col("p").alias("c"), F.col("c").alias("p"))) if large else e.select(F.greatest("c", "p").alias("c"), F.least("c", "p").alias("p"))
@@ -130,14 +170,18 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("c", "p").cast("decimal(20,0)"))).first()
 
-    now, seen = table(star(edges, False), name), None
-    while True:
+    tasks = edges.count() // TASK_EDGES + 1
+    now = table(edges.coalesce(tasks).mapInArrow(_forest, "c long, p long"), name)
+    seen = None
+    while tasks > 1:
         new = table(star(star(now, True), False), name)
         last, seen = seen or mark(now), mark(new)
         release(now)
         now = new
         if seen == last:
-            return now.select(F.col("c").alias("node"), F.col("p").alias("label")).union(now.select(F.col("p").alias("node"), F.col("p").alias("label"))).distinct()
+            break
+    roots = now.select(F.col("p").alias("node"), F.col("p").alias("label")).distinct()
+    return now.select(F.col("c").alias("node"), F.col("p").alias("label")).union(roots)
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: int = TABLES, half: int = HALF) -> DataFrame:
@@ -147,53 +191,66 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
     node = F.xxhash64("n_shingles", "s1", "s2")
     # A class is known by its hash; its smallest doc_id names it, and one of its rows lends text and keys.
     some = sketch.where("n_shingles > 0").withColumn("c", node)
-    classes = some.groupBy("c").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "th")).alias("of"))
-    classes = table(classes.join(some.select("c", "doc_id", "th", "n_shingles", "keys"), "c").where("doc_id <=> of.doc_id and th = of.th").dropDuplicates(["c"]).select("c", "first_doc", "doc_id", "th", "n_shingles", "keys"), "classes")
+    classes = table(some.groupBy("c").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "th", "n_shingles", "keys")).alias("of")).select("c", "first_doc", "of.doc_id", "of.th", "of.n_shingles", "of.keys"), "classes")
     keys = classes.select("c", F.explode("keys").alias("k"))
     shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
     own = keys.join(shared, "k").groupBy("c").agg(F.collect_list("k").alias("k"))
-    # Both collections of a class that share no key leave it without candidates.
+    # Classes without a shared key in both collections have no candidates.
     own = own.select("c", F.filter("k", lambda k: k.bitwiseAND(F.lit(1)) == 0).alias("a"), F.filter("k", lambda k: k.bitwiseAND(F.lit(1)) == 1).alias("b")).where("size(a) > 0 and size(b) > 0")
     own = table(own.join(classes.select("c", "doc_id", "th", "n_shingles"), "c"), "candidates")
     d = docs.alias("d")
     texts = table(d.join(own.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.th") == F.col("o.th"))).select("o.c", "d.text").dropDuplicates(["c"]), "texts")
-    rows = own.select("c", "n_shingles", F.explode("a").alias("a"), "b").select("c", "n_shingles", "a", F.explode("b").alias("b")).select("c", F.col("n_shingles").alias("n"), F.xxhash64("a", "b").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
-    rows = table(rows.join(full, "bucket"), "buckets")
-    near = (F.least("n", "n_p") * 100) >= (F.greatest("n", "n_p") * percent)
-    most = PAIRS_PER_ROW * rows.count()
+    lone = texts.mapInArrow(_shingles(width), "s long, c long").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).where("n = 1").groupBy("c").agg(F.count(F.lit(1)).alias("lone"))
+    bounded = own.join(lone, "c", "left").select("c", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("r"), "a", "b").where(F.col("r") * 100 >= F.col("n") * percent)
+    bounded = table(bounded, "bounded")
+
+    def rows(classes: DataFrame, *names: str) -> DataFrame:
+        """A row for each class and table."""
+        return classes.select(*names, "a", "b", F.explode("a").alias("ka")).select(*names, "a", "b", "ka", F.explode("b").alias("kb")).withColumn("bucket", F.xxhash64("ka", "kb"))
+
+    # |x & y| <= r and |x | y| >= |x| + |y| - r, for the smaller r of both
+    near = F.least("r", "r_p") * (100 + percent) >= (F.col("n") + F.col("n_p")) * percent
+    # Pivots are the members that share most with others, then by class.
+    place = F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("f"), F.col("c")).alias("o")
     links = labels = None
 
     def confirm(pairs: DataFrame) -> None:
         nonlocal links, labels
         pairs = pairs.select(F.least("c", "p").alias("c"), F.greatest("c", "p").alias("p")).distinct()
         side = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"text_{x}"))
-        sure = table(pairs.join(side("c"), "c").join(side("p"), "p").select("c", "p", "text_c", "text_p").mapInArrow(_confirm(width, percent), "c long, p long"), "links")
-        links = sure if links is None else table(links.union(sure), "links")
+        sure = pairs.join(side("c"), "c").join(side("p"), "p").select("c", "p", "text_c", "text_p").mapInArrow(_confirm(width, percent), "c long, p long")
+        # Stars of the components so far stand for the links that made them.
+        links = table(sure if labels is None else sure.union(labels.where("node <> label").select(F.col("node").alias("c"), F.col("label").alias("p"))), "links")
         labels = table(components(links), "labels")
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        """Rows of the buckets that still hold more than one component."""
-        got = rows.drop("label").join(labels, rows["c"] == labels["node"], "left").select("c", "n", "bucket", F.coalesce("label", "c").alias("label"))
-        open_ = got.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        return got.join(open_, "bucket")
-
-    rows_now = rows.withColumn("label", F.col("c"))
-    while True:
-        pivots = rows_now.groupBy("bucket").agg(F.min(F.struct("c", "n", "label")).alias("p")).select("bucket", F.col("p.c").alias("p"), F.col("p.n").alias("n_p"), F.col("p.label").alias("label_p"))
-        paired = rows_now.join(pivots, "bucket")
-        confirm(paired.where("c <> p and label <> label_p").where(near).select("c", "p"))
-        left = table(labelled(paired.where("c <> p").select("c", "n", "bucket")), "buckets")
-        release(rows)
-        rows = rows_now = left
-        members = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inside"))
-        pairs = members.agg(F.sum(F.expr("(m * m - inside) div 2"))).first()[0] or 0
-        if pairs <= most:
-            break
-    if pairs:
-        q = rows.select("bucket", F.col("c").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))
-        confirm(rows.join(q, "bucket").where("c < p and label <> label_p").where(near).select("c", "p"))
-    release(rows)
+    def with_pivot(r: DataFrame, members: int = 1) -> DataFrame:
+        pivots = r.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(place, "n", "r")).alias("p")).where(F.col("members") > members)
+        return r.join(pivots.select("bucket", F.col("p.o").alias("o_p"), F.col("p.o.c").alias("p"), F.col("p.n").alias("n_p"), F.col("p.r").alias("r_p")), "bucket")
+
+    def unconnected(done: DataFrame | None) -> DataFrame:
+        """Rows of buckets with more than one component, without the pivots that are done with."""
+        now = bounded.join(labels, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c"))
+        r = rows(now, "c", "n", "r", "label")
+        if done is not None:
+            r = r.join(done, "bucket", "left").where(F.col("last").isNull() | (place > F.col("last"))).drop("last")
+        open_ = r.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+        return table(r.join(open_, "bucket"), "open")
+
+    confirm(with_pivot(rows(bounded, "c", "n", "r").select("c", "n", "r", "bucket")).where("c <> p").where(near))
+    done, left = None, unconnected(None)
+    while not left.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > DIRECT).isEmpty():
+        seen = table(with_pivot(left, DIRECT).select("c", "n", "r", "bucket", "p", "o_p", "n_p", "r_p"), "pivots")
+        confirm(seen.where("c <> p").where(near))
+        last = seen.groupBy("bucket").agg(F.max("o_p").alias("last"))
+        done = table(last if done is None else done.union(last).groupBy("bucket").agg(F.max("last").alias("last")), "done")
+        release(left, seen)
+        left = unconnected(done)
+    other = left.select("bucket", *[F.col(x).alias(f"{x}_p") for x in ("n", "r", "label", "a", "b")], F.col("c").alias("p"))
+    first = (F.get(F.array_intersect("a", "a_p"), F.lit(0)) == F.col("ka")) & (F.get(F.array_intersect("b", "b_p"), F.lit(0)) == F.col("kb"))
+    if done is not None:  # a pair's first bucket may be one where its pivot is done with, which has compared it
+        first = F.lit(True)
+    confirm(left.join(other, (left["bucket"] == other["bucket"]) & (left["c"] < other["p"]) & (left["label"] != other["label_p"]) & near & first).select("c", "p"))
+    release(left)
     named = classes.select("c", "first_doc").join(labels, F.col("c") == F.col("node"), "left").select("c", "first_doc", F.coalesce("label", "c").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     named = named.join(smallest, "label").select("c", "component_id")

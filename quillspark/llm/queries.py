@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, substring
-from .common import read
+from . import chat, licenses, neardup, pieces, quality, spotsigs, substring, tokens, urls
+from .common import read, shared_dir
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +18,43 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op5_minhash_neardup": op5_minhash_neardup}
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(read(spark, sf_dir, "conversations"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    tokens.write_ids(read(spark, sf_dir, "documents"), path, end_id=1)
+    return tokens.Reader(spark, path).index()
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.report(read(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.pack(read(spark, sf_dir, "documents"), capacity=2048, end_id=0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat_format, op2_sentencepiece, op3_substring_dedup, op4_quality_rules, op5_minhash_neardup, op6_token_files, op7_url_filter, op8_spotsigs, op9_license_scan, op10_best_fit_packing)
+}
+#: DuckDB cannot express any of these whole (hash sketches, trained cutoffs, tokenizers): tests hold them against brute force.
 ORACLE: dict[str, str] = {}

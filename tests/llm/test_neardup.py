@@ -65,7 +65,7 @@ def test_families_chains_ties_nulls(spark, seed):
 
 
 def test_many_pairs_in_buckets_get_pivots(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(neardup, "DIRECT", 5)
     r = random.Random(7)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -77,6 +77,20 @@ def test_many_pairs_in_buckets_get_pivots(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_components_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TASK_EDGES", 15)
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 20)] + [(100 + r.randrange(20), 100 + r.randrange(20)) for _ in range(25)]
+    edges = [(a, b) for a, b in edges if a != b]
+    r.shuffle(edges)
+    up = {x: x for e in edges for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = neardup.components(neardup.table(spark.createDataFrame(edges, "c long, p long").repartition(5), "edges"))
+    assert {tuple(x) for x in got.collect()} == set(up.items())
+
+
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, c string, th int, n_shingles int")
     assert neardup.report(df).collect() == []

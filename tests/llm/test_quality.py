@@ -86,7 +86,7 @@ def test_cutoffs_are_certified_and_used(spark):
         rows.append((i, " ".join(w), "en" if i % 3 else None))
         labels.append((i, 0 if bad else 1))
     rows += [(None, "x y z " * 40, "en"), (7, None, "en"), (8, "", "de"), (9, "a\nb\n\na\n \na", "de"), (10, "one two\x0bthree " * 3000, "de"), (11, "É" * 70, "fr")]
-    labels += [(0, None), (None, 1), (5, 1), (5, 0)]
+    labels += [(0, None), (None, 1), (6, 1), (6, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("w", F.lit(1)).withColumn("lines", F.lit("k"))
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
     want, cut = brute(rows, labels)

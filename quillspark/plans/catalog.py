@@ -132,7 +132,7 @@ def copy_slip(spark, d):
 @query("SELECT doc_id FROM documents WHERE nfc_normalize(t || text) <> t || text".replace("FROM documents", "FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'e' || chr(769) ELSE 'é' END AS t FROM documents)"))
 def not_nfc(spark, d):
     """Composition is judged on both texts together."""
-    t = F.when(F.col("doc_id") % 2 == 0, F.lit("é")).otherwise(F.lit("é"))
+    t = F.when(F.col("doc_id") % 2 == 0, F.lit("e\u0301")).otherwise(F.lit("\u00e9"))
     return read(spark, d, "documents").where(text.not_nfc(t, F.col("text"))).select("doc_id")
 
 
@@ -512,7 +512,7 @@ def regroup_nested(spark, d):
     return g.select("l_orderkey", F.posexplode("x").alias("i", "x")).select("l_orderkey", (F.col("i") + 1).cast("long").alias("at"), "x.l_partkey", "x.l_quantity")
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ ]')), ' ') AS joined FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ ]')), ' ') AS joined FROM documents")
 def join_parts(spark, d):
     """N15."""
     return read(spark, d, "documents").select("doc_id", text.join_parts(F.split("text", "\n")).alias("joined"))

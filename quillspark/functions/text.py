@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 # Character sets.
 WS = "\\x{09}-\\x{0d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
-HASANT, ZWNJ, ZWJ, ZWSP, BOM, NBSP, DAARI = "্", "‌", "‍", "​", "﻿", " ", "।"
+HASANT, ZWNJ, ZWJ, ZWSP, BOM, NBSP, DAARI = "্", "\u200c", "\u200d", "\u200b", "\ufeff", "\u00a0", "।"
 TERMINAL = "।॥.!?,;:…|\"'‘’“”"
 BANGLA_DIGITS = "০১২৩৪৫৬৭৮৯"
 

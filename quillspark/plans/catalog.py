@@ -38,7 +38,7 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 TYPES = list(vocab.GROUPS)
 _TYPES_SQL = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
 #: Injected characters: the test tables hold none that cleaning changes.
-ODD = " ‌ক্‍য‍ Café ​ x3﻿ । \""
+ODD = "\u00a0\u200cক্\u200dয\u200d Café \u200b x3\ufeff । \""
 
 
 def qa_items(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ _VIS = r"regexp_replace(raw, '[\x{200b}\x{feff}\x{a0}]', '', 'g')"
 
 
 @query(rf"""WITH r AS (SELECT {_RAW} AS raw FROM documents), a AS (SELECT *, {_VIS} AS v, {S.joiners(_VIS)} AS j FROM r WHERE raw <> '')
-SELECT count(*) AS fields_seen, sum(contains(raw, '​')::INT + contains(raw, '﻿')::INT + contains(raw, ' ')::INT)::BIGINT AS stripped_invisible, count_if(j <> v)::BIGINT AS fields_with_inert_joiner,
+SELECT count(*) AS fields_seen, sum(contains(raw, chr(8203))::INT + contains(raw, chr(65279))::INT + contains(raw, chr(160))::INT)::BIGINT AS stripped_invisible, count_if(j <> v)::BIGINT AS fields_with_inert_joiner,
   sum(length(v) - length(j))::BIGINT AS inert_joiners_removed, sum(len(regexp_extract_all(v, '\x{{09cd}}[\x{{200c}}\x{{200d}}]')))::BIGINT AS functional_joiners_kept, count_if(nfc_normalize(j) <> j)::BIGINT AS nfc_changed,
   count_if({S.squeeze("nfc_normalize(j)")} <> nfc_normalize(j))::BIGINT AS whitespace_changed, count_if({S.squeeze("nfc_normalize(j)")} <> raw)::BIGINT AS fields_changed FROM a""")
 def text_audit(spark, d):

@@ -41,7 +41,7 @@ def merged(spark, tmp_path):
     (tmp_path / "a1.json").write_text(json.dumps(one))
     (tmp_path / "a2.json").write_text(json.dumps(two))
     (tmp_path / "a3.json").write_text('[{"id": 1')
-    (tmp_path / "assign.csv").write_bytes("﻿house_id,annotator_name,annotator_id\nh01,x,A1\nH02,y,A0\n H02 ,y, A2 \n".encode())
+    (tmp_path / "assign.csv").write_bytes("\ufeffhouse_id,annotator_name,annotator_id\nh01,x,A1\nH02,y,A0\n H02 ,y, A2 \n".encode())
     (tmp_path / "man.csv").write_text("image_id,final_width,final_height\nH01_0001,1000,500\nH01_0002,,\nH02_0003,640,480\nH02_0006,1,1\nH09_0009,5.0,x\n")
     tasks, bad = readers.exports(spark, [f"{tmp_path}/a*.json", f"{tmp_path}/gone.json"])
     assert sorted(r.file.rsplit("/", 1)[1] for r in bad.collect()) == ["a3.json", "gone.json"]
@@ -83,7 +83,7 @@ def test_boxes_numbers_and_problems(merged):
     assert (clip.out_of_frame, clip.clipped, clip.empty_after_clip, clip.dropped_degenerate) == (4, 4, 1, 2)
     assert [r.object_id for r in merge.worst_boxes(m.all_records, 2).collect()] == ["H02_0004_b1", "H03_0007_b3"]
     assert [tuple(r) for r in merge.room_fixes(m.all_records).collect()] == [("H01_0002", "bedroom")]
-    assert merge.text_audit(m.tasks).first().fields_seen == 34
+    assert merge.text_audit(m.tasks).first().fields_seen == 36
 
 
 def test_report_and_release_files(merged, spark, tmp_path):

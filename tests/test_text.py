@@ -21,9 +21,9 @@ def test_scoring_cleaner_examples(spark):
         ("  " + ACHAR + "   আছে  ।", ACHAR + " আছে"),
         ("Fridge.", "fridge"),
         ("3টি", "৩টি"),
-        ("ক‌খ", "কখ"),
-        ("র্‍য", "র্‍য"),
-        (ACHAR + "​", ACHAR),
+        ("ক\u200cখ", "কখ"),
+        ("র্\u200dয", "র্\u200dয"),
+        (ACHAR + "\u200b", ACHAR),
         (None, ""),
         ("a . .", "a"),
         ("১॥|”", "১"),
@@ -42,30 +42,30 @@ def test_matches(spark):
 
 def py_score(t):
     t = unicodedata.normalize("NFC", t)
-    t = re.sub("(?<!্)[‌‍]", "", t)
-    t = re.sub(r"\s+", " ", t.replace("​", " ").replace("﻿", " ")).strip()
+    t = re.sub("(?<!্)[\u200c\u200d]", "", t)
+    t = re.sub(r"\s+", " ", t.replace("\u200b", " ").replace("\ufeff", " ")).strip()
     return t.rstrip(text.TERMINAL + " \t").lower().translate(str.maketrans("0123456789", text.BANGLA_DIGITS))
 
 
 def py_store(t):
-    for c in "​﻿ ":
+    for c in "\u200b\ufeff\u00a0":
         t = t.replace(c, "")
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", re.sub("(?<!্)[‌‍]", "", t))).strip()
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", re.sub("(?<!্)[\u200c\u200d]", "", t))).strip()
 
 
 @pytest.mark.parametrize("f,g", [(text.clean_for_scoring, py_score), (text.clean_for_storage, py_store), (text.strip, str.strip), (text.word_count, lambda t: len(t.split()))])
 def test_against_python_on_random_text(spark, f, g):
     r = random.Random(8)
     spaces = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x3000)]
-    alphabet = spaces + list("​﻿‌‍়্যয়কা।॥.!?,;:…|\"'’éAZb09६é")
+    alphabet = spaces + list("\u200b\ufeff\u200c\u200d়্যয়কা।॥.!?,;:…|\"'’”éAZb09৬é")
     values = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(3000)]
     assert column(spark, values, f) == [g(v) for v in values]
 
 
 def test_audit_counts(spark):
-    df = spark.createDataFrame([("a​​b﻿",), ("ক‌্‍‌",), ("é  x ",), ("",), (None,), ("plain",)], "t string")
+    df = spark.createDataFrame([("a\u200b\u200bb\ufeff",), ("ক\u200c্\u200d\u200c",), ("é\u00a0 x ",), ("",), (None,), ("plain",)], "t string")
     out = df.select(*[c.alias(k) for k, c in text.storage_audit(F.col("t")).items()]).agg(*[F.sum(k).alias(k) for k in text.storage_audit(F.col("t"))]).first().asDict()
-    assert out == {"fields_seen": 4, "stripped_invisible": 2, "fields_with_inert_joiner": 1, "inert_joiners_removed": 2, "functional_joiners_kept": 1, "nfc_changed": 1, "whitespace_changed": 1, "fields_changed": 3}
+    assert out == {"fields_seen": 4, "stripped_invisible": 3, "fields_with_inert_joiner": 1, "inert_joiners_removed": 2, "functional_joiners_kept": 1, "nfc_changed": 1, "whitespace_changed": 1, "fields_changed": 3}
 
 
 def test_scalars(spark):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, release, row_key, table
 
-CACHE_WORDS = 400_000
+#: Words in one generation of the cache, of which there are two.
+CACHE_WORDS = 500_000
 #: The dictionary is trained on so many documents of at most so many characters, those of the smallest hashes.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 2000, 16_000, 65_536, 3
 SEGMENT_BYTES, SEGMENT_DOCS = 1 << 20, 4096
@@ -34,22 +36,54 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    New words are taken apart further: A-Z is lower-cased, as the tokenizer does itself, and trailing punctuation after a letter is
+    a word of its own to it. Words of letters only are encoded many at a time; the tokens that end words part them again."""
+
+    TAIL, JOINED = b".,!?;:", 200
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(vocabulary), {}
+        self.tokenizer, self.known, self.before, self.cores = Tokenizer.from_file(vocabulary), {}, {}, {}
+        tokens = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        letters, others = [], []
+        for w in words:
+            (letters if w.decode().isalpha() else others).append(w)
+        groups = [letters[i : i + self.JOINED] for i in range(0, len(letters), self.JOINED)]
+        for g, ids in zip(groups, self._batch([b" ".join(g).decode() for g in groups])):
+            at = np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1
+            if len(at) != len(g):  # a letter of Python's that is none of the tokenizer's
+                others += g
+                continue
+            at = [0, *(4 * at).tolist()]
+            self.cores.update(zip(g, [ids[x:y] for x, y in zip(at, at[1:])]))
+        self.cores.update(zip(others, self._batch([w.decode() for w in others])))
 
     def words(self, texts: list[list[bytes]]) -> list[bytes]:
-        known = self.known
-        new = list({w for t in texts for w in t if w not in known})
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list({w for t in texts for w in t})
-            for w, x in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(x.ids, "<u4").tobytes()
+        if len(self.known) > CACHE_WORDS:  # words in use move on to the next generation when they are met again
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        new = set().union(*texts).difference(known)
+        for w in new.intersection(before):
+            known[w] = before[w]
+        parts = {}
+        for w in new.difference(before):
+            low = w if b"<" in w else w.lower()  # special tokens are matched as they stand
+            core = low.rstrip(self.TAIL)
+            parts[w] = (core, low[len(core) :]) if core and 97 <= core[-1] <= 122 and b"<" not in w else (low, b"")
+        self.cores = cores = {b"": b""}
+        self._learn(list({x for pair in parts.values() for x in pair if x}))
+        for w, (core, tail) in parts.items():
+            known[w] = cores[core] + cores[tail]
         return [b"".join([known[w] for w in t]) for t in texts]
 
     def texts(self, col: pa.Array):

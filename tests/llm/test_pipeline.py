@@ -35,6 +35,20 @@ def test_each_stage_equals_brute_force(spark, sf_dir):
     verify([tuple(r) for r in four.collect()], 2048, [(r.doc_id, r.text) for r in three.collect()])
 
 
+def test_near_copies_from_080_to_085_are_linked(spark, sf_dir):
+    words = [f"w{i}" for i in range(100)]
+    # Three words changed far from one another: 81 of 111 shingles (0.73); two: 86 of 106 (0.81).
+    copies = [" ".join("x" if i in at else w for i, w in enumerate(words)) for at in ((), (30, 60), (20, 50, 80))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(copies)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.minhash_neardup(spark, docs, sf_dir).collect()) == [0, 2]
+
+
+def test_near_dedup_stage_equals_brute_force_at_080(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = [x[0] for x in near_brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 80) if x[3]]
+    assert sorted(r.doc_id for r in corpus_pipeline.minhash_neardup(spark, docs, sf_dir).collect()) == sorted(want)
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048

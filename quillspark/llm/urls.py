@@ -4,7 +4,9 @@ Host names are segmented by unigram Viterbi: word counts of the pages' visible t
 probabilities, and letters that no word covers cost more the longer the run. Segmented host words and path tokens
 feed a multinomial naive Bayes model, trained on the urls that rules decide, of which all are counted.
 
-``VOCABULARY`` bounds both models: so many words (by count, then by word) are kept, the others are unknown.
+No count is cut. All words of the pages are counted in Spark, and the total is over all of them; the dictionary that the workers
+get holds those that are part of a word of some url, as no other can be of use, with their whole counts. It and the token counts
+grow with the distinct words of the urls, not with the pages' text.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and the verdict of its (no) words; rules
 of equal length: the one with the longer host, then the smaller string; if the rules decide no url, the verdict
@@ -20,7 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY, MAX_WORD = 50_000, 20
+from .common import release, table
+
+#: So many substrings are held at a time.
+HELD = 100_000
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
@@ -46,8 +51,9 @@ def by_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 class Segmenter:
     """Splits concatenated names into the words of the greatest likelihood."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total`` is the sum of all counts, if ``counts`` has only some of them."""
+        total = (sum(counts.values()) if total is None else total) + 1
         self.score = {w: math.log(c / total) for w, c in counts.items()}
         self.longest = max(map(len, counts), default=1)
         self.unknown = math.log(1 / total)
@@ -70,27 +76,53 @@ class Segmenter:
         return tuple(reversed(out))
 
 
+def names(text: str) -> list[str]:
+    """The runs of letters and the runs of digits."""
+    out, word = [], ""
+    for c in text.lower() + "/":
+        if c.isalnum() and (not word or word[-1].isdigit() == c.isdigit()):
+            word += c
+            continue
+        if word:
+            out.append(word)
+        word = c if c.isalnum() else ""
+    return out
+
+
 def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
     """Words of host and path; numbers count by their number of digits."""
     out: list[str] = []
     for side, text in (("h", host), ("p", path)):
-        word = ""
-        for c in text.lower() + "/":
-            if c.isalnum() and (not word or word[-1].isdigit() == c.isdigit()):
-                word += c
-                continue
-            if word:
-                out += [f"{side}:#{len(word)}"] if word.isdigit() else [f"{side}:{w}" for w in segmenter.split(word)]
-            word = c if c.isalnum() else ""
+        for word in names(text):
+            out += [f"{side}:#{len(word)}"] if word.isdigit() else [f"{side}:{w}" for w in segmenter.split(word)]
     return out
 
 
-def _tokens(counts: dict[str, int]):
+def _parts(lengths: list[int]):
+    """The substrings of these lengths of the words of host and path; some come more than once."""
+
+    def run(batches):
+        for b in batches:
+            words = {w for c in ("host", "path") for x in b.column(c).to_pylist() for w in names(x) if not w.isdigit()}
+            out: set[str] = set()
+            for w in words:
+                for n in lengths:
+                    for i in range(len(w) - n + 1):
+                        out.add(w[i : i + n])
+                        if len(out) >= HELD:
+                            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["w"])
+                            out = set()
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["w"])
+
+    return run
+
+
+def _tokens(counts: dict[str, int], total: int):
     made: list[Segmenter] = []
 
     def run(batches):
         if not made:
-            made.append(Segmenter(counts))
+            made.append(Segmenter(counts, total))
         for b in batches:
             out = [tokens(h, p, made[0]) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
             yield b.append_column("tokens", pa.array(out, pa.list_(pa.string())))
@@ -98,24 +130,38 @@ def _tokens(counts: dict[str, int]):
     return run
 
 
-def word_counts(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words of all pages' visible text."""
+def counted(pages: DataFrame) -> DataFrame:
+    """w and n: all words of all pages' visible text."""
     visible = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), r"(?s)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]*>", " ")
-    words = pages.select(F.explode(F.regexp_extract_all(visible, F.lit(r"\p{L}+"), 0)).alias("w")).where(F.length("w") <= MAX_WORD)
-    return {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()}
+    return pages.select(F.explode(F.regexp_extract_all(visible, F.lit(r"\p{L}+"), 0)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+
+def word_counts(pages: DataFrame) -> dict[str, int]:
+    """All of ``counted``, for small tables."""
+    return {r["w"]: r["n"] for r in counted(pages).collect()}
+
+
+def dictionary(pages: DataFrame, urls: DataFrame) -> tuple[dict[str, int], int]:
+    """The counts of all words that are part of a word of (host, path) of ``urls``, and the sum of all counts."""
+    words = table(counted(pages), "words")
+    sizes = words.groupBy(F.length("w").alias("length")).agg(F.sum("n").alias("n")).collect()
+    substrings = urls.select("host", "path").distinct().mapInArrow(_parts(sorted(r["length"] for r in sizes)), "w string").distinct()
+    counts = {r["w"]: r["n"] for r in words.join(substrings, "w").collect()}
+    release(words)
+    return counts, sum(r["n"] for r in sizes)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, size: int = VOCABULARY) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds of block), words of the host."""
     host, path = parts(F.col("url"))
     urls = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     urls = urls.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"))
-    cut = urls.mapInArrow(_tokens(word_counts(pages, size)), "page_id long, host string, path string, rule string, said string, tokens array<string>")
+    cut = urls.mapInArrow(_tokens(*dictionary(pages, urls)), "page_id long, host string, path string, rule string, said string, tokens array<string>")
     taught = cut.where("said is not null")
     sums = {r["said"]: (r["urls"], r["tokens"]) for r in taught.groupBy("said").agg(F.count(F.lit(1)).alias("urls"), F.sum(F.size("tokens")).alias("tokens")).collect()}
     seen = taught.select("said", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if(F.col("said") == "block").alias("block"), F.count_if(F.col("said") == "allow").alias("allow"))
-    model = {r["token"]: (r["block"], r["allow"]) for r in seen.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(size).collect()}
+    model = {r["token"]: (r["block"], r["allow"]) for r in seen.collect()}
     return cut.mapInArrow(_verdict(model, sums), "page_id long, host string, path string, rule string, verdict string, score double, words string")
 
 

@@ -1,6 +1,7 @@
 import itertools
 import math
 import re
+from collections import Counter
 
 from quillspark.llm import queries, urls
 
@@ -61,3 +62,32 @@ def test_segmenter_equals_brute_force():
         for name in map("".join, itertools.product("abc", repeat=n)):
             best = max(sum(cost(name[i:j]) for i, j in itertools.pairwise([0, *cuts, n])) for k in range(n) for cuts in itertools.combinations(range(1, n), k))
             assert abs(sum(map(cost, s.split(name))) - best) < 1e-9 and "".join(s.split(name)) == name
+
+
+def letters(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+
+def test_no_count_is_cut(spark):
+    # 60,000 words, of which the last is the rarest, and one of more than 20 letters.
+    often, long = [letters(i) for i in range(60_000)], "zyxwvutsrqponmlkjihgfedcba"
+    rare = often[-1]
+    pages = spark.createDataFrame([(1, f"x://{rare}{long}.net/de/", " ".join([*often, *often[:-1], long]))], "page_id long, url string, html string")
+    counts = urls.word_counts(pages)
+    assert len(counts) == 60_001 and counts[rare] == counts[long] == 1
+    some, total = urls.dictionary(pages, spark.createDataFrame([(f"{rare}{long}.net", "/de/")], "host string, path string"))
+    assert total == sum(counts.values()) and {rare, long} <= set(some) and all(counts[w] == n for w, n in some.items())
+    [row] = urls.judge(pages).collect()
+    assert row.words.split()[:2] == [rare, long]
+
+
+def test_all_tokens_are_weighed(spark):
+    ids = [letters(i) for i in range(60_000)]
+    pages = spark.createDataFrame([(1, "x://net/de/" + "/".join(ids), " ".join(ids)), (2, f"x://other.org/{ids[-1]}", None)], "page_id long, url string, html string")
+    score = {r.page_id: r.score for r in urls.judge(pages).collect()}
+    segmenter = urls.Segmenter(urls.word_counts(pages))
+    taught = Counter(urls.tokens("net", "/de/" + "/".join(ids), segmenter))
+    size, want = len(taught) + 1, math.log(1 / 2)
+    for t in urls.tokens("other.org", f"/{ids[-1]}", segmenter):
+        want += math.log(1 / size) - math.log((taught[t] + 1) / (sum(taught.values()) + size))
+    assert size > 50_001 and abs(score[2] - want) < 1e-9

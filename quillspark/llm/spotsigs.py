@@ -1,11 +1,11 @@
 """SpotSigs fingerprints, in DataFrame functions only.
 
 A signature is a common word (anchor) with the next ``CHAIN`` content words that follow within ``REACH`` words; content words are
-those that are no anchors. A document's fingerprint is the digest of its set of distinct signatures. Two sets are compared by
-Jaccard similarity, after the bound that their sizes give: it is never above the smaller size by the larger.
+those that are no anchors. A document's fingerprint is the digest of its set of distinct signatures. ``report`` compares given
+pairs of sets by plain Jaccard similarity, as each pair's exact value is asked for; sizes bound nothing there.
 
 ``join`` finds all similar pairs of classes of equal sets: sets are partitioned by size, so that similar sets are in one partition or in
-neighbouring ones, and a pair is compared if it shares one of the rarest signatures of both that the threshold
+neighbouring ones, and a pair whose sizes leave room for the threshold is compared if it shares one of the rarest signatures of both that the threshold
 leaves room for (prefix filtering), which loses none.
 
 Defined cases: words are runs of letters and digits, lower-cased; a text without any signature has its distinct words

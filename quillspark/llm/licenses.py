@@ -24,13 +24,35 @@ WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 GAP = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices in markup; the label, the wording, and a mandatory word to search for.
+#: Whole licences, with conditions and disclaimer.
+MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to
+the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in
+all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied
+including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event
+shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or
+otherwise arising from out of or in connection with the software or the use or other dealings in the software"""
+BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the
+following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the
+following disclaimer in the documentation and or other materials provided with the distribution [[ [[3]] neither the name of {{12}}
+nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+written permission ]] this software is provided by {{12}} as is and any express or implied warranties including but not limited to
+the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{12}} be liable
+for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute
+goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in
+contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if
+advised of the possibility of such damage"""
+#: Notices and licences in markup; an ``-opening`` is a licence's first clause alone, which says nothing of the terms behind it; the label, the wording, and a mandatory word to search for.
 TEMPLATES = [
     ("apache", "[[licensed under]] [[the]] apache license [[version]] [[2 0]]", "apache"),
     ("apache-2.0", "licensed under [[the terms of]] the apache license version 2 0 [[the license]]", "apache"),
     ("mit", "[[released]] [[licensed]] [[distributed]] under [[the terms of]] the mit license", "mit"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that", "redistribution"),
+    ("mit-opening", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby"),
+    ("mit", MIT, "hereby"),
+    ("bsd-opening", "redistribution and use in source and binary forms with or without modification are permitted provided that", "redistribution"),
+    ("bsd", BSD, "redistribution"),
     ("gpl-3.0", "[[this {{3}} is]] licensed under [[the terms of]] the gnu general public license [[as published by the free software foundation]] [[either]] version 3", "gnu"),
     ("cc-by-nc", "[[licensed under]] [[a]] [[the]] cc by nc [[sa]] [[nd]] [[4 0]]", "nc"),
     ("cc-by-sa", "[[licensed under]] [[a]] [[the]] cc by sa [[4 0]]", "sa"),

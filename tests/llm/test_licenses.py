@@ -58,6 +58,19 @@ def test_templates(spark):
     assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == {k: v for k, (_, v) in texts.items()}
 
 
+def test_openings_are_no_licences(spark):
+    plain = lambda t, who: re.sub(r"\[\[|\]\]", "", t).replace("{{12}}", who)
+    mit, bsd = plain(licenses.MIT, ""), plain(licenses.BSD, "the copyright holders")
+    two = re.sub(r"(?s)3 neither.*?written\s+permission", "", bsd)
+    assert two != bsd
+    texts = [(mit, "mit,mit-opening"), (bsd, "bsd,bsd-opening"), (two, "bsd,bsd-opening")]
+    for t, opening in ((mit, "mit-opening"), (bsd, "bsd-opening"), (two, "bsd-opening")):
+        w = t.split()
+        texts += [(" ".join(w[:-1]), opening), (" ".join([*w[:40], "never", *w[40:]]), opening)]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == {k: v for k, (_, v) in enumerate(texts)}
+
+
 def expand(template):
     """Every wording of a small template."""
     parts = re.findall(r"\[\[[^\[\]]*\]\]|\{\{\d+\}\}|\S+", template)

@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspark.llm import queries, tokens
@@ -26,7 +28,7 @@ def test_encoder_equals_library(spark):
     e = tokens.Encoder(tokens.default_vocabulary())
     r = random.Random(1)
     texts = [x or "" for x in ODD] + ["".join(r.choice(" \n\tabcXYZ'1é́!.<|> ß") for _ in range(200)) for _ in range(200)]
-    for got, want in zip(e.words([t.encode().split() for t in texts]), ids_of(texts)):
+    for got, want in zip([x for _, some in e.texts(pa.array(texts)) for x in some], ids_of(texts)):
         assert np.frombuffer(got, "<u4").tolist() == want
 
 
@@ -51,6 +53,8 @@ def test_files_of_odd_rows(spark, tmp_path):
     assert sorted(((r[0], r[2], r[3]) for r in got), key=str) == want
     some = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in reader.documents(only=[9, 103]).collect()}
     assert some == {9: [1], 103: [*ids_of([ODD[11]])[0], 1]}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    assert "GreaterThanOrEqual(last_doc,9)" in reader.documents(only=[9, 103])._jdf.queryExecution().toString()
     tokens.write_ids(df.limit(0), str(tmp_path / "e"))
     assert tokens.Reader(spark, str(tmp_path / "e")).index().collect() == []
 
@@ -106,3 +110,39 @@ def test_plan_fills_exactly():
     assert [(sorted(p), n) for p, n in tokens.plan({5: 1, 2: 2, 1: 1}, 10)] == [([1, 2, 2, 5], 1)]
     with pytest.raises(ValueError):
         tokens.plan({11: 1}, 10)
+
+
+def test_damaged_files_and_other_dictionaries_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"some words of text {i}") for i in range(5)], "doc_id long, text string")
+    tokens.write_ids(df, str(tmp_path / "a"))
+    tokens.write_ids(df.withColumn("text", F.concat("text", F.lit(" and more"))), str(tmp_path / "b"))
+    mixed = tokens.Reader(spark, str(tmp_path / "a"))
+    mixed.segments = tokens.Reader(spark, str(tmp_path / "b")).segments
+    with pytest.raises(Exception, match="another dictionary"):
+        mixed.documents().collect()
+    short = tokens.Reader(spark, str(tmp_path / "a"))
+    short.segments = short.segments.withColumn("lengths", F.transform("lengths", lambda n: n + 1))
+    with pytest.raises(Exception, match="the index has"):
+        short.documents().collect()
+    spark.createDataFrame([("0" * 64, bytearray(8))], "dictionary_sha256 string, dictionary binary").write.mode("overwrite").parquet(str(tmp_path / "a/dictionary"))
+    with pytest.raises(ValueError, match="its hash"):
+        tokens.Reader(spark, str(tmp_path / "a"))
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    made = json.load(open(tokens.default_vocabulary(), encoding="utf-8"))
+    made["normalizer"]["normalizers"].pop()
+    (tmp_path / "v.json").write_text(json.dumps(made))
+    with pytest.raises(ValueError, match="another normalizer"):
+        tokens.Encoder(str(tmp_path / "v.json"))
+
+
+def test_cache_generations_and_long_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 5)
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 64)
+    e = tokens.Encoder(tokens.default_vocabulary())
+    texts = [f"日本{i % 7} テスト{i} {'長' * (i % 50)} plain{i}" for i in range(60)] * 2
+    got = [np.frombuffer(x, "<u4").tolist() for _, some in e.texts(pa.array(texts)) for x in some]
+    assert got == ids_of(texts) and len(e.known) + len(e.before) < 60

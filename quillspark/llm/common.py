@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,7 +134,7 @@ class Powers:
         return self.p[:n], self.q[:n]
 
 
-BYTES, WORDS = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
+WORDS = Powers(0xD6E8FEB86659FD93)
 
 
 def _sums(x: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -143,16 +144,80 @@ def _sums(x: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     return out, q
 
 
-def symbols(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit symbol for each word, equal for equal words."""
+#: Masks of the first n bytes of a little-endian block, and keys of two independent hashes of words.
+_FIRST = np.array([0] + [(1 << 8 * n) - 1 for n in range(1, 9)], U)
+_KEYS = (U(0x2545F4914F6CDD1D), U(0xD1342543DE82EF95))
+
+
+def symbols(data: np.ndarray, s: np.ndarray, e: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit symbol for each word, equal for equal words. Each block of eight bytes is mixed with its place before the blocks are
+    added up, so the sum has no algebra that a text could follow. The two lanes together make 128 bits."""
     if len(s) == 0:
         return np.zeros(0, U)
-    sums, q = _sums(data.astype(U) + U(1), BYTES)
-    return mix((sums[e] - sums[s]) * q[s] + (e - s).astype(U) * U(0xA0761D6478BD642F))
+    n, buf = e - s, np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", buf, 0, (1,))
+    key = _KEYS[lane]
+
+    def mixed(at, left, place):
+        x = blocks[at] & _FIRST[np.minimum(left, 8)]
+        return mix(mix(x + key) ^ (place * U(0x9E3779B97F4A7C15) + key))
+
+    out = mixed(s, n, U(1))
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        more = (n[long] - 1) // 8
+        first = np.cumsum(more) - more
+        k = np.arange(more.sum()) - np.repeat(first, more) + 1
+        h = mixed(np.repeat(s[long], more) + 8 * k, np.repeat(n[long], more) - 8 * k, (k + 1).astype(U))
+        out[long] += np.add.reduceat(h, first)
+    return mix(out + n.astype(U) * U(0xA0761D6478BD642F))
+
+
+def word_ids(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Numbers of words that are equal for equal words and for no others, within this call."""
+    if len(s) == 0:
+        return np.zeros(0, np.int64)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[s] = 1
+    inside[e] -= 1
+    ends = np.zeros(len(s) + 1, np.int64)
+    np.cumsum(e - s, out=ends[1:])
+    letters = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    told = pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+    return told.indices.to_numpy().astype(np.int64)
+
+
+def run_ids(ids: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of the runs of ``size`` neighbours that begin at each place, equal for equal runs and for no others."""
+
+    def paired(a, b):
+        a, b = a[: len(b)], b[: len(a)]
+        return np.unique(a * (b.max(initial=0) + 1) + b, return_inverse=True)[1]
+
+    if len(ids) < size:
+        return np.zeros(0, np.int64)
+    power, k, out, done = ids, 1, None, 0
+    while True:
+        if size & k:
+            out, done = (power, k) if out is None else (paired(out, power[done:]), done + k)
+        k *= 2
+        if k > size:
+            return out[: len(ids) - size + 1]
+        power = paired(power, power[k // 2 :])
+
+
+def chained(sym: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """A hash of the ``size`` symbols from each place of ``at`` on, with a multiplier for each place of the run."""
+    factor = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, size, dtype=np.uint64) * U(2) + U(1)
+    out = np.zeros(len(at), U)
+    for j in range(size):
+        x = sym[at + j] * factor[j]
+        out += x ^ (x >> U(32))
+    return mix(out)
 
 
 class Grams:
-    """Hashes of runs of symbols, each from two prefix sums."""
+    """Hashes of runs of symbols, each from two prefix sums. They serve to find candidates; what they find is compared by other means."""
 
     def __init__(self, sym: np.ndarray):
         self.sums, self.q = _sums(sym, WORDS)
@@ -167,6 +232,17 @@ class Grams:
         return mix((self.sums[k:] - self.sums[:-k]) * self.q[:n] + U(k) * U(0xE7037ED1A0B428DB))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names for helpers that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def row_key():
     """Tells rows of one doc_id apart: a hash of the text."""
     return F.xxhash64("text")
@@ -178,3 +254,33 @@ def longs(x: np.ndarray) -> pa.Array:
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType = pa.int64()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values).cast(kind))
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def complete(batches, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition that is sorted by ``keys``, in batches that part no run of equal (or null) keys. The last run of a batch waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.ones(b.num_rows, bool)
+        fits = bool(held)
+        for k in keys:
+            col = b.column(k)
+            last = col[b.num_rows - 1]
+            same = pc.equal(col, last) if last.is_valid else pc.is_null(col)
+            ends &= pc.fill_null(same, False).to_numpy(zero_copy_only=False)
+            fits = fits and held[-1].column(k)[held[-1].num_rows - 1].as_py() == col[0].as_py()
+        begun = b.num_rows - int(np.append(~ends[::-1], True).argmax())
+        if held and not fits:
+            yield joined(held)
+            held = []
+        if begun:
+            yield joined([*held, b.slice(0, begun)])
+            held = []
+        held.append(b.slice(begun))
+    if held:
+        yield joined(held)

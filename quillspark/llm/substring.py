@@ -1,28 +1,26 @@
 """Exact substring dedup over prefix-partitioned suffix trees.
 
-The suffixes are the runs of ``min_words`` words that start at each word of a document,
-cut at depth ``min_words``: deeper parts of a suffix tree are never asked for.
-
-1. Every suffix has an anchor, the smallest hash of the short word runs inside it. A repeated
-   suffix has a repeated anchor, so suffixes whose anchor occurs in one document only are leaves
-   of the tree and are left out. About one word in eighteen gives an anchor row.
-2. The remaining suffixes are split by prefix. How often the anchor occurs in the corpus decides
-   how long the prefix is (12, 25 or all words), so that groups stay small enough for memory
-   however common a passage is. Suffixes that are equal in a batch are merged before they move.
-3. Each group is sorted into its subtree. Internal nodes at depth ``min_words`` with leaves of two
-   documents are the repeats; each keeps the smallest document.
-4. Suffixes are joined to these nodes. A word goes if it lies in a suffix whose node has a smaller
-   document. The join has one row per node on one side, so that Spark splits hot nodes at run time.
-
-Words are compared by 64-bit symbols and suffixes by 128 bits of hash.
-
-Whole copies (equal word sequences) are first merged into the smallest doc_id, so a group
-of copies of any size costs one row per copy.
+A window is ``min_words`` neighbouring words of one document; a word goes if a window around it also starts in a document with a smaller doc_id.
+
+1. Every window has an anchor, the first run of ``ANCHOR_WORDS`` words inside it with the smallest hash. Equal windows have the same
+   anchor at the same place, so suffixes are taken where they start with an anchor, about one word in eighteen, and only
+   where the anchor occurs in two documents.
+2. Suffixes are split by prefix: the anchor. A prefix with up to ``GROUP_ROWS`` suffixes makes a group, which fits in memory by far.
+   Beyond, the prefix is lengthened to the whole path: the window itself, known by 128 bits of hash, so that a group is one leaf,
+   which is counted up in parts before it moves, however often a passage occurs.
+3. A group's suffixes, with the words before them, are sorted in word order, to the right of the anchor and (backwards) to its left. The
+   words that neighbours have in common (LCP) give both trees' internal nodes: those of depth q are the runs where no LCP is below q.
+   Suffixes in the same node of depth ``min_words - p`` on the right and of depth p on the left share a window that starts p words before the
+   anchor; of these, the smallest document keeps it. The windows of one suffix that another document has make a maximal repeat.
+   Words are compared as words here, not by hashes.
+4. The repeats of each document are put together and their words taken out.
+
+Whole copies (equal word sequences, by their sha256) are first merged into the smallest doc_id: only one row of each group of copies has suffixes.
 
 Defined cases: a null text has no words; a null doc_id is in no order with others, so such rows
 are kept whole and remove nothing; rows that share a doc_id are judged each for itself, and none
-is smaller than the other; fewer than ``min_words`` words give no window; an empty table gives
-an empty result. Other columns are ignored.
+is smaller than the other; fewer than ``min_words`` words give no window; a very long text is one chunk of its own and takes memory in proportion
+to its length; an empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,186 +32,230 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Grams, chunks, lists, longs, release, row_key, spans, symbols, table
+from .common import U, Grams, buffers, chained, chunks, complete, lists, longs, release, row_key, spans, symbols, table, unused, word_ids
 
 ANCHOR_WORDS = 15
-#: Anchors in up to so many documents use the first, the second or (beyond) the third prefix length.
-PREFIX_WORDS, PREFIX_DOCS = (12, 25), (64, 4096)
+#: Suffixes of a group that is sorted in memory; each has up to 85 words.
+GROUP_ROWS = 1000
+_NONE = np.zeros(0, np.int64)
+
 
+def _sliding_min(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest of each ``n`` neighbours and its (first) place, by doubling."""
 
-def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
-    """The smallest of each ``n`` neighbours, by doubling."""
-    k = 1
+    def lesser(x, p, by, m):
+        left = x[:m] <= x[by : by + m]
+        return np.where(left, x[:m], x[by : by + m]), np.where(left, p[:m], p[by : by + m])
+
+    p, k = np.arange(len(x)), 1
     while 2 * k <= n:
-        x, k = np.minimum(x[:-k], x[k:]), 2 * k
-    return np.minimum(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
+        x, p = lesser(x, p, k, len(x) - k)
+        k *= 2
+    return lesser(x, p, n - k, len(x) - (n - k)) if n > k else (x, p)
 
 
-def _windows(sym: np.ndarray, count: np.ndarray, size: int) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, the starts of suffixes, the text each is of, and its anchor."""
-    g = Grams(sym)
-    of = np.repeat(np.arange(len(count) - 1), np.diff(count))
-    n = len(sym)
+def _blocks(data: np.ndarray, off: np.ndarray, size: int):
+    """Words (starts, ends, number before each text), and the blocks of neighbouring windows with the same anchor: the text each is of,
+    the first and the last start of a window, the anchor's place and its hash."""
+    s, e, count = spans(data, off)
+    n = len(s)
     if n < size:
-        z = np.zeros(0, np.int64)
-        return g, z, z, np.zeros(0, U)
+        return s, e, count, _NONE, _NONE, _NONE, _NONE, np.zeros(0, U)
     k = min(ANCHOR_WORDS, size)
-    at = np.flatnonzero(np.arange(n - size + 1) + size <= count[1:][of[: n - size + 1]])
-    return g, at, of[at], _sliding_min(g.every(k), size - k + 1)[at]
+    v, p = _sliding_min(Grams(symbols(data, s, e)).every(k), size - k + 1)
+    of = np.repeat(np.arange(len(count) - 1), np.diff(count))[: n - size + 1]
+    at = np.flatnonzero(np.arange(n - size + 1) + size <= count[1:][of])
+    v, p, of = v[at], p[at], of[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (p[1:] != p[:-1]) | (of[1:] != of[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(at)) - 1
+    return s, e, count, of[new], at[new], at[last], p[new], v[new]
 
 
 def _outline(size: int):
-    """Per document: hash of all words, number of words, digest of the words, distinct anchors."""
+    """Per document: number of words, digest of the words, distinct anchors and how often each occurs."""
 
     def run(batches):
         for b in batches:
-            col = b.column("text")
-            for lo, hi, data, off in chunks(col):
-                s, e, count = spans(data, off)
-                g, at, of, v = _windows(symbols(data, s, e), count, size)
-                keep = np.ones(len(at), bool)
-                keep[1:] = (v[1:] != v[:-1]) | (of[1:] != of[:-1])
-                v, of = v[keep], of[keep]
+            for lo, hi, data, off in chunks(b.column("text")):
+                s, e, count, of, _, _, _, v = _blocks(data, off, size)
+                order = np.lexsort((v, of))
+                v, of = v[order], of[order]
+                new = np.ones(len(v), bool)
+                new[1:] = (v[1:] != v[:-1]) | (of[1:] != of[:-1])
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(v)))
+                cuts = np.searchsorted(of[first], np.arange(hi - lo + 1))
                 raw = data.tobytes()
                 sha = [hashlib.sha256(b" ".join(raw[x:y].split())).hexdigest() for x, y in zip(off[:-1], off[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id")[lo:hi], b.column("th")[lo:hi], pa.array(np.diff(count)), longs(g.of(count[:-1], count[1:])), pa.array(sha), lists(v.view(np.int64), np.searchsorted(of, np.arange(hi - lo + 1)))],
-                    names=["doc_id", "th", "n_words", "whole", "sha", "anchors"],
+                    [b.column("doc_id")[lo:hi], b.column("th")[lo:hi], pa.array(np.diff(count)), pa.array(sha, pa.string()), lists(v[first].view(np.int64), cuts), lists(times, cuts, pa.int32())],
+                    names=["doc_id", "th", "n_words", "sha", "anchors", "times"],
                 )
 
     return run
 
 
+_SUFFIX = "grp long, doc_id long, th long, at int, left int, words binary, a long, b long"
+
+
 def _suffixes(size: int):
-    """Per suffix with a live anchor: prefix that decides its group, two halves of its path, document, start."""
+    """A row for each suffix of a small group: its prefix (the anchor), its place, the number of words that go with it on the left, and the words
+    from there on. Of large groups, a row for each window: its place and the two halves of its hash."""
 
     def run(batches):
         for b in batches:
-            live, docs = b.column("live"), b.column("n_docs")
-            lo_, lv, ln = np.asarray(live.offsets).astype(np.int64), np.asarray(live.values).view(U), np.asarray(docs.values)
+            live, rows = b.column("live"), b.column("n_rows")
+            lo_, lv, ln = np.asarray(live.offsets).astype(np.int64), np.asarray(live.values).view(U), np.asarray(rows.values)
             for lo, hi, data, off in chunks(b.column("text")):
-                s, e, count = spans(data, off)
-                g, at, of, v = _windows(symbols(data, s, e), count, size)
-                out = []
-                for k in range(hi - lo):
-                    x, y = np.searchsorted(of, [k, k + 1])
-                    a = slice(lo_[lo + k], lo_[lo + k + 1])
-                    order = np.argsort(lv[a])
-                    own, n = lv[a][order], ln[a][order]
-                    i = np.minimum(np.searchsorted(own, v[x:y]), max(0, len(own) - 1))
-                    hit = np.flatnonzero(own[i] == v[x:y]) if len(own) else np.zeros(0, np.int64)
-                    if len(hit):
-                        out.append((np.full(len(hit), lo + k), at[x:y][hit], n[i[hit]], at[x:y][hit] - count[k]))
-                if not out:
-                    continue
-                row, at, n, start = map(np.concatenate, zip(*out))
-                half = size // 2
-                a, c = g.of(at, at + half), g.of(at + half, at + size)
-                group = np.where(n <= PREFIX_DOCS[0], g.of(at, at + min(PREFIX_WORDS[0], size)), np.where(n <= PREFIX_DOCS[1], g.of(at, at + min(PREFIX_WORDS[1], size)), a ^ (c * U(3))))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(row)), b.column("th").take(pa.array(row)), pa.array(start.astype(np.int32)), longs(group), longs(a), longs(c)],
-                    names=["doc_id", "th", "start", "grp", "a", "b"],
-                )
+                s, e, count, of, at, to, p, v = _blocks(data, off, size)
+                n = np.zeros(len(v), np.int64)
+                for k, (x, y) in enumerate(zip(*(np.searchsorted(of, np.arange(hi - lo) + i).tolist() for i in (0, 1)))):
+                    own = slice(lo_[lo + k], lo_[lo + k + 1])
+                    if x < y and own.start < own.stop:
+                        order = np.argsort(lv[own])
+                        mine = lv[own][order]
+                        i = np.minimum(np.searchsorted(mine, v[x:y]), len(mine) - 1)
+                        n[x:y] = np.where(mine[i] == v[x:y], ln[own][order][i], 0)
+                small, large = np.flatnonzero((n > 0) & (n <= GROUP_ROWS)), np.flatnonzero(n > GROUP_ROWS)
+                doc, th, raw = b.column("doc_id"), b.column("th"), data.tobytes()
+                if len(small):
+                    row = pa.array(of[small] + lo)
+                    words = [raw[x:y] for x, y in zip(s[at[small]].tolist(), e[to[small] + size - 1].tolist())]
+                    none = pa.nulls(len(small), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [longs(v[small]), doc.take(row), th.take(row), pa.array((p - count[of])[small].astype(np.int32)), pa.array((p - at)[small].astype(np.int32)), pa.array(words, pa.binary()), none, none],
+                        names=[x.split()[0] for x in _SUFFIX.split(", ")],
+                    )
+                if len(large):
+                    m = (to - at)[large] + 1
+                    start = np.repeat(at[large] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    text = np.repeat(of[large], m)
+                    row, none = pa.array(text + lo), lambda kind: pa.nulls(len(start), kind)
+                    a, c = (chained(symbols(data, s, e, lane), start, size, 30 + lane) for lane in (0, 1))
+                    yield pa.RecordBatch.from_arrays(
+                        [none(pa.int64()), doc.take(row), th.take(row), pa.array((start - count[text]).astype(np.int32)), none(pa.int32()), none(pa.binary()), longs(a), longs(c)],
+                        names=[x.split()[0] for x in _SUFFIX.split(", ")],
+                    )
 
     return run
 
 
-def _merge(grp, a, b, lo, hi):
-    """Equal suffixes become one row with the smallest and the largest document."""
-    order = np.lexsort((b, a, grp))
-    grp, a, b, lo, hi = (x[order] for x in (grp, a, b, lo, hi))
-    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (grp[1:] != grp[:-1])]))
-    return grp[at], a[at], b[at], np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
-
-
-_NODE = ["grp", "a", "b", "first_doc", "last_doc"]
-
-
-def _pack(cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=_NODE)
-
-
-def _combine(batches):
-    for x in batches:
-        if x.num_rows:
-            d = np.asarray(x.column("doc_id"))
-            yield _pack(_merge(*(np.asarray(x.column(c)) for c in ("grp", "a", "b")), d, d))
-
-
-def _subtrees(batches):
-    """Rows come sorted by group and path, which is the order of a subtree's leaves: neighbours that agree
-    in the whole path meet in an internal node of full depth. Only the last path is carried over."""
-    held = None
-    for x in batches:
-        if not x.num_rows:
+def _common(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by group and then word by word, and the number of first words that each has in common with the row before it."""
+    order = np.lexsort((*words.T[::-1], group))
+    w, g = words[order], group[order]
+    other = (w[1:] != w[:-1]) | (w[1:] < 0)
+    lcp = np.where(other.any(1), other.argmax(1), words.shape[1]) if words.shape[1] else np.zeros(len(other), np.int64)
+    return order, np.concatenate([[-1], np.where(g[1:] == g[:-1], lcp, -1)])
+
+
+def _repeats(group, doc, left, data, off, size: int) -> np.ndarray:
+    """For each suffix and each p: whether a smaller document has the window that starts p words before the anchor."""
+    s, e, count = spans(data, off)
+    ids, n = word_ids(data, s, e), len(doc)
+    at, k = count[:-1] + left, min(ANCHOR_WORDS, size)
+    right = count[1:] - at
+    ahead, behind = np.arange(size), np.arange(size - k)
+    limit = max(0, len(ids) - 1)
+    after, lcp_after = _common(np.where(ahead < right[:, None], ids[np.minimum(at[:, None] + ahead, limit)], -1), group)
+    before, lcp_before = _common(np.where(behind < left[:, None], ids[np.maximum(at[:, None] - 1 - behind, 0)], -1), group)
+    found = np.zeros((size - k + 1, n), bool)
+    node_after, node_before = np.empty(n, np.int64), np.empty(n, np.int64)
+    for p in range(size - k + 1):
+        some = np.flatnonzero((left >= p) & (right >= size - p))
+        if len(some) < 2:
             continue
-        cols = [np.asarray(x.column(c)) for c in _NODE]
-        if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-        cols = _merge(*cols)
-        held = [c[-1:] for c in cols]
-        deep = cols[3][:-1] < cols[4][:-1]
-        if deep.any():
-            yield _pack([c[:-1][deep] for c in cols])
-    if held is not None and held[3][0] < held[4][0]:
-        yield _pack(held)
-
-
-def repeats(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For rows of (doc_id, text): an outline per row (doc_id, th, n_words, sha, first_copy), where ``first_copy`` is the
-    smallest doc_id with the same words; the texts with repeats (doc_id, th, text); and
-    the starts of their repeated windows (doc_id, th, starts array<int>)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("th"))
-    outline = table(docs.mapInArrow(_outline(min_words), "doc_id long, th long, n_words long, whole long, sha string, anchors array<long>"), "outline")
-    # sha and hash together tell word sequences apart
-    known = outline.where("doc_id is not null and n_words >= %d" % min_words)
-    copies = known.groupBy("whole", "sha").agg(F.min("doc_id").alias("first_copy"))
-    # A copy is removed whole, so only first copies have suffixes to look at.
-    marked = outline.join(copies, ["whole", "sha"], "left")
-    head = table(marked.where("doc_id = first_copy and n_words >= %d" % min_words).select("doc_id", "th", F.explode("anchors").alias("v")).distinct(), "anchors")
-    live = head.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("v", "n")
-    own = head.join(live, "v").groupBy("doc_id", "th").agg(F.collect_list(F.struct("v", "n")).alias("x")).select("doc_id", "th", F.col("x.v").alias("live"), F.col("x.n").alias("n_docs"))
-    texts = table(docs.where("doc_id is not null").join(own, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]), "live")
-    release(head)
-    suffixes = table(texts.mapInArrow(_suffixes(min_words), "doc_id long, th long, start int, grp long, a long, b long"), "suffixes")
-    schema = "grp long, a long, b long, first_doc long, last_doc long"
-    leaves = suffixes.select("doc_id", "grp", "a", "b").mapInArrow(_combine, schema)
-    nodes = leaves.repartition("grp").sortWithinPartitions("grp", "a", "b").mapInArrow(_subtrees, schema)
-    hits = suffixes.join(nodes.select("a", "b", "first_doc"), ["a", "b"]).where("first_doc < doc_id").groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"))
-    return marked.select("doc_id", "th", "n_words", "sha", "first_copy"), texts.select("doc_id", "th", "text"), hits
-
-
-def _cut(size: int, with_text: bool):
+        node_after[after] = np.cumsum(lcp_after < size - p)
+        node_before[before] = np.cumsum(lcp_before < p)
+        node = node_after[some] * (n + 1) + node_before[some]
+        order = np.argsort(node, kind="stable")
+        node, some = node[order], some[order]
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        if len(first) < len(some):
+            smallest = np.minimum.reduceat(doc[some], first)
+            found[p, some] = np.repeat(smallest, np.diff(np.append(first, len(some)))) < doc[some]
+    return found
+
+
+_SPAN = "doc_id long, th long, start int, stop int"
+
+
+def _subtrees(size: int):
+    """Rows come sorted by group; many whole groups are looked at together."""
+
+    def look(b):
+        data, off = buffers(b.column("words"))
+        at, left = np.asarray(b.column("at")).astype(np.int64), np.asarray(b.column("left")).astype(np.int64)
+        found = _repeats(np.asarray(b.column("grp")), np.asarray(b.column("doc_id")), left, data, off, size)
+        # Runs of p: windows that start from at - last to at - first.
+        edge = np.zeros((len(at), found.shape[0] + 2), np.int8)
+        edge[:, 1:-1] = found.T
+        step = np.diff(edge, axis=1)
+        row, first = np.nonzero(step == 1)
+        last = np.nonzero(step == -1)[1] - 1
+        take = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [b.column("doc_id").take(take), b.column("th").take(take), pa.array((at[row] - last).astype(np.int32)), pa.array((at[row] - first + size).astype(np.int32))], names=["doc_id", "th", "start", "stop"]
+        )
+
     def run(batches):
-        for b in batches:
-            starts = b.column("starts")
-            texts = b.column("text")
-            removed, sha, kept_text = [], [], []
-            for i in range(b.num_rows):
-                words = texts[i].as_py().encode().split()
-                d = np.zeros(len(words) + 1, np.int32)
-                at = np.asarray(starts[i].values)
-                np.add.at(d, at, 1)
-                np.add.at(d, at + size, -1)
-                gone = np.cumsum(d)[:-1] > 0
-                left = b" ".join([w for w, x in zip(words, gone.tolist()) if not x])
-                removed.append(int(gone.sum()))
-                sha.append(hashlib.sha256(left).hexdigest())
-                kept_text.append(left.decode() if with_text else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], names=["doc_id", "th", "n_removed", "kept_sha256", "kept_text"])
+        for b in complete(batches, ["grp"]):
+            yield look(b)
 
     return run
 
 
-def _parts(docs: DataFrame, min_words: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    marked, texts, hits = repeats(docs, min_words)
-    cut = texts.join(hits, ["doc_id", "th"]).mapInArrow(_cut(min_words, with_text), "doc_id long, th long, n_removed long, kept_sha256 string, kept_text string")
-    return marked, cut
+def repeats(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, DataFrame]:
+    """For rows of (doc_id, text): an outline per row (doc_id, th, n_words, sha, first_copy), where ``first_copy`` is the smallest doc_id with the
+    same words; and the maximal repeats (doc_id, th, spans array<struct<start, stop>>, in words, overlapping and in no order) of the first copies, whose windows a
+    smaller doc_id has too. ``th`` is the hash of the row's text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("th"))
+    outline = table(docs.mapInArrow(_outline(min_words), "doc_id long, th long, n_words long, sha string, anchors array<long>, times array<int>"), "outline")
+    known = outline.where("doc_id is not null and n_words >= %d" % min_words)
+    # A copy is removed whole, so one row of each class has suffixes to look at.
+    classes = table(known.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("th", "anchors", "times"), "doc_id").alias("of")).select("sha", "doc_id", "of.*"), "classes")
+    each = classes.select("doc_id", "th", F.explode(F.arrays_zip("anchors", "times")).alias("x")).select("doc_id", "th", F.col("x.anchors").alias("v"), F.col("x.times").alias("times"))
+    live = each.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("times").alias("n")).where("lo < hi").select("v", "n")
+    own = each.join(live, "v").groupBy("doc_id", "th").agg(F.collect_list(F.struct("v", "n")).alias("x")).select("doc_id", "th", F.col("x.v").alias("live"), F.col("x.n").alias("n_rows"))
+    texts = docs.where("doc_id is not null").join(own, ["doc_id", "th"])
+    suffixes = table(texts.mapInArrow(_suffixes(min_words), _SUFFIX), "suffixes")
+    marked = outline.select("doc_id", "th", "n_words", "sha")
+    copies = classes.select("sha", F.col("doc_id").alias("first_copy"))
+    enough = F.coalesce(F.col("doc_id").isNotNull() & (F.col("n_words") >= min_words), F.lit(False))
+    marked = marked.where(enough).join(copies, "sha").select("doc_id", "th", "n_words", "sha", "first_copy").union(marked.where(~enough).withColumn("first_copy", F.col("doc_id")))
+    groups = suffixes.where("words is not null").select("grp", "doc_id", "th", "at", "left", "words")
+    spans_ = groups.repartition("grp").sortWithinPartitions("grp").mapInArrow(_subtrees(min_words), _SPAN)
+    windows = suffixes.where("words is null").select("doc_id", "th", "at", "a", "b")
+    leaves = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
+    hits = windows.join(leaves, ["a", "b"]).where("lo < doc_id").select("doc_id", "th", F.col("at").alias("start"), (F.col("at") + min_words).alias("stop"))
+    found = spans_.union(hits).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    found = table(found, "spans")
+    release(suffixes)
+    return marked, found
+
+
+def _kept(text: bytes, spans_: pa.Scalar) -> tuple[int, bytes]:
+    """The number of words in the spans, and the other words."""
+    words = text.split()
+    d = np.zeros(len(words) + 1, np.int32)
+    np.add.at(d, np.asarray(spans_.values.field("start")), 1)
+    np.add.at(d, np.asarray(spans_.values.field("stop")), -1)
+    gone = np.cumsum(d)[:-1] > 0
+    return int(gone.sum()), b" ".join([w for w, x in zip(words, gone.tolist()) if not x])
+
+
+def _digest(batches):
+    for b in batches:
+        out = [_kept(t.as_py().encode(), x) for t, x in zip(b.column("text"), b.column("spans"))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([n for n, _ in out], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for _, x in out], pa.string())], names=["doc_id", "th", "n_removed", "kept_sha256"])
 
 
 def report(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of ``docs``."""
-    marked, cut = _parts(docs, min_words, False)
+    marked, found = repeats(docs, min_words)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("th"))
+    cut = texts.join(found, ["doc_id", "th"]).mapInArrow(_digest, "doc_id long, th long, n_removed long, kept_sha256 string").dropDuplicates(["doc_id", "th"])
     empty = hashlib.sha256(b"").hexdigest()
     copy = F.coalesce(F.col("first_copy") < F.col("doc_id"), F.lit(False))
     return marked.join(cut, ["doc_id", "th"], "left").select(
@@ -224,13 +266,23 @@ def report(docs: DataFrame, min_words: int = 50) -> DataFrame:
     )
 
 
+def _shorten(text: str, spans_: str, copy: str, names: list[str]):
+    def run(batches):
+        for b in batches:
+            texts, found = b.column(text), b.column(spans_)
+            gone = b.column(copy).to_pylist()
+            out = ["" if gone[i] else _kept(texts[i].as_py().encode(), found[i])[1].decode() if found[i].is_valid else texts[i].as_py() for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(c) for c in names], names=names)
+
+    return run
+
+
 def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` with repeated words taken out of ``text``. Texts that lose words become their kept words joined by
     one space; other texts stay as they are, and so do all other columns. Rows stay, empty if nothing is left."""
-    marked, cut = _parts(docs, min_words, True)
-    copy = F.col("first_copy") < F.col("doc_id")
-    new = marked.join(cut, ["doc_id", "th"], "left").where(copy | F.col("kept_text").isNotNull()).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("__text")).dropDuplicates(["__d", "__t"])
-    names = docs.columns
-    out = docs.withColumn("__th", row_key())
-    out = out.join(new, (out["doc_id"] == new["__d"]) & (out["__th"] == new["__t"]), "left")
-    return out.select(*[F.coalesce(F.col("__text"), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    marked, found = repeats(docs, min_words)
+    doc, th, spans_, copy, key = unused(docs, "of_doc", "of_text", "of_spans", "is_copy", "text_key")
+    copies = marked.where("first_copy < doc_id").select("doc_id", "th", F.lit(True).alias("copy")).distinct()
+    change = found.join(copies, ["doc_id", "th"], "full").select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("spans").alias(spans_), F.coalesce("copy", F.lit(False)).alias(copy))
+    out = docs.withColumn(key, row_key()).join(change, (F.col("doc_id").cast("long") == F.col(doc)) & (F.col(key) == F.col(th)), "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], spans_, F.coalesce(F.col(copy), F.lit(False)).alias(copy)).mapInArrow(_shorten("text", spans_, copy, docs.columns), docs.schema)

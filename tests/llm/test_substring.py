@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from quillspark.llm import queries, substring
 
 
@@ -61,3 +63,43 @@ def test_empty_and_extra_columns(spark):
     out = {r.doc_id: r for r in substring.dedup(df).collect()}
     assert [out[i].text for i in (1, 2, 3, 4)] == [long, "lead", "free\n\ntext", ""]
     assert substring.dedup(df).columns == df.columns and out[2].th == 9
+    df = spark.createDataFrame([(1, long, 9, "s", 4), (2, "lead " + long, 9, None, 4)], "doc_id int, text string, __text string, of_doc string, _of_doc int")
+    assert [(r.doc_id, r.text, r["__text"], r.of_doc) for r in substring.dedup(df).orderBy("doc_id").collect()] == [(1, long, "9", "s"), (2, "lead", "9", None)]
+
+
+def thue_morse(n):
+    """Equal sums of powers, modulo 2 ** 64, for a sequence and its opposite of 1024 letters."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+
+
+def test_words_that_power_sums_confuse(spark):
+    x, y = thue_morse(1024)
+    rest = [f"w{i}" for i in range(60)]
+    check(spark, [(1, " ".join([*rest, x, *rest])), (2, " ".join([y, *["v"] * 3, y])), (3, " ".join([x] * 50)), (4, " ".join([y] * 50)), (5, " ".join([*rest[30:], y, *rest[:19]]))])
+    a, b = (" ".join("zero" if c == "a" else "one" for c in w) for w in (x, y))
+    check(spark, [(1, a), (2, b), (3, a[: len(a) // 2]), (4, "end " + b[: len(b) // 3])])
+
+
+def test_large_groups_become_leaves(spark, monkeypatch):
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        w = [f"w{r.randrange(500)}" for _ in range(r.randint(0, 60))]
+        at, a = r.randint(0, len(w)), r.randint(0, 30)
+        w[at:at] = passage[a : a + r.randint(45, 60)]
+        rows.append((r.randint(0, 200), " ".join(w)))
+    for limit in (3, 40, 1000):
+        monkeypatch.setattr(substring, "GROUP_ROWS", limit)
+        check(spark, rows)
+
+
+def test_runs_have_exact_numbers():
+    from quillspark.llm.common import run_ids
+
+    ids = np.array([random.Random(5).randrange(3) for _ in range(400)])
+    for size in (1, 2, 3, 5, 7, 8, 50):
+        got = run_ids(ids, size)
+        assert len(got) == 400 - size + 1
+        assert len(set(zip(got.tolist(), (tuple(ids[i : i + size]) for i in range(400 - size + 1))))) == len(set(got.tolist())) == len({tuple(ids[i : i + size]) for i in range(400 - size + 1)})

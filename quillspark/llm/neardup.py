@@ -5,22 +5,23 @@ Each document has two small collections of ``tables`` keys, each key over ``half
 of ``2 * half`` minhashes each cost only ``2 * tables * half`` minhashes. With 12 and 3, a pair at the
 threshold of 0.85 meets in no table with a chance of 2.2e-5, at 0.9 of 3e-7.
 
-1. Documents with equal shingle sets become one class, known by a 128-bit hash of the set. Groups of copies
-   of any size are merged before any key is made.
+1. Documents with equal shingle sets become one class, known by their number and two sums of 64 bits over independent hashes of the shingles, and
+   numbered in a written table. Groups of copies of any size are merged before any key is made.
 2. Keys of the small collections that only one class has are dropped, and with them every table they are in.
 3. A class with ``r`` shingles that other candidates have too can share no more than ``r`` with any of them. This bound
    (for similarity at the threshold, ``r`` must reach the share of both sizes) takes out classes that are too far from all others.
 4. In each bucket a pivot is compared with the other members: rows grow with the members, never with pairs. In buckets whose
    members are not connected afterwards, members of different components that meet the bound are compared, each pair in the first bucket
-   that it shares. Buckets of more than ``DIRECT`` open members first get pivot after pivot, each compared with all others once, until
-   fewer are open. So every pair that meets in a bucket is compared, bounded away or already connected.
-   Pairs are confirmed on the full shingle sets, by ``100 * intersection >= percent * union``.
-5. Components come from stars within tasks of bounded size, joined by rounds of large and small stars over written tables.
+   that it shares. Buckets of more than ``DIRECT`` open members first get more pivots, twice as many in each round, which are compared with all
+   members and are then done with, until fewer are open. So every pair that meets in a bucket is compared, bounded away or already connected.
+   Pairs are confirmed on the words of the full shingle sets, not on hashes, by ``100 * intersection >= percent * union``.
+5. Components come from stars within tasks of about ``TASK_EDGES`` edges, joined by rounds of large and small stars over written tables.
 
 Defined cases: A-Z is lower-cased; a null or blank text has the empty set and is linked with nothing;
 fewer than ``width`` words make one shingle of all words; rows that share a doc_id are nodes of their own; a null
 doc_id counts for no component's smallest doc_id (all null: null); ``kept`` holds for rows whose doc_id equals
-the component's. An empty table gives an empty result, and other columns are ignored.
+the component's. A very long text is one chunk of its own and takes memory in proportion to its length. An empty table gives
+an empty result, and other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,34 +31,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, Grams, chunks, lists, longs, mix, release, row_key, spans, symbols, table
+from .common import LOWER, U, buffers, chained, chunks, lists, longs, mix, release, row_key, run_ids, spans, symbols, table, unused, word_ids
 
 WIDTH, PERCENT, TABLES, HALF = 5, 85, 12, 3
 DIRECT, TASK_EDGES = 4096, 1_000_000
 
 
-def _sets(data, off, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, sorted, one text after the other, and their offsets."""
-    low = LOWER[data]
-    s, e, count = spans(low, off)
-    g = Grams(symbols(low, s, e))
+def _runs(count: np.ndarray, width: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, starts, texts) of the runs that are shingles: all of ``width`` words, and whole shorter texts."""
     n = np.diff(count)
     of = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(s))
-    full = np.flatnonzero(at + width <= count[1:][of])
-    short = np.flatnonzero((n > 0) & (n < width))
-    values = np.concatenate([g.of(full, full + width), g.of(count[short], count[short + 1])])
-    docs = np.concatenate([of[full], short])
+    full = np.flatnonzero(np.arange(len(of)) + width <= count[1:][of])
+    out = [(width, full, of[full])]
+    for m in range(1, width):
+        short = np.flatnonzero(n == m)
+        if len(short):
+            out.append((m, count[short], short))
+    return out
+
+
+def _distinct(values: np.ndarray, docs: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the distinct values of each text, by text and value, and the texts' offsets among them."""
     order = np.lexsort((values, docs))
     values, docs = values[order], docs[order]
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (docs[1:] != docs[:-1])
-    values, docs = values[keep], docs[keep]
-    return values, np.searchsorted(docs, np.arange(len(n) + 1))
+    return order[keep], np.searchsorted(docs[keep], np.arange(texts + 1))
+
+
+def _sets(data, off, width: int, lanes: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the distinct shingles of each text, sorted by the first lane, one text after the other, and their offsets."""
+    low = LOWER[data]
+    s, e, count = spans(low, off)
+    runs = _runs(count, width)
+    docs = np.concatenate([of for _, _, of in runs])
+    out = []
+    for lane in range(lanes):
+        sym = symbols(low, s, e, lane)
+        out.append(np.concatenate([chained(sym, at, m, 10 * m + lane) for m, at, _ in runs]))
+    at, to = _distinct(out[0], docs, len(off) - 1)
+    return [x[at] for x in out], to
+
+
+def _shared(col_c: pa.Array, col_p: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of both sets of each pair and of their intersection, by words and not by hashes."""
+    data, off = buffers(pa.concat_arrays([col_c, col_p]))
+    low = LOWER[data]
+    s, e, count = spans(low, off)
+    ids, values, docs, base = word_ids(low, s, e), [], [], 0
+    for m, at, of in _runs(count, width):
+        if len(at):
+            values.append(base + run_ids(ids, m)[at])
+            docs.append(of)
+            base += len(ids)
+    n = len(col_c)
+    if not values:
+        return np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    values, docs = np.concatenate(values), np.concatenate(docs)
+    at, to = _distinct(values, docs, 2 * n)
+    key = (docs[at] % n) * base + values[at]
+    both = np.intersect1d(key[: to[n]], key[to[n] :], assume_unique=True)
+    size = np.diff(to)
+    return size[:n], size[n:], np.bincount(both // base, minlength=n) if base else np.zeros(n, np.int64)
 
 
 def _sketch(width: int, tables: int, half: int):
-    """Per row: size and 128-bit hash of its set, and the keys of both collections (even: first, odd: second)."""
+    """Per row: size and two sums over its set, and the keys of both collections (even: first, odd: second)."""
     rnd = np.random.Generator(np.random.PCG64(20))
     mult = rnd.integers(0, 1 << 63, 2 * tables * half, dtype=np.uint64) * U(2) + U(1)
     add = rnd.integers(0, 1 << 63, 2 * tables * half, dtype=np.uint64)
@@ -65,7 +104,7 @@ def _sketch(width: int, tables: int, half: int):
     def run(batches):
         for b in batches:
             for lo, hi, data, off in chunks(b.column("text")):
-                x, at = _sets(data, off, width)
+                (x, y), at = _sets(data, off, width, 2)
                 size = np.diff(at)
                 some = np.flatnonzero(size)
                 first = at[:-1][some]
@@ -73,7 +112,7 @@ def _sketch(width: int, tables: int, half: int):
                 keys = np.zeros((len(some), 2 * tables), U)
                 if len(some):
                     total[0, some] = np.add.reduceat(mix(x), first)
-                    total[1, some] = np.add.reduceat(mix(x ^ U(0x5851F42D4C957F2D)), first)
+                    total[1, some] = np.add.reduceat(mix(y), first)
                     for t in range(2 * tables):
                         key = np.full(len(some), t + 1, U)
                         for k in range(half):
@@ -97,7 +136,7 @@ def _shingles(width: int):
     def run(batches):
         for b in batches:
             for lo, hi, data, off in chunks(b.column("text")):
-                x, at = _sets(data, off, width)
+                (x,), at = _sets(data, off, width)
                 yield pa.RecordBatch.from_arrays([longs(x), b.column("c")[lo:hi].take(pa.array(np.repeat(np.arange(hi - lo), np.diff(at))))], names=["s", "c"])
 
     return run
@@ -108,18 +147,9 @@ def _confirm(width: int, percent: int):
 
     def run(batches):
         for b in batches:
-            for lo, hi, data, off in chunks(b.column("text_c")):
-                x, at = _sets(data, off, width)
-                good, done = np.zeros(hi - lo, bool), 0
-                for l2, h2, data2, off2 in chunks(b.column("text_p")[lo:hi]):
-                    y, to = _sets(data2, off2, width)
-                    for i in range(l2, h2):
-                        u, v = x[at[i] : at[i + 1]], y[to[i - l2] : to[i - l2 + 1]]
-                        both = len(u) + len(v) - len(np.union1d(u, v))
-                        good[i] = 100 * both >= percent * (len(u) + len(v) - both) and both > 0
-                    done = h2
-                assert done == hi - lo
-                keep = pa.array(np.flatnonzero(good) + lo)
+            for lo, hi, _, _ in chunks(b.column("text_c")):
+                c, p, both = _shared(b.column("text_c")[lo:hi], b.column("text_p")[lo:hi], width)
+                keep = pa.array(np.flatnonzero((100 * both >= percent * (c + p - both)) & (both > 0)) + lo)
                 yield pa.RecordBatch.from_arrays([b.column("c").take(keep), b.column("p").take(keep)], names=["c", "p"])
 
     return run
@@ -153,7 +183,7 @@ def _forest(batches):
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, label) of the nodes of ``edges`` (c, p), a written table: the label is the smallest node that is reachable.
 
-    Tasks of ``TASK_EDGES`` edges at most first turn their edges into stars. If there is more than one such task, rounds
+    Tasks of about ``TASK_EDGES`` edges first turn their edges into stars. If there is more than one such task, rounds
     of large and small stars join them until no edge changes; the number of rounds follows the logarithm of
     the longest path, nodes are pre-aggregated, and each round writes its edges."""
 
@@ -171,7 +201,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("c", "p").cast("decimal(20,0)"))).first()
 
     tasks = edges.count() // TASK_EDGES + 1
-    now = table(edges.coalesce(tasks).mapInArrow(_forest, "c long, p long"), name)
+    now = table((edges.repartition(tasks) if tasks > 1 else edges.coalesce(1)).mapInArrow(_forest, "c long, p long"), name)
     seen = None
     while tasks > 1:
         new = table(star(star(now, True), False), name)
@@ -188,10 +218,10 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
     """doc_id, th, n_shingles, component_id, kept for each row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("th"))
     sketch = table(docs.mapInArrow(_sketch(width, tables, half), "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<long>"), "sketch")
-    node = F.xxhash64("n_shingles", "s1", "s2")
-    # A class is known by its hash; its smallest doc_id names it, and one of its rows lends text and keys.
-    some = sketch.where("n_shingles > 0").withColumn("c", node)
-    classes = table(some.groupBy("c").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "th", "n_shingles", "keys")).alias("of")).select("c", "first_doc", "of.doc_id", "of.th", "of.n_shingles", "of.keys"), "classes")
+    # A class has a number, which the written table fixes; its smallest doc_id names it, and one of its rows lends text and keys.
+    same = ["n_shingles", "s1", "s2"]
+    found = sketch.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "th", "keys")).alias("of"))
+    classes = table(found.select(F.monotonically_increasing_id().alias("c"), *same, "first_doc", "of.doc_id", "of.th", "of.keys"), "classes")
     keys = classes.select("c", F.explode("keys").alias("k"))
     shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
     own = keys.join(shared, "k").groupBy("c").agg(F.collect_list("k").alias("k"))
@@ -223,39 +253,45 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
         links = table(sure if labels is None else sure.union(labels.where("node <> label").select(F.col("node").alias("c"), F.col("label").alias("p"))), "links")
         labels = table(components(links), "labels")
 
-    def with_pivot(r: DataFrame, members: int = 1) -> DataFrame:
-        pivots = r.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(place, "n", "r")).alias("p")).where(F.col("members") > members)
-        return r.join(pivots.select("bucket", F.col("p.o").alias("o_p"), F.col("p.o.c").alias("p"), F.col("p.n").alias("n_p"), F.col("p.r").alias("r_p")), "bucket")
+    def with_pivots(r: DataFrame, each: int = 1, members: int = 1) -> DataFrame:
+        """Each member of a bucket of more than so many with the bucket's pivots: the first of each of about ``each`` parts of it."""
+        part = [F.pmod(F.xxhash64("c", "bucket"), F.lit(each)).alias("part")] if each > 1 else []
+        pivots = r.groupBy("bucket", *part).agg(F.min(F.struct(place, "n", "r")).alias("p"), F.count(F.lit(1)).alias("m"))
+        if members > 1:
+            large = r.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > members).select("bucket")
+            pivots = pivots.join(large, "bucket")
+        elif not part:
+            pivots = pivots.where("m > 1")
+        return r.join(pivots.select("bucket", F.col("p.o.c").alias("p"), F.col("p.n").alias("n_p"), F.col("p.r").alias("r_p")), "bucket")
 
     def unconnected(done: DataFrame | None) -> DataFrame:
         """Rows of buckets with more than one component, without the pivots that are done with."""
         now = bounded.join(labels, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c"))
         r = rows(now, "c", "n", "r", "label")
         if done is not None:
-            r = r.join(done, "bucket", "left").where(F.col("last").isNull() | (place > F.col("last"))).drop("last")
+            r = r.join(done, ["bucket", "c"], "left_anti")
         open_ = r.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
         return table(r.join(open_, "bucket"), "open")
 
-    confirm(with_pivot(rows(bounded, "c", "n", "r").select("c", "n", "r", "bucket")).where("c <> p").where(near))
-    done, left = None, unconnected(None)
+    confirm(with_pivots(rows(bounded, "c", "n", "r").select("c", "n", "r", "bucket")).where("c <> p").where(near))
+    done, left, each = None, unconnected(None), 1
     while not left.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > DIRECT).isEmpty():
-        seen = table(with_pivot(left, DIRECT).select("c", "n", "r", "bucket", "p", "o_p", "n_p", "r_p"), "pivots")
-        confirm(seen.where("c <> p").where(near))
-        last = seen.groupBy("bucket").agg(F.max("o_p").alias("last"))
-        done = table(last if done is None else done.union(last).groupBy("bucket").agg(F.max("last").alias("last")), "done")
+        seen = table(with_pivots(left.select("c", "n", "r", "bucket"), each, DIRECT), "pivots")
+        confirm(seen.where("c <> p").where(near).select("c", "p"))
+        last = seen.select("bucket", F.col("p").alias("c")).distinct()
+        done = table(last if done is None else done.union(last), "done")
         release(left, seen)
-        left = unconnected(done)
+        left, each = unconnected(done), 2 * each
     other = left.select("bucket", *[F.col(x).alias(f"{x}_p") for x in ("n", "r", "label", "a", "b")], F.col("c").alias("p"))
+    # A pair of whose first bucket one is done with has been compared there.
     first = (F.get(F.array_intersect("a", "a_p"), F.lit(0)) == F.col("ka")) & (F.get(F.array_intersect("b", "b_p"), F.lit(0)) == F.col("kb"))
-    if done is not None:  # a pair's first bucket may be one where its pivot is done with, which has compared it
-        first = F.lit(True)
     confirm(left.join(other, (left["bucket"] == other["bucket"]) & (left["c"] < other["p"]) & (left["label"] != other["label_p"]) & near & first).select("c", "p"))
     release(left)
-    named = classes.select("c", "first_doc").join(labels, F.col("c") == F.col("node"), "left").select("c", "first_doc", F.coalesce("label", "c").alias("label"))
+    named = classes.select("c", *same, "first_doc").join(labels, F.col("c") == F.col("node"), "left").select(*same, "first_doc", F.coalesce("label", "c").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    named = named.join(smallest, "label").select("c", "component_id")
-    out = sketch.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, node).alias("c")).join(named, "c", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    named = named.join(smallest, "label").select(*same, "component_id")
+    some = sketch.where("n_shingles > 0").select("doc_id", "th", *same).join(named, same).select("doc_id", "th", "n_shingles", "component_id")
+    out = some.union(sketch.where("n_shingles = 0").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "th", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -265,6 +301,7 @@ def report(docs: DataFrame, **k) -> DataFrame:
 
 def dedup(docs: DataFrame, **k) -> DataFrame:
     """The rows of ``docs`` that ``link`` keeps, one of each component; of rows equal in doc_id and text, all stay or go together."""
-    gone = link(docs, **k).where("not kept").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
-    d = docs.withColumn("__th", row_key())
-    return d.join(gone, d["doc_id"].eqNullSafe(gone["__d"]) & (d["__th"] == gone["__t"]), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    doc, th, key = unused(docs, "of_doc", "of_text", "text_key")
+    gone = link(docs, **k).where("not kept").select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct()
+    d = docs.withColumn(key, row_key())
+    return d.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

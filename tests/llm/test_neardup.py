@@ -44,6 +44,23 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert any(not r[3] for r in got)
 
 
+def test_words_that_power_sums_confuse(spark):
+    from test_substring import thue_morse
+
+    x, y = thue_morse(1024)
+    check(spark, [(1, x), (2, y), (3, f"{x} {y}"), (4, f"{y} {x}"), (5, f"{x} b c d e f g h"), (6, f"{y} b c d e f g h"), (7, x)])
+
+
+def test_confirmation_is_by_words(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a b c d e f", "A b c d e f g", "", None, "one two", "One two", "x " * 9, "x " * 40, "u v w"]
+    n = len(texts)
+    c, p = zip(*[(texts[i], texts[j]) for i in range(n) for j in range(n)])
+    got = list(zip(*(v.tolist() for v in neardup._shared(pa.array(c, pa.string()), pa.array(p, pa.string()), 5))))
+    assert got == [(len(shingles(a)), len(shingles(b)), len(shingles(a) & shingles(b))) for a, b in zip(c, p)]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_families_chains_ties_nulls(spark, seed):
     r = random.Random(seed)
@@ -94,6 +111,8 @@ def test_components_in_many_tasks(spark, monkeypatch):
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, c string, th int, n_shingles int")
     assert neardup.report(df).collect() == []
+    extra = spark.createDataFrame([(2, "a b c d e f g", 5, "x"), (1, "a b c d e f g", 6, "y")], "doc_id int, text string, __th int, of_doc string")
+    assert [tuple(r) for r in neardup.dedup(extra).collect()] == [(1, "a b c d e f g", 6, "y")]
     df = spark.createDataFrame([(2, "a b c d e f g", "x", 1, 1), (1, "a b c d e f g", "y", 2, 2), (3, "other", None, 3, 3), (3, "other", None, 3, 3)], df.schema)
     out = neardup.dedup(df)
     assert out.columns == df.columns and sorted(x.doc_id for x in out.collect()) == [1, 3, 3]

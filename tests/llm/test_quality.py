@@ -37,28 +37,34 @@ def cdf(k, n, p):
     return sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log(1 - p)) for j in range(k + 1))
 
 
-def brute(rows, labels, risk=quality.RISK, alpha=quality.ALPHA):
+def halves(spark, ids):
+    """The doc_ids of the holdout."""
+    return {r.d for r in spark.createDataFrame([(d,) for d in ids], "d long").where(F.pmod(F.xxhash64("d"), F.lit(2)) == 1).collect()}
+
+
+def brute(spark, rows, labels, risk=quality.RISK, alpha=quality.ALPHA):
     best = {}
     for d, q in labels:
         if d is not None and q is not None:
             best[d] = max(q, best.get(d, q))
+    holdout = halves(spark, best)
     seen = {}
     for d, t, lang in rows:
         if d in best and not base(t)[5]:
-            for k, v in signals(t).items():
-                seen.setdefault((lang or "", k), []).append((v, best[d]))
+            seen.setdefault(lang or "", []).append((d in holdout, best[d] >= 1, signals(t)))
     cut = {}
-    for key, x in seen.items():
-        n, found = sum(q >= 1 for _, q in x), []
-        for v in range(quality.STEPS, 0, -1):
-            k, bad = sum(q >= 1 and y >= v for y, q in x), sum(q < 1 and y >= v for y, q in x)
-            r = risk / len(quality.SIGNALS)
-            if k >= n * r or cdf(k, n, r) > alpha / len(seen):
+    for stratum, x in seen.items():
+        found = []
+        for name in quality.SIGNALS:
+            gains = [(sum(1 if not good else -quality.GOOD_WEIGHT for h, good, v in x if not h and v[name] >= c), c) for c in range(1, quality.STEPS + 1)]
+            if max(gains)[0] > 0:
+                found.append((-max(gains)[0], name, max(gains)[1]))
+        for j, rule in enumerate(sorted(found)):
+            good = [v for h, ok, v in x if h and ok]
+            k = sum(any(v[name] >= c for _, name, c in sorted(found)[: j + 1]) for v in good)
+            if not good or k >= len(good) * risk or cdf(k, len(good), risk) > alpha / len(seen):
                 break
-            if bad - quality.GOOD_WEIGHT * k > 0:
-                found.append((bad - quality.GOOD_WEIGHT * k, v))
-        if found:
-            cut[key] = max(found)[1]
+            cut[stratum, rule[1]] = rule[2]
     out = []
     for d, t, lang in rows:
         b = base(t)
@@ -74,7 +80,7 @@ def got(df):
 def test_query_equals_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
     labels = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").collect()]
-    assert got(queries.op4_quality_rules(spark, sf_dir)) == brute(rows, labels)[0]
+    assert got(queries.op4_quality_rules(spark, sf_dir)) == brute(spark, rows, labels)[0]
 
 
 def test_cutoffs_are_certified_and_used(spark):
@@ -89,16 +95,38 @@ def test_cutoffs_are_certified_and_used(spark):
     labels += [(0, None), (None, 1), (6, 1), (6, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("w", F.lit(1)).withColumn("lines", F.lit("k"))
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
-    want, cut = brute(rows, labels)
+    want, cut = brute(spark, rows, labels)
     assert ("en", "symbols") in cut
     assert got(quality.report(df, lab)) == want
     kept = sorted((r.doc_id for r in quality.keep(df, lab).collect()), key=str)
     assert kept == sorted((x[0] for x in want if x[-1]), key=str)
     assert quality.report(df.limit(0), lab).collect() == []
-    assert got(quality.report(df, lab.limit(0))) == brute(rows, [])[0]
+    assert got(quality.report(df, lab.limit(0))) == brute(spark, rows, [])[0]
 
 
 @pytest.mark.parametrize("k,n,p", [(0, 10, 0.2), (3, 500, 0.01), (40, 5000, 0.01), (9500, 1_000_000, 0.01), (0, 1, 0.5)])
 def test_binomial(spark, k, n, p):
     x = spark.range(1).select(quality.binomial_cdf(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).first()[0]
     assert x == pytest.approx(cdf(k, n, p), rel=1e-9)
+
+
+def test_helper_columns_may_clash(spark):
+    df = spark.createDataFrame([(1, "w " * 60, "en", 5, "s", "t"), (2, " ".join(f"w{i}" for i in range(60)), None, 6, None, "u")], "doc_id int, text string, lang string, __th int, stratum string, text_key string")
+    out = quality.keep(df, spark.createDataFrame([], "doc_id long, quality int"))
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [tuple(df.collect()[1])]
+
+
+def test_cutoffs_hold_on_the_tables_given(spark):
+    """On documents of sf0.1: a stratum has a certified rule, and documents that were not labelled for it lose no more good ones than the risk allows."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    measured = quality.measure(docs).cache()
+    some = labels.where(F.pmod(F.hash("doc_id"), F.lit(4)) < 3)
+    cutoffs = {r.stratum: r.cutoffs for r in quality.thresholds(measured, some).collect()}
+    assert cutoffs and all(c for c in cutoffs.values())
+    rest = measured.where("not base_failed").join(labels.where((F.pmod(F.hash("doc_id"), F.lit(4)) == 3) & (F.col("quality") >= 1)).select("doc_id"), "doc_id").selectExpr("stratum", *[f"{v} as {k}" for k, v in quality.SIGNALS.items()]).collect()
+    for stratum, c in cutoffs.items():
+        good = [r for r in rest if r.stratum == stratum]
+        lost = sum(any(r[k] >= v for k, v in c.items()) for r in good)
+        assert lost <= 0.05 * len(good) + 3 * math.sqrt(0.05 * 0.95 * len(good)), (stratum, c, lost, len(good))
+    measured.unpersist()

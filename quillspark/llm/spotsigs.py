@@ -10,12 +10,14 @@ leaves room for (prefix filtering), which loses none.
 
 Defined cases: words are runs of letters and digits, lower-cased; a text without any signature has its distinct words
 as signatures, so that unlike texts stay unlike; a text without words has the empty set, alike (1.0) only to another empty set; a
-null text is empty. A document's next is that of the next smaller doc_id, and after the smallest comes the largest; rows that share a doc_id
+null text is empty; a very long one is one row's memory in one task. A document's next is that of the next smaller doc_id, and after the smallest comes the largest; rows that share a doc_id
 follow one another in the order of their texts; a single row is its own next; null doc_ids are no neighbours and have an empty text for their next. An empty table gives an empty result, and other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,22 +62,28 @@ def likeness(a: Column, b: Column) -> Column:
 
 def range_part(ids: DataFrame, n: int) -> Column:
     """A column that deals doc_ids into about ``n`` ranges of as many rows each. The ranges' borders are found by the cell of an
-    even grid that the id falls in, so that a row looks at the few borders of its cell only."""
+    even grid that the id falls in, so that a row looks at the few borders of its cell only. Borders and grid are one constant of the plan; ids
+    may be any longs."""
     lo, hi, borders = ids.agg(F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()
     if lo is None:
         return F.lit(0)
     cells = 4 * n
     width = (hi - lo) // cells + 1
-    inside: list[list[int]] = [[] for _ in range(cells)]
-    for b in sorted(set(borders)):
-        inside[(b - lo) // width].append(b)
-    below, total = [], 0
-    for x in inside:
-        below.append(total)
-        total += len(x)
-    cell = ((F.col("doc_id") - lo) / width).cast("int")
-    table_ = F.array(*[F.struct(F.lit(k).alias("n"), F.array(*[F.lit(b).cast("long") for b in x]).cast("array<long>").alias("b")) for k, x in zip(below, inside)])
-    return let(F.get(table_, cell), lambda x: x["n"] + F.size(F.filter(x["b"], lambda b: b <= F.col("doc_id"))))
+    borders = sorted(set(borders))
+    before = [0] * (cells + 1)  # borders in the cells before each
+    for b in borders:
+        before[(b - lo) // width + 1] += 1
+    for i in range(cells):
+        before[i + 1] += before[i]
+    grid = F.from_json(F.lit(json.dumps({"before": before, "borders": borders})), "before array<int>, borders array<bigint>")
+    cell = F.expr(f"cast((cast(doc_id as decimal(38,0)) - cast('{lo}' as decimal(38,0))) div cast('{width}' as decimal(38,0)) as int)")
+
+    def place(c):
+        first = F.get(grid["before"], c)
+        inside = F.slice(grid["borders"], first + 1, F.get(grid["before"], c + 1) - first)
+        return first + F.size(F.filter(inside, lambda b: b <= F.col("doc_id")))
+
+    return let(cell, place)
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -88,7 +96,8 @@ def edited(docs: DataFrame) -> DataFrame:
     heads = dealt.groupBy("part").agg(F.max("doc_id").alias("doc_id"))
     ring = Window.orderBy(F.desc("part"))  # a row for each range
     hosts = heads.select("doc_id", F.coalesce(F.lag("part").over(ring), F.last("part").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("part"))
-    guests = some.join(hosts, "doc_id").groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("x.doc_id", "x.text", "part", F.lit(True).alias("guest"))
+    # One row for each range, so its size is bounded by their number; no text is moved to find the guests.
+    guests = some.join(F.broadcast(hosts), "doc_id").groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("x.doc_id", "x.text", "part", F.lit(True).alias("guest"))
     every = dealt.select("doc_id", "text", "part", F.lit(False).alias("guest")).union(guests)
     order = Window.partitionBy("part").orderBy("guest", F.desc("doc_id"), "text")
     length = F.length("text")

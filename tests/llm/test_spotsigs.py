@@ -49,6 +49,8 @@ def test_edge_cases(spark):
     rows = [(None, "the big red dog"), (None, None), (1, ""), (5, "   "), (5, "the quick brown fox"), (5, "the quick brown fox"), (10**12, "é der große Hund " * 50), (-3, "no spots"), (7, "a the of and"), (8, "the x y " * 6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(spotsigs.report(df)) == brute(rows)
+    wide = [(9223372036854775807, "the red fox jumps"), (-9223372036854775808, "a blue dog sleeps"), (0, "in the green house now"), (9223372036854775806, "on the old road home")]
+    assert got(spotsigs.report(spark.createDataFrame(wide, df.schema))) == brute(wide)
     one = spark.createDataFrame([(4, "the only one here")], df.schema)
     assert got(spotsigs.report(one)) == brute([(4, "the only one here")])
     assert spotsigs.report(df.limit(0)).collect() == []
@@ -67,3 +69,11 @@ def test_join_equals_brute_force(spark, sf_dir):
             if sets[a] and sets[b] and like(sets[a], sets[b]) >= 0.5:
                 want.add(frozenset((a, b)))
     assert found == want and want
+
+
+def test_ranges_are_in_order(spark):
+    ids = spark.createDataFrame([(x,) for x in [*range(-500, 500, 7), -(1 << 63), (1 << 63) - 1, *range(10**12, 10**12 + 300)]], "doc_id long")
+    dealt = ids.withColumn("part", spotsigs.range_part(ids, 16)).orderBy("doc_id")
+    assert "from_json" not in dealt._jdf.queryExecution().optimizedPlan().toString().lower()  # one constant
+    parts = [r.part for r in dealt.collect()]
+    assert parts == sorted(parts) and 10 < len(set(parts)) <= 16

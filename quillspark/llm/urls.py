@@ -154,7 +154,7 @@ def dictionary(pages: DataFrame, urls: DataFrame) -> tuple[dict[str, int], int]:
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds of block), words of the host."""
     host, path = parts(F.col("url"))
-    urls = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
+    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     urls = urls.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"))
     cut = urls.mapInArrow(_tokens(*dictionary(pages, urls)), "page_id long, host string, path string, rule string, said string, tokens array<string>")

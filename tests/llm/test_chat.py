@@ -63,8 +63,42 @@ def test_query(spark, sf_dir):
     by = {}
     for r in sorted(out, key=lambda r: (r.conv_id, r.turn)):
         by.setdefault(r.conv_id, []).append(r)
-    for rs in by.values():
-        replay(rs)
+    given = {}
+    for r in sorted(rows):
+        given.setdefault(r[0], []).append(r[3] or "")
+    for conv, rs in by.items():
+        turns = replay(rs)
+        # Texts stay whole and in order; merged ones share a turn, inserted ones are empty.
+        want = []
+        for r, text in zip(rs, given[conv]):
+            want += [""] * (r.inserted.count(",") + 1 if r.inserted else 0)
+            if "merge" in r.action:
+                want[-1] += "\n" + text
+            else:
+                want.append(text)
+        assert [t[1] for t in turns][: len(want)] == want and [t[1] for t in turns][len(want) :] in ([], [""])
+
+
+def test_wide_ids_beside_nulls_and_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 7)
+    r = random.Random(9)
+    big = 9007199254740993
+    rows = [(big, t, r.choice(["user", "assistant", "x", None, " System\n"]), f"b{t}") for t in range(400)]
+    rows += [(None, None, r.choice(["user", "assistant"]), f"n{t}") for t in range(60)]
+    rows += [(c, t, r.choice(chat.ROLES[1:]), f"{c}.{t}") for c in range(150) for t in range(r.randint(1, 20))]
+    rows += [(big + 1, 1, "user", "same")] * 40
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for batch in ("10000", "13"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            out = chat.repair(df).collect()
+            check(rows, out)
+            replay(sorted((x for x in out if x.conv_id == big), key=lambda x: x.turn))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_all_short_sequences_and_blocks(spark, monkeypatch):

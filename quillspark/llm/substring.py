@@ -5,15 +5,17 @@ A window is ``min_words`` neighbouring words of one document; a word goes if a w
 1. Every window has an anchor, the first run of ``ANCHOR_WORDS`` words inside it with the smallest hash. Equal windows have the same
    anchor at the same place, so suffixes are taken where they start with an anchor, about one word in eighteen, and only
    where the anchor occurs in two documents.
-2. Suffixes are split by prefix: the anchor. A prefix with up to ``GROUP_ROWS`` suffixes makes a group, which fits in memory by far.
-   Beyond, the prefix is lengthened to the whole path: the window itself, known by 128 bits of hash, so that a group is one leaf,
-   which is counted up in parts before it moves, however often a passage occurs.
-3. A group's suffixes, with the words before them, are sorted in word order, to the right of the anchor and (backwards) to its left. The
+2. The neighbouring windows of one anchor make a block of up to 85 words: the suffix at the anchor, and the words before it that go with it. Equal blocks
+   (by 128 bits of hash) are counted up in parts before they move, and each keeps the smallest document and one copy of its words, so a passage that occurs
+   in any number of documents costs one block. In all other documents such a block is a repeat as a whole.
+3. Blocks are split by prefix: the anchor. A prefix with up to ``GROUP_ROWS`` different blocks makes a group, which fits in memory by far.
+   Beyond, the prefix is lengthened to the whole path: the window itself, known by 128 bits of hash, so that a group is one leaf.
+4. A group's suffixes, with the words before them, are sorted in word order, to the right of the anchor and (backwards) to its left. The
    words that neighbours have in common (LCP) give both trees' internal nodes: those of depth q are the runs where no LCP is below q.
    Suffixes in the same node of depth ``min_words - p`` on the right and of depth p on the left share a window that starts p words before the
    anchor; of these, the smallest document keeps it. The windows of one suffix that another document has make a maximal repeat.
    Words are compared as words here, not by hashes.
-4. The repeats of each document are put together and their words taken out.
+5. The repeats of each document are put together and their words taken out.
 
 Whole copies (equal word sequences, by their sha256) are first merged into the smallest doc_id: only one row of each group of copies has suffixes.
 
@@ -32,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Grams, buffers, chained, chunks, complete, lists, longs, release, row_key, spans, symbols, table, unused, word_ids
+from .common import U, Grams, buffers, chained, chunks, complete, lists, longs, mix, release, row_key, spans, symbols, table, unused, word_ids
 
 ANCHOR_WORDS = 15
-#: Suffixes of a group that is sorted in memory; each has up to 85 words.
+#: Different blocks of a group that is sorted in memory.
 GROUP_ROWS = 1000
 _NONE = np.zeros(0, np.int64)
 
@@ -73,7 +75,7 @@ def _blocks(data: np.ndarray, off: np.ndarray, size: int):
 
 
 def _outline(size: int):
-    """Per document: number of words, digest of the words, distinct anchors and how often each occurs."""
+    """Per document: number of words, digest of the words, distinct anchors."""
 
     def run(batches):
         for b in batches:
@@ -83,60 +85,71 @@ def _outline(size: int):
                 v, of = v[order], of[order]
                 new = np.ones(len(v), bool)
                 new[1:] = (v[1:] != v[:-1]) | (of[1:] != of[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(v)))
-                cuts = np.searchsorted(of[first], np.arange(hi - lo + 1))
+                v, cuts = v[new], np.searchsorted(of[new], np.arange(hi - lo + 1))
                 raw = data.tobytes()
                 sha = [hashlib.sha256(b" ".join(raw[x:y].split())).hexdigest() for x, y in zip(off[:-1], off[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id")[lo:hi], b.column("th")[lo:hi], pa.array(np.diff(count)), pa.array(sha, pa.string()), lists(v[first].view(np.int64), cuts), lists(times, cuts, pa.int32())],
-                    names=["doc_id", "th", "n_words", "sha", "anchors", "times"],
+                    [b.column("doc_id")[lo:hi], b.column("th")[lo:hi], pa.array(np.diff(count)), pa.array(sha, pa.string()), lists(v.view(np.int64), cuts)],
+                    names=["doc_id", "th", "n_words", "sha", "anchors"],
                 )
 
     return run
 
 
-_SUFFIX = "grp long, doc_id long, th long, at int, left int, words binary, a long, b long"
+_SUFFIX = "grp long, a long, b long, doc_id long, th long, at int, left int, n int, words binary"
+_NAMES = [x.split()[0] for x in _SUFFIX.split(", ")]
+
+
+def _block_hash(sym: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of the words of each block: every word is mixed with its place in the block before they are added up."""
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    mixed = mix(sym[np.repeat(start, size) + place] + (place + seed).astype(U) * U(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(mixed, first) + (size * 4096 + left).astype(U)) if len(size) else np.zeros(0, U)
 
 
 def _suffixes(size: int):
-    """A row for each suffix of a small group: its prefix (the anchor), its place, the number of words that go with it on the left, and the words
-    from there on. Of large groups, a row for each window: its place and the two halves of its hash."""
+    """A row for each block whose anchor occurs in another document: its prefix (the anchor), its hash, the place of the suffix, the number of words
+    that go with it on the left, the number of windows, and the words."""
 
     def run(batches):
         for b in batches:
-            live, rows = b.column("live"), b.column("n_rows")
-            lo_, lv, ln = np.asarray(live.offsets).astype(np.int64), np.asarray(live.values).view(U), np.asarray(rows.values)
+            live = b.column("live")
+            own_off, own = np.asarray(live.offsets).astype(np.int64), np.asarray(live.values).view(U)
+            doc, th = b.column("doc_id"), b.column("th")
             for lo, hi, data, off in chunks(b.column("text")):
                 s, e, count, of, at, to, p, v = _blocks(data, off, size)
-                n = np.zeros(len(v), np.int64)
-                for k, (x, y) in enumerate(zip(*(np.searchsorted(of, np.arange(hi - lo) + i).tolist() for i in (0, 1)))):
-                    own = slice(lo_[lo + k], lo_[lo + k + 1])
-                    if x < y and own.start < own.stop:
-                        order = np.argsort(lv[own])
-                        mine = lv[own][order]
-                        i = np.minimum(np.searchsorted(mine, v[x:y]), len(mine) - 1)
-                        n[x:y] = np.where(mine[i] == v[x:y], ln[own][order][i], 0)
-                small, large = np.flatnonzero((n > 0) & (n <= GROUP_ROWS)), np.flatnonzero(n > GROUP_ROWS)
-                doc, th, raw = b.column("doc_id"), b.column("th"), data.tobytes()
-                if len(small):
-                    row = pa.array(of[small] + lo)
-                    words = [raw[x:y] for x, y in zip(s[at[small]].tolist(), e[to[small] + size - 1].tolist())]
-                    none = pa.nulls(len(small), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [longs(v[small]), doc.take(row), th.take(row), pa.array((p - count[of])[small].astype(np.int32)), pa.array((p - at)[small].astype(np.int32)), pa.array(words, pa.binary()), none, none],
-                        names=[x.split()[0] for x in _SUFFIX.split(", ")],
-                    )
-                if len(large):
-                    m = (to - at)[large] + 1
-                    start = np.repeat(at[large] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                    text = np.repeat(of[large], m)
-                    row, none = pa.array(text + lo), lambda kind: pa.nulls(len(start), kind)
-                    a, c = (chained(symbols(data, s, e, lane), start, size, 30 + lane) for lane in (0, 1))
-                    yield pa.RecordBatch.from_arrays(
-                        [none(pa.int64()), doc.take(row), th.take(row), pa.array((start - count[text]).astype(np.int32)), none(pa.int32()), none(pa.binary()), longs(a), longs(c)],
-                        names=[x.split()[0] for x in _SUFFIX.split(", ")],
-                    )
+                keep = np.zeros(len(v), bool)
+                cuts = np.searchsorted(of, np.arange(hi - lo + 1)).tolist()
+                for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                    if x < y:
+                        keep[x:y] = np.isin(v[x:y], own[own_off[lo + k] : own_off[lo + k + 1]])
+                of, at, to, p, v = of[keep], at[keep], to[keep], p[keep], v[keep]
+                if not len(v):
+                    continue
+                row, raw, n = pa.array(of + lo), data.tobytes(), to - at + 1
+                words = [raw[x:y] for x, y in zip(s[at].tolist(), e[to + size - 1].tolist())]
+                halves = [longs(_block_hash(symbols(data, s, e, lane), at, n + size - 1, p - at, 1 + 1000 * lane)) for lane in (0, 1)]
+                ints = [pa.array(x.astype(np.int32)) for x in (p - count[of], p - at, n)]
+                yield pa.RecordBatch.from_arrays([longs(v), *halves, doc.take(row), th.take(row), *ints, pa.array(words, pa.binary())], names=_NAMES)
+
+    return run
+
+
+def _windows(size: int):
+    """A row for each window of the blocks of large groups: the two halves of its hash."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, data, off in chunks(b.column("words")):
+                s, e, count = spans(data, off)
+                n = np.diff(count) - size + 1
+                row = np.repeat(np.arange(hi - lo), n)
+                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                a, c = (chained(symbols(data, s, e, lane), start + count[row], size, 30 + lane) for lane in (0, 1))
+                take = pa.array(row + lo)
+                left = np.asarray(b.column("left"))[row + lo]
+                yield pa.RecordBatch.from_arrays([*(b.column(x).take(take) for x in ("grp", "a", "b", "first_doc")), pa.array((left - start).astype(np.int32)), longs(a), longs(c)], names=["grp", "a", "b", "first_doc", "p", "wa", "wb"])
 
     return run
 
@@ -178,26 +191,22 @@ def _repeats(group, doc, left, data, off, size: int) -> np.ndarray:
     return found
 
 
-_SPAN = "doc_id long, th long, start int, stop int"
+_RUN = "grp long, a long, b long, first_doc long, low int, high int"
 
 
 def _subtrees(size: int):
-    """Rows come sorted by group; many whole groups are looked at together."""
+    """Rows come sorted by group; many whole groups are looked at together. A run has the windows that start ``low`` to ``high`` words before the anchor."""
 
     def look(b):
         data, off = buffers(b.column("words"))
-        at, left = np.asarray(b.column("at")).astype(np.int64), np.asarray(b.column("left")).astype(np.int64)
-        found = _repeats(np.asarray(b.column("grp")), np.asarray(b.column("doc_id")), left, data, off, size)
-        # Runs of p: windows that start from at - last to at - first.
-        edge = np.zeros((len(at), found.shape[0] + 2), np.int8)
+        found = _repeats(np.asarray(b.column("grp")), np.asarray(b.column("first_doc")), np.asarray(b.column("left")).astype(np.int64), data, off, size)
+        edge = np.zeros((b.num_rows, found.shape[0] + 2), np.int8)
         edge[:, 1:-1] = found.T
         step = np.diff(edge, axis=1)
-        row, first = np.nonzero(step == 1)
-        last = np.nonzero(step == -1)[1] - 1
+        row, low = np.nonzero(step == 1)
+        high = np.nonzero(step == -1)[1] - 1
         take = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [b.column("doc_id").take(take), b.column("th").take(take), pa.array((at[row] - last).astype(np.int32)), pa.array((at[row] - first + size).astype(np.int32))], names=["doc_id", "th", "start", "stop"]
-        )
+        return pa.RecordBatch.from_arrays([*(b.column(x).take(take) for x in ("grp", "a", "b", "first_doc")), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=[x.split()[0] for x in _RUN.split(", ")])
 
     def run(batches):
         for b in complete(batches, ["grp"]):
@@ -211,27 +220,35 @@ def repeats(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, DataFrame]
     same words; and the maximal repeats (doc_id, th, spans array<struct<start, stop>>, in words, overlapping and in no order) of the first copies, whose windows a
     smaller doc_id has too. ``th`` is the hash of the row's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("th"))
-    outline = table(docs.mapInArrow(_outline(min_words), "doc_id long, th long, n_words long, sha string, anchors array<long>, times array<int>"), "outline")
+    outline = table(docs.mapInArrow(_outline(min_words), "doc_id long, th long, n_words long, sha string, anchors array<long>"), "outline")
     known = outline.where("doc_id is not null and n_words >= %d" % min_words)
     # A copy is removed whole, so one row of each class has suffixes to look at.
-    classes = table(known.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("th", "anchors", "times"), "doc_id").alias("of")).select("sha", "doc_id", "of.*"), "classes")
-    each = classes.select("doc_id", "th", F.explode(F.arrays_zip("anchors", "times")).alias("x")).select("doc_id", "th", F.col("x.anchors").alias("v"), F.col("x.times").alias("times"))
-    live = each.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("times").alias("n")).where("lo < hi").select("v", "n")
-    own = each.join(live, "v").groupBy("doc_id", "th").agg(F.collect_list(F.struct("v", "n")).alias("x")).select("doc_id", "th", F.col("x.v").alias("live"), F.col("x.n").alias("n_rows"))
+    classes = table(known.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("th", "anchors"), "doc_id").alias("of")).select("sha", "doc_id", "of.*"), "classes")
+    each = classes.select("doc_id", "th", F.explode("anchors").alias("v"))
+    live = each.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("v")
+    own = each.join(live, "v").groupBy("doc_id", "th").agg(F.collect_list("v").alias("live"))
     texts = docs.where("doc_id is not null").join(own, ["doc_id", "th"])
     suffixes = table(texts.mapInArrow(_suffixes(min_words), _SUFFIX), "suffixes")
+    key = ["grp", "a", "b"]
+    blocks = table(suffixes.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.first("left").alias("left"), F.first("words").alias("words")), "blocks")
+    large = table(blocks.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS).select("grp"), "large")
+    tree = blocks.join(large, "grp", "left_anti").repartition("grp").sortWithinPartitions("grp").mapInArrow(_subtrees(min_words), _RUN)
+    windows = table(blocks.join(large, "grp").mapInArrow(_windows(min_words), "grp long, a long, b long, first_doc long, p int, wa long, wb long"), "windows")
+    leaves = table(windows.groupBy("wa", "wb").agg(F.min("first_doc").alias("lo"), F.max("first_doc").alias("hi")).where("lo < hi").select("wa", "wb", "lo"), "leaves")
+    hits = windows.join(leaves, ["wa", "wb"]).where("lo < first_doc").select(*key, "first_doc", F.col("p").alias("low"), F.col("p").alias("high"))
+    runs = table(tree.union(hits), "runs")
+    release(large, windows, leaves)
+    places = suffixes.drop("words")
+    begin = F.col("at") - F.col("left")
+    again = places.join(blocks.select(*key, "first_doc"), key).where("first_doc < doc_id").select("doc_id", "th", begin.alias("start"), (begin + F.col("n") + (min_words - 1)).alias("stop"))
+    first = places.join(runs, key).where("first_doc = doc_id").select("doc_id", "th", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + min_words).alias("stop"))
     marked = outline.select("doc_id", "th", "n_words", "sha")
     copies = classes.select("sha", F.col("doc_id").alias("first_copy"))
     enough = F.coalesce(F.col("doc_id").isNotNull() & (F.col("n_words") >= min_words), F.lit(False))
     marked = marked.where(enough).join(copies, "sha").select("doc_id", "th", "n_words", "sha", "first_copy").union(marked.where(~enough).withColumn("first_copy", F.col("doc_id")))
-    groups = suffixes.where("words is not null").select("grp", "doc_id", "th", "at", "left", "words")
-    spans_ = groups.repartition("grp").sortWithinPartitions("grp").mapInArrow(_subtrees(min_words), _SPAN)
-    windows = suffixes.where("words is null").select("doc_id", "th", "at", "a", "b")
-    leaves = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
-    hits = windows.join(leaves, ["a", "b"]).where("lo < doc_id").select("doc_id", "th", F.col("at").alias("start"), (F.col("at") + min_words).alias("stop"))
-    found = spans_.union(hits).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    found = again.union(first).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     found = table(found, "spans")
-    release(suffixes)
+    release(suffixes, blocks, runs)
     return marked, found
 
 

@@ -90,7 +90,9 @@ def test_large_groups_become_leaves(spark, monkeypatch):
         at, a = r.randint(0, len(w)), r.randint(0, 30)
         w[at:at] = passage[a : a + r.randint(45, 60)]
         rows.append((r.randint(0, 200), " ".join(w)))
-    for limit in (3, 40, 1000):
+    # Repeats inside one document, and of its own repeats elsewhere.
+    rows += [(300, "z " * 200), (301, "y " * 90 + "z " * 60), (299, " ".join(passage * 3)), (5, " ".join(passage[20:80] * 2))]
+    for limit in (1, 3, 40, 1000):
         monkeypatch.setattr(substring, "GROUP_ROWS", limit)
         check(spark, rows)
 

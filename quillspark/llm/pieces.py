@@ -3,16 +3,18 @@
 A text becomes a leading space and its bytes, with spaces shown as the marker U+2581, as the library does it. Among all ways to
 write it as pieces, Viterbi finds the one with the greatest sum of log scores; characters that no piece begins with fall back
 to byte pieces, at ``UNKNOWN`` below the lowest score. No piece has a marker after another character, so a text's
-segmentation is that of its runs of markers with what follows, and runs that were met before come from a bounded cache.
+segmentation is that of its runs of markers with what follows. The distinct runs of a chunk of texts are found in Arrow, and all of
+them walk the trie together, byte by byte; longer runs than ``LONGEST`` bytes do so one by one. Nothing is kept from chunk to chunk.
 
 The vocabulary is a merge list whose scores are negative ranks; ``-log(1 + rank)`` (Zipf's law) makes them log scores.
 
 Defined cases: a null or empty text has no pieces; a marker character in a text reads as a space, and so decodes
-to one (``exact`` is false then); rows are encoded each for itself; an empty table gives an empty result; other columns are ignored.
+to one (``exact`` is false then); rows are encoded each for itself; a very long text is one chunk of its own and takes memory in proportion to its length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -22,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, lists
 
 MARK = "▁".encode()
-UNKNOWN, CACHE_RUNS = 10.0, 400_000
+UNKNOWN = 10.0
+#: Bytes of texts in a chunk, runs that walk the trie together, and the longest that do.
+TEXT_BYTES, TOGETHER, LONGEST = 4 << 20, 16_384, 48
 RUNS = re.compile(rb" *[^ ]+| +")
 
 
@@ -108,7 +112,15 @@ class Unigram:
         self.pieces, self.scores, self.by_byte = pieces, scores, by_byte
         self.trie = DoubleArray({p: i for i, p in enumerate(pieces) if p and scores[i] > -math.inf})
         self.fallback = min(s for s in scores if s > -math.inf) - UNKNOWN
-        self.known: dict[bytes, bytes] = {}
+        self.in_bytes = np.zeros(len(pieces), bool)
+        self.in_bytes[by_byte] = True
+        self.base, self.check, self.value = (np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value))
+        self.score = np.array(scores)
+        self.bytes = np.array(by_byte, np.uint32)
+        shown = [p.replace(MARK, b" ") for p in pieces]
+        self.letters = np.frombuffer(b"".join(shown), np.uint8)
+        self.size = np.array([len(p) for p in shown], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
 
     def viterbi(self, run: bytes) -> list[int]:
         """Best pieces of one run, markers written out. Of equal sums, the one whose last piece is longest."""
@@ -141,18 +153,116 @@ class Unigram:
             j = i
         return [v for x in reversed(out) for v in x]
 
+    def _walk(self, data: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``viterbi`` for many runs: the ids of all, one run after the other, and how many each has."""
+        wide, cols = int(n.max()), np.arange(len(n))
+        place = np.arange(wide)[:, None]
+        letters = data[np.where(place < n, start + place, 0)]
+        best = np.full((wide + 1, len(n)), -np.inf)
+        come = np.zeros((wide + 1, len(n)), np.int8)
+        by = np.full((wide + 1, len(n)), -1, np.int32)
+        best[0] = 0.0
+        width = np.array([1] * 0x80 + [0] * 0x40 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10)[letters]  # 0: inside a character
+        for i in range(wide):
+            w = np.flatnonzero((i < n) & (width[i] > 0))
+            if not len(w):
+                continue
+            here, state, single = best[i, w], np.zeros(len(w), np.int64), np.zeros(len(w), bool)
+            end = np.minimum(n[w], i + width[i, w])
+            alive, at = np.arange(len(w)), w
+            for j in range(i, wide):
+                inside = j < n[at]
+                alive, at = alive[inside], at[inside]
+                to = self.base[state[alive]] + letters[j, at].astype(np.int64) + 1
+                ok = self.check[to] == state[alive]
+                alive, at, to = alive[ok], at[ok], to[ok]
+                if not len(alive):
+                    break
+                state[alive] = to
+                v = self.value[to]
+                is_piece = v >= 0
+                k, c, v = alive[is_piece], at[is_piece], v[is_piece]
+                single[k[j + 1 == i + width[i, c]]] = True
+                sums = here[k] + self.score[v]
+                more = sums > best[j + 1, c]
+                c, v = c[more], v[more]
+                best[j + 1, c], come[j + 1, c], by[j + 1, c] = sums[more], i, v
+            lone = np.flatnonzero(~single)
+            sums, c, k = here[lone] + self.fallback, w[lone], end[lone]
+            more = sums > best[k, c]
+            k, c = k[more], c[more]
+            best[k, c], come[k, c], by[k, c] = sums[more], i, -1
+        # Back from the ends: by place in the run, the piece that ends there, or the bytes of a character without a piece.
+        ids, used = np.zeros((wide, len(n)), np.uint32), np.zeros((wide, len(n)), bool)
+        j, w = n.copy(), cols
+        while len(w):
+            piece, i = by[j, w], come[j, w].astype(np.int64)
+            known = piece >= 0
+            ids[i[known], w[known]], used[i[known], w[known]] = piece[known], True
+            for m in range(4):
+                some = ~known & (i + m < j)
+                ids[i[some] + m, w[some]], used[i[some] + m, w[some]] = self.bytes[letters[i[some] + m, w[some]]], True
+            more = i > 0
+            j, w = i[more], w[more]
+        return ids.T[used.T], used.sum(0)
+
+    def runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all runs, the places where each one's begin, and how many each has."""
+        marked = [w.replace(b" ", MARK) for w in runs]
+        n = np.fromiter(map(len, marked), np.int64, len(marked))
+        start, data = np.cumsum(n) - n, np.frombuffer(b"".join(marked), np.uint8)
+        at, count, out, total = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), [np.zeros(0, np.uint32)], 0
+        order = np.argsort(n, kind="stable")
+        short = order[: int(np.searchsorted(n[order], LONGEST, side="right"))]
+        for k in range(0, len(short), TOGETHER):  # runs of like length together
+            some = short[k : k + TOGETHER]
+            ids, m = self._walk(data, start[some], n[some])
+            at[some], count[some] = total + np.cumsum(m) - m, m
+            out.append(ids)
+            total += len(ids)
+        for k in order[len(short) :].tolist():
+            ids = np.array(self.viterbi(marked[k]), np.uint32)
+            at[k], count[k] = total, len(ids)
+            out.append(ids)
+            total += len(ids)
+        return np.concatenate(out), at, count
+
+    def texts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a chunk of texts, their offsets, and whether they decode to the text."""
+        raw = data.tobytes()
+        texts = [raw[x:y] for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
+        plain = np.array([MARK not in t for t in texts], bool)
+        spaced = [b" " + t.replace(MARK, b" ") if t else b"" for t in texts]
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, spaced), np.int64, len(spaced)))])
+        buf = np.frombuffer(b"".join(spaced), np.uint8)
+        if not len(buf):
+            return np.zeros(0, np.uint32), ends, plain
+        space = buf == 32
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        first[ends[:-1][ends[:-1] < len(buf)]] = True
+        cuts = np.append(np.flatnonzero(first), len(buf))
+        told = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(buf)]).dictionary_encode()
+        ids, start, length = self.runs(told.dictionary.to_pylist())
+        of = told.indices.to_numpy()
+        n = length[of]
+        to = np.concatenate([[0], np.cumsum(n)])
+        ids = ids[np.repeat(start[of] - to[:-1], n) + np.arange(to[-1])]
+        cut = to[np.searchsorted(cuts, ends)]
+        size = self.size[ids]
+        back = np.concatenate([[0], np.cumsum(size)])
+        exact = np.diff(back[cut]) == np.diff(ends)
+        if back[-1] == len(buf):
+            same = self.letters[np.repeat(self.begin[ids] - back[:-1], size) + np.arange(back[-1])] == buf
+            wrong = np.concatenate([[0], np.cumsum(~same)])
+            exact &= wrong[ends[1:]] == wrong[ends[:-1]]
+        else:
+            exact &= np.array([self.decode(ids[x:y].astype("<u4").tobytes()) == t for x, y, t in zip(cut[:-1], cut[1:], texts)], bool)
+        return ids.astype("<u4"), cut, exact & plain
+
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        known, out = self.known, []
-        for run in RUNS.findall(b" " + text.replace(MARK, b" ")):
-            if (ids := known.get(run)) is None:
-                if len(known) >= CACHE_RUNS:
-                    known.clear()
-                ids = known[run] = np.array(self.viterbi(run.replace(b" ", MARK)), "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return self.texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         pieces = self.pieces
@@ -160,35 +270,24 @@ class Unigram:
         return text[1:] if text[:1] == b" " else text
 
 
-_MODELS: dict[str, Unigram] = {}
-
-
+@functools.lru_cache(1)
 def model(path: str) -> Unigram:
-    """One for each Python worker, kept from task to task."""
-    if path not in _MODELS:
-        _MODELS[path] = Unigram(*vocabulary(path))
-    return _MODELS[path]
+    """One for each Python worker, kept from task to task: it takes long to build, and its size is fixed."""
+    return Unigram(*vocabulary(path))
 
 
 def _encode(path: str, with_ids: bool):
     def run(batches):
         m = model(path)
-        in_bytes = np.zeros(len(m.pieces), bool)
-        in_bytes[m.by_byte] = True
         for b in batches:
-            for lo, hi, data, off in chunks(b.column("text")):
-                raw, n, fallback, crc, exact, kept = data.tobytes(), [], [], [], [], []
-                for x, y in zip(off[:-1].tolist(), off[1:].tolist()):
-                    ids = m.encode(raw[x:y])
-                    n.append(len(ids) // 4)
-                    fallback.append(int(in_bytes[np.frombuffer(ids, "<u4")].sum()))
-                    crc.append(zlib.crc32(ids))
-                    exact.append(m.decode(ids) == raw[x:y])
-                    kept.append(np.frombuffer(ids, "<u4").astype(np.int32) if with_ids else None)
-                out = [b.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(fallback, pa.int64()), pa.array(crc, pa.int64()), pa.array(exact, pa.bool_())]
+            for lo, hi, data, off in chunks(b.column("text"), TEXT_BYTES):
+                ids, cut, exact = m.texts(data, off)
+                raw, at = ids.tobytes(), (4 * cut).tolist()
+                fallback = np.concatenate([[0], np.cumsum(m.in_bytes[ids])])
+                out = [b.column("doc_id")[lo:hi], pa.array(np.diff(cut)), pa.array(np.diff(fallback[cut])), pa.array([zlib.crc32(raw[x:y]) for x, y in zip(at, at[1:])], pa.int64()), pa.array(exact)]
                 names = ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "exact"]
                 if with_ids:
-                    out.append(pa.array(kept, pa.list_(pa.int32())))
+                    out.append(lists(ids.astype(np.int32), cut, pa.int32()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
 

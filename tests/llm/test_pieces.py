@@ -60,9 +60,25 @@ def test_query_and_round_trip(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert len(out) == len(texts) and all(r.exact for r in out)
     m = pieces.model(pieces.default_vocabulary())
-    for r in out[:10]:
-        if len(texts[r.doc_id]) < 3000:
-            assert r.ids_crc32 == zlib.crc32(np.array(brute(m, texts[r.doc_id]), "<u4").tobytes())
+    bytes_ = set(m.by_byte)
+    for r in out:  # every document, whole
+        ids = brute(m, texts[r.doc_id])
+        assert (r.n_pieces, r.n_byte_pieces, r.ids_crc32) == (len(ids), sum(i in bytes_ for i in ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_chunks_slabs_and_long_runs(monkeypatch):
+    m = pieces.model(pieces.default_vocabulary())
+    r = random.Random(12)
+    texts = [*ODD, *("".join(r.choice(" abcdehilnorstuéß\n1京😀") for _ in range(r.randint(0, 120))) for _ in range(80))]
+    raw = [t.encode() for t in texts]
+    off = np.cumsum([0, *map(len, raw)])
+    for together, longest in ((16_384, 48), (7, 9), (1, 1)):
+        monkeypatch.setattr(pieces, "TOGETHER", together)
+        monkeypatch.setattr(pieces, "LONGEST", longest)
+        ids, cut, exact = m.texts(np.frombuffer(b"".join(raw), np.uint8), off)
+        for i, t in enumerate(texts):
+            assert ids[cut[i] : cut[i + 1]].tolist() == brute(m, t.replace("▁", " "))
+            assert exact[i] == ("▁" not in t)
 
 
 def test_odd_rows(spark):

@@ -10,7 +10,7 @@ import functools
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,8 @@ def _nfc_udf():
 
 
 def to_nfc(c: Column) -> Column:
-    return _nfc_udf()(c)
+    """Characters below U+0300 never change, so texts without any other are not sent to Python."""
+    return F.coalesce(_nfc_udf()(F.when(c.rlike("[^\\x{00}-\\x{2ff}]"), c)), c)
 
 
 def nfc(c: Column) -> Column:
@@ -85,26 +86,25 @@ def clean_for_storage(c: Column) -> Column:
     return squeeze(to_nfc(strip_inert_joiners(c)))
 
 
-def storage_audit(raw: Column) -> dict[str, Column]:
-    """What ``clean_for_storage`` does to a field, as counters; an empty field counts nothing."""
-    seen = F.coalesce(raw, F.lit("")) != ""
-    visible = F.regexp_replace(raw, "[\\x{200b}\\x{feff}\\x{a0}]", "")
-    joined = strip_inert_joiners(visible)
-    composed = to_nfc(joined)
-    done = squeeze(composed)
-    kinds = sum((F.contains(raw, F.lit(c)).cast("int") for c in (ZWSP, BOM, NBSP)), F.lit(0))
-    inert = F.length(visible) - F.length(joined)
-    each = {
+def storage_audit(df: DataFrame, raw: str) -> DataFrame:
+    """What ``clean_for_storage`` does to the texts of a column, as counters in one row; an empty field counts nothing. Each step is a projection of its
+    own, so that no text is cleaned twice."""
+    seen = df.where(F.col(raw) != "").select(F.col(raw).alias("raw"), F.regexp_replace(raw, "[\\x{200b}\\x{feff}\\x{a0}]", "").alias("visible"))
+    joined = seen.select("*", strip_inert_joiners(F.col("visible")).alias("joined"))
+    composed = joined.select("*", to_nfc(F.col("joined")).alias("composed"))
+    done = composed.select("*", squeeze(F.col("composed")).alias("done"))
+    inert = F.length("visible") - F.length("joined")
+    counters = {
         "fields_seen": F.lit(1),
-        "stripped_invisible": kinds,
+        "stripped_invisible": sum((F.contains("raw", F.lit(c)).cast("int") for c in (ZWSP, BOM, NBSP)), F.lit(0)),
         "fields_with_inert_joiner": (inert > 0).cast("int"),
         "inert_joiners_removed": inert,
-        "functional_joiners_kept": F.regexp_count(visible, F.lit("(?<=\\x{09cd})[\\x{200c}\\x{200d}]")),
-        "nfc_changed": (composed != joined).cast("int"),
-        "whitespace_changed": (done != composed).cast("int"),
-        "fields_changed": (done != raw).cast("int"),
+        "functional_joiners_kept": F.regexp_count("visible", F.lit("(?<=\\x{09cd})[\\x{200c}\\x{200d}]")),
+        "nfc_changed": (F.col("composed") != F.col("joined")).cast("int"),
+        "whitespace_changed": (F.col("done") != F.col("composed")).cast("int"),
+        "fields_changed": (F.col("done") != F.col("raw")).cast("int"),
     }
-    return {k: F.when(seen, v).otherwise(0).cast("long") for k, v in each.items()}
+    return done.agg(*[F.coalesce(F.sum(v.cast("long")), F.lit(0)).alias(k) for k, v in counters.items()])
 
 
 def strict_match(prediction: Column, reference: Column) -> Column:

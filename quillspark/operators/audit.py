@@ -60,3 +60,8 @@ def convention_counts(rows: DataFrame) -> DataFrame:
     count = F.col("type") == "count"
     digit = F.col("digit_kind").isNotNull()
     return c.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(count).alias("count_answers"), F.count_if(count & digit).alias("count_with_digit"), F.count_if(~count & digit).alias("other_with_digit"), F.count_if(F.col("digit_kind") == "ASCII").alias("ascii_digit"), F.count_if("no_daari").alias("no_daari"), F.count_if("copied").alias("copied"), F.count_if("blank").alias("blank"))
+
+
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that occur more than once, and how often."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

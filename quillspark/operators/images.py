@@ -16,7 +16,7 @@ STATUS = "status string, src_name string, dst_name string, w int, h int, message
 
 
 def header(content: bytes) -> tuple[int, int] | None:
-    """Width and height from the header of a PNG, GIF, BMP or JPEG image."""
+    """Width and height from the header of a PNG, GIF, BMP, JPEG, WebP, TIFF or HEIF image."""
     if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
         return struct.unpack(">II", content[16:24])
     if content[:6] in (b"GIF87a", b"GIF89a") and len(content) >= 10:
@@ -24,6 +24,12 @@ def header(content: bytes) -> tuple[int, int] | None:
     if content[:2] == b"BM" and len(content) >= 26:
         w, h = struct.unpack("<ii", content[18:26])
         return w, abs(h)
+    if content[:4] == b"RIFF" and content[8:12] == b"WEBP":
+        return _webp(content)
+    if content[:4] in (b"II*\0", b"MM\0*"):
+        return _tiff(content, "<" if content[:1] == b"I" else ">")
+    if content[4:8] == b"ftyp":
+        return _heif(content)
     if content[:2] == b"\xff\xd8":
         at = 2
         while at + 9 < len(content):
@@ -40,6 +46,47 @@ def header(content: bytes) -> tuple[int, int] | None:
     return None
 
 
+def _webp(content: bytes) -> tuple[int, int] | None:
+    kind, at = content[12:16], 20
+    if kind == b"VP8X" and len(content) >= at + 10:
+        return 1 + int.from_bytes(content[at + 4 : at + 7], "little"), 1 + int.from_bytes(content[at + 7 : at + 10], "little")
+    if kind == b"VP8L" and content[at : at + 1] == b"\x2f" and len(content) >= at + 5:
+        bits = int.from_bytes(content[at + 1 : at + 5], "little")
+        return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+    if kind == b"VP8 " and content[at + 3 : at + 6] == b"\x9d\x01\x2a" and len(content) >= at + 10:
+        w, h = struct.unpack("<HH", content[at + 6 : at + 10])
+        return w & 0x3FFF, h & 0x3FFF
+    return None
+
+
+def _tiff(content: bytes, order: str) -> tuple[int, int] | None:
+    """The first directory's width (tag 256) and height (257), as short or long."""
+    if len(content) < 8:
+        return None
+    (at,) = struct.unpack(order + "I", content[4:8])
+    if at + 2 > len(content):
+        return None
+    found = {}
+    for i in range(struct.unpack(order + "H", content[at : at + 2])[0]):
+        entry = content[at + 2 + 12 * i : at + 14 + 12 * i]
+        if len(entry) < 12:
+            break
+        tag, kind = struct.unpack(order + "HH", entry[:4])
+        if tag in (256, 257) and kind in (3, 4):
+            found[tag] = struct.unpack(order + "HI"[kind - 3], entry[8 : 10 if kind == 3 else 12])[0]
+    return (found[256], found[257]) if len(found) == 2 else None
+
+
+def _heif(content: bytes) -> tuple[int, int] | None:
+    """The largest of the image sizes among the properties; tiles and thumbnails have smaller ones."""
+    best, at = None, content.find(b"ispe")
+    while at >= 0 and at + 16 <= len(content):
+        size = struct.unpack(">II", content[at + 8 : at + 16])
+        best = max(best or size, size, key=lambda x: x[0] * x[1])
+        at = content.find(b"ispe", at + 4)
+    return best
+
+
 def dimensions(images: DataFrame) -> DataFrame:
     """(name, w, h) of images with their content; null where the header can't be read."""
 
@@ -97,7 +144,25 @@ def pillow_resize(content: bytes, side: int, quality: int) -> tuple[bytes, int,
         return out.getvalue(), w, h
 
 
-def resize(images: DataFrame, side: int = vocab.SHORT_SIDE_PX, quality: int = 92, work: Callable[[bytes, int, int], tuple[bytes, int, int]] = pillow_resize) -> DataFrame:
+def pillow_ingest(content: bytes, edge: int, quality: int) -> tuple[bytes, int, int]:
+    import io
+
+    from PIL import Image, ImageOps
+
+    with Image.open(io.BytesIO(content)) as im:
+        im = ImageOps.exif_transpose(im).convert("RGB")
+        im.thumbnail((edge, edge), Image.LANCZOS)
+        out = io.BytesIO()
+        im.save(out, format="JPEG", quality=quality, optimize=True)
+        return out.getvalue(), *im.size
+
+
+def ingest(numbered: DataFrame, edge: int = vocab.LONG_EDGE_PX, quality: int = vocab.INGEST_QUALITY, work: Callable[[bytes, int, int], tuple[bytes, int, int]] = pillow_ingest) -> DataFrame:
+    """Status rows with the upright, capped JPEG content of numbered images, named by house and image_id; ``writers.images`` writes them."""
+    return resize(numbered.withColumn("dst_name", F.concat("house_id", F.lit("/"), "image_id", F.lit(".jpg"))), edge, quality, work)
+
+
+def resize(images: DataFrame, side: int = vocab.SHORT_SIDE_PX, quality: int = vocab.RESIZE_QUALITY, work: Callable[[bytes, int, int], tuple[bytes, int, int]] = pillow_resize) -> DataFrame:
     """Status rows with the resized content; a failure is a row, never an exception."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

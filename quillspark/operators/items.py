@@ -64,3 +64,8 @@ def todo(items: DataFrame, done: DataFrame, limit: int = 0) -> DataFrame:
     """Items whose id has no response yet, in rank order if limited."""
     left = items.join(done.select("qa_id").distinct(), "qa_id", "left_anti").select(*[F.col(f"`{c}`") for c in items.columns])
     return left.orderBy("rank").limit(limit) if limit else left
+
+
+def largest(df: DataFrame, value: str, order: list[str], n: int) -> DataFrame:
+    """The ``n`` rows of the largest value; of equal ones, the first by ``order``."""
+    return df.orderBy(F.desc(value), *order).limit(n)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import geometry, scalars, text
+from ..sources import scratch
+from .items import largest
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,16 @@ def _to_map(name: str) -> Column:
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
 
 
+def in_place(boxes: str | Column, at) -> Column:
+    """Boxes in the order of their place: by y, then x, each to four digits, then by what ``at`` (x, y, tie) gives third."""
+
+    def key(b):
+        x, y, tie = at(b)
+        return F.struct(geometry.signed_round(y, 4).alias("y4"), geometry.signed_round(x, 4).alias("x4"), tie.alias("tie"), b.alias("box"))
+
+    return F.transform(F.array_sort(F.transform(boxes, key)), lambda z: z["box"])
+
+
 def records(tasks: DataFrame, assignment: DataFrame, manifest: DataFrame, options: MergeOptions = MergeOptions()) -> DataFrame:
     """Internal records of all tasks that give one: the release columns, ``_``-prefixed internals, and file_no, pos.
 
@@ -99,12 +111,11 @@ def records(tasks: DataFrame, assignment: DataFrame, manifest: DataFrame, option
         v = e["value"]
         g = geometry.box(v["x"], v["y"], v["w"], v["h"], v["ow"], v["oh"], options.clip_boxes)
         return F.struct(
-            geometry.signed_round(v["y"], 4).alias("y4"), geometry.signed_round(v["x"], 4).alias("x4"), e["key"].alias("region"),
             F.coalesce(F.try_element_at(F.col("_names"), e["key"]), F.lit("")).alias("bangla_name"), g["px"].alias("bbox"), g["pct"].alias("bbox_pct"), g["over_px"].alias("over_px"), g["lost"].alias("lost"),
             g["out_of_frame"].alias("out_of_frame"), g["clipped"].alias("clipped"), g["empty_after_clip"].alias("empty_after_clip"), geometry.degenerate(g["px"], g["lost"], options.min_box_area_pct, options.min_box_side_px).alias("degenerate"),
         )
 
-    boxes = F.array_sort(F.transform(F.map_entries("_rects"), placed))
+    boxes = F.transform(in_place(F.map_entries("_rects"), lambda e: (e["value"]["x"], e["value"]["y"], e["key"])), placed)
     numbered = F.transform(boxes, lambda b, i: F.struct(scalars.slot_id(F.col("image_id"), "b", i + 1).alias("object_id"), *[b[c].alias(c) for c in ("bangla_name", "bbox", "bbox_pct", "over_px", "lost", "out_of_frame", "clipped", "empty_after_clip", "degenerate")]))
     out = out.withColumn("room_type", room).withColumn("_boxes", numbered)
     objects = F.transform(F.filter("_boxes", lambda b: ~b["degenerate"]), lambda b: F.struct(b["object_id"], b["bangla_name"], b["bbox"], b["bbox_pct"]))
@@ -138,11 +149,12 @@ class Merged:
 
 
 def merge(tasks: DataFrame, assignment: DataFrame, manifest: DataFrame, options: MergeOptions = MergeOptions()) -> Merged:
-    """Routes records: kept, excluded, dropped for lack of a usable box; and the issues of tasks and ids."""
+    """Routes records: kept, excluded, dropped for lack of a usable box; and the issues of tasks and ids. Tasks and records are written once, as all
+    outputs and audits come from them."""
     from .validate import problems
 
-    seen = picked(tasks)
-    every = records(seen, assignment, manifest, options)
+    seen = scratch.table(picked(tasks), "tasks")
+    every = scratch.table(records(seen, assignment, manifest, options), "records")
     route = F.lit(False) if options.keep_excluded else F.col("_exclude") != ""
     routed = every.withColumn("_out", route)
     if options.strict_exclusion:
@@ -161,31 +173,27 @@ def merge(tasks: DataFrame, assignment: DataFrame, manifest: DataFrame, options:
 def text_audit(tasks: DataFrame) -> DataFrame:
     """What cleaning changed in all text areas of all tasks, one row."""
     raw = regions(tasks).where("type = 'textarea'")
-    counters = text.storage_audit(F.col("raw"))
-    return raw.select(*[c.alias(k) for k, c in counters.items()]).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in counters])
-
-
-def upper_median(values: Column) -> Column:
-    """Of a sorted array: the middle element, the upper one of two."""
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+    return text.storage_audit(raw, "raw")
 
 
 def clip_audit(every: DataFrame) -> DataFrame:
-    """Counts of boxes past the frame, and the spread of how far they reach out and what they lose."""
-    b = every.select("image_id", F.explode("_boxes").alias("b")).select("image_id", "b.*")
-    over = F.col("over_px") > 0
-    nth = lambda c: F.expr(f"array_sort(collect_list({c}) filter (where over_px > 0))")
-    out = b.agg(
-        *[F.count_if(c).alias(c) for c in ("out_of_frame", "clipped", "empty_after_clip")], F.count_if("degenerate").alias("dropped_degenerate"), F.count_if(over).alias("reaching_out"),
-        nth("over_px").alias("o"), nth("lost").alias("l"),
-    )
-    stats = [f(F.col(c)).alias(f"{n}_{k}") for c, n in (("o", "overflow_px"), ("l", "area_lost_pct")) for k, f in (("min", lambda x: F.get(x, F.lit(0))), ("median", upper_median), ("max", lambda x: F.get(x, F.size(x) - 1)))]
-    return out.select(*[c for c in out.columns if c not in "ol"], *stats)
+    """Counts of boxes past the frame, and the spread of how far they reach out and what they lose. Both are rounded to a tenth or a hundredth, so they
+    are counted by value, and the (upper) median is the value at which the counts reach the middle; no value is collected."""
+    b = every.select(F.explode("_boxes").alias("b")).select("b.*")
+    totals = b.agg(*[F.count_if(c).alias(c) for c in ("out_of_frame", "clipped", "empty_after_clip")], F.count_if("degenerate").alias("dropped_degenerate"), F.count_if(F.col("over_px") > 0).alias("reaching_out"))
+    values = b.where("over_px > 0").select(F.explode(F.create_map(F.lit("overflow_px"), F.col("over_px"), F.lit("area_lost_pct"), F.col("lost"))).alias("k", "v"))
+    counts = values.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    # Windows over the distinct rounded values of each of the two measures.
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("k").orderBy("v"))).withColumn("all", F.sum("n").over(Window.partitionBy("k")))
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("v")))
+    spread = upto.groupBy("k").agg(F.min("v").alias("min"), middle.alias("median"), F.max("v").alias("max"))
+    flat = spread.agg(*[F.max(F.when(F.col("k") == k, F.col(x))).alias(f"{k}_{x}") for k in ("overflow_px", "area_lost_pct") for x in ("min", "median", "max")])
+    return totals.join(flat, F.lit(True))
 
 
 def worst_boxes(every: DataFrame, n: int = 10) -> DataFrame:
     b = every.select("file_no", "pos", F.posexplode("_boxes").alias("i", "b")).select("file_no", "pos", "i", "b.object_id", "b.over_px", "b.lost").where("over_px > 0")
-    return b.orderBy(F.desc("over_px"), "file_no", "pos", "i").limit(n).select("object_id", "over_px", "lost")
+    return largest(b, "over_px", ["file_no", "pos", "i"], n).select("object_id", "over_px", "lost")
 
 
 def room_fixes(every: DataFrame) -> DataFrame:
@@ -193,22 +201,31 @@ def room_fixes(every: DataFrame) -> DataFrame:
     return every.where("capture_type = 'closeup' and room_type = 'NA' and _room_raw <> 'NA'").select("image_id", F.col("_room_raw").alias("was"))
 
 
-def completeness(m: Merged, manifest: DataFrame) -> DataFrame:
-    """How many manifest images are accounted for; one row."""
+def _accounts(m: Merged, manifest: DataFrame) -> dict[str, DataFrame]:
     ids = manifest.select("image_id").distinct()
     some = lambda df: df.select("image_id").distinct()
     annotated = some(m.records).union(some(m.excluded)).union(some(m.degenerate)).distinct()
     skips = some(m.tasks.where("issue = 'skipped_or_empty'")).join(ids, "image_id", "left_semi")
     gap = ids.join(annotated.union(skips), "image_id", "left_anti")
     extra = annotated.join(ids, "image_id", "left_anti")
-    tag = lambda df, k: df.select(F.lit(k).alias("k"), "image_id")
-    parts = {"manifest_total": ids, "in_dataset": some(m.records), "excluded": some(m.excluded), "dropped_degenerate": some(m.degenerate), "intentional_skips": skips, "real_gap": gap, "extra_not_in_manifest": extra}
+    return {"manifest_total": ids, "in_dataset": some(m.records), "excluded": some(m.excluded), "dropped_degenerate": some(m.degenerate), "intentional_skips": skips, "real_gap": gap, "extra_not_in_manifest": extra}
+
+
+def completeness(m: Merged, manifest: DataFrame) -> DataFrame:
+    """How many manifest images are accounted for; one row of counts. ``gaps`` has the ids."""
     every = None
+    parts = _accounts(m, manifest)
     for k, df in parts.items():
-        every = tag(df, k) if every is None else every.union(tag(df, k))
-    counted = [F.count_if(F.col("k") == k).alias(k if k not in ("real_gap", "extra_not_in_manifest") else f"{k}_count") for k in parts]
-    named = [F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("image_id")))).alias(k) for k in ("real_gap", "extra_not_in_manifest")]
-    return every.agg(*counted, *named)
+        one = df.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("n"))
+        every = one if every is None else every.union(one)
+    return every.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k if k not in ("real_gap", "extra_not_in_manifest") else f"{k}_count") for k in parts])
+
+
+def gaps(m: Merged, manifest: DataFrame) -> DataFrame:
+    """(image_id, side) of the ids that are in the manifest only (real_gap) or in the records only (extra_not_in_manifest)."""
+    parts = _accounts(m, manifest)
+    tag = lambda k: parts[k].select("image_id", F.lit(k).alias("side"))
+    return tag("real_gap").union(tag("extra_not_in_manifest"))
 
 
 def release_counts(kept: DataFrame) -> DataFrame:
@@ -223,29 +240,42 @@ def counts_map(df: DataFrame, key: Column, name: str) -> DataFrame:
 
 
 def report(m: Merged, manifest: DataFrame, out_file: str, options: MergeOptions = MergeOptions()) -> DataFrame:
-    """The nested merge report, one row; its parts are one-row frames that are put side by side."""
-    boxes = m.all_records.select("image_id", F.explode("_boxes").alias("b")).select("image_id", "b.*")
-    rows = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+    """The nested merge report, one row of counts and of maps over houses' annotators, captures and rooms; its parts are one-row frames that are put side by
+    side. What grows with the records is in ``report_tables``, and here as a number of rows."""
     row = lambda df, name: df.select(F.struct(*df.columns).alias(name))
+    tables = report_tables(m, manifest)
+    sizes = None
+    for k, df in tables.items():
+        one = df.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("n"))
+        sizes = one if sizes is None else sizes.union(one)
     parts = [
         row(release_counts(m.records), "counts"),
         counts_map(m.records.where("size(objects) > 0"), F.col("capture_type"), "records_with_box_by_capture"),
         row(text_audit(m.tasks), "normalization"),
         row(clip_audit(m.all_records), "bbox_clipping"),
-        rows(boxes.where("over_px > 0").select("image_id", "object_id", "over_px", "lost"), "clipped_boxes"),
-        rows(boxes.where("degenerate").select("image_id", "object_id", "bbox", "bangla_name", (100.0 - F.col("lost")).alias("kept_area_pct")), "dropped_boxes"),
-        rows(m.degenerate.select("image_id"), "dropped_degenerate"),
-        rows(room_fixes(m.all_records), "closeup_room_normalized"),
         counts_map(m.records, F.concat_ws("|", "capture_type", "room_type"), "capture_x_room"),
         counts_map(m.records, F.col("annotator_id"), "images_per_annotator"),
-        rows(m.records.where("annotator_id = ''").select("image_id"), "no_annotator_id"),
-        rows(m.excluded.select("image_id", F.col("_exclude").alias("reason")), "excluded"),
-        rows(m.tasks.where("issue = 'skipped_or_empty'").select("image_id").distinct(), "skipped_ids"),
-        rows(m.problems.select("image_id", "problems"), "validation"),
-        rows(m.issues.where("issue = 'duplicate_image_id_across_exports'").select("id"), "duplicates"),
         row(completeness(m, manifest), "completeness"),
+        sizes.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("rows")),  # a row for each table
     ]
     out = m.records.sparkSession.range(1).select(F.lit(vocab.SCHEMA_VERSION).alias("schema_version"), F.lit(out_file).alias("out_file"), F.struct(F.lit(options.min_box_area_pct).alias("min_area_pct"), F.lit(options.min_box_side_px).alias("min_side_px")).alias("thresholds"))
     for p in parts:
         out = out.join(p, F.lit(True))
     return out
+
+
+def report_tables(m: Merged, manifest: DataFrame) -> dict[str, DataFrame]:
+    """The lists of the merge report, a table each."""
+    boxes = m.all_records.select("image_id", F.explode("_boxes").alias("b")).select("image_id", "b.*")
+    return {
+        "clipped_boxes": boxes.where("over_px > 0").select("image_id", "object_id", "over_px", "lost"),
+        "dropped_boxes": boxes.where("degenerate").select("image_id", "object_id", "bbox", "bangla_name", (100.0 - F.col("lost")).alias("kept_area_pct")),
+        "dropped_degenerate": m.degenerate.select("image_id"),
+        "closeup_room_normalized": room_fixes(m.all_records),
+        "no_annotator_id": m.records.where("annotator_id = ''").select("image_id"),
+        "excluded": m.excluded.select("image_id", F.col("_exclude").alias("reason")),
+        "skipped_ids": m.tasks.where("issue = 'skipped_or_empty'").select("image_id").distinct(),
+        "validation": m.problems.select("image_id", "problems"),
+        "duplicates": m.issues.where("issue = 'duplicate_image_id_across_exports'").select("id"),
+        "gaps": gaps(m, manifest),
+    }

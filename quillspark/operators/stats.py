@@ -32,6 +32,11 @@ def group_counts(release: DataFrame) -> DataFrame:
     return tall.groupBy("x.metric", "x.key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def histogram(df: DataFrame, key: str, name: str = "n", count: str = "records") -> DataFrame:
+    """How many keys have how many rows."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias(count))
+
+
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 

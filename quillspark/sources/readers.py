@@ -47,16 +47,22 @@ def exists(spark: SparkSession, path: str | None) -> bool:
 
 
 def exports(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Tasks (file_no, pos, task) of JSON-array exports in the order of their files, and the files that can't be read."""
-    paths = [p for p in expand(spark, patterns)]
-    there = [p for p in paths if exists(spark, p)]
-    missing = spark.createDataFrame([(p, "unreadable") for p in paths if p not in there], "file string, error string")
-    if not there:
+    """Tasks (file_no, pos, task) of JSON-array exports in the order of their files, and the files that can't be read. An export is one JSON
+    text, so each is parsed as a whole, in one task; many files are read side by side."""
+    found: list[str] = []
+    gone: list[str] = []
+    for pattern in patterns:  # one listing for each pattern, none for its files
+        fs, p = _fs(spark, pattern)
+        hits = sorted(str(x.getPath()) for x in (fs.globStatus(p) or []))
+        found += hits
+        gone += [] if hits else [pattern]
+    missing = spark.createDataFrame([(p, "unreadable") for p in gone], "file string, error string")
+    if not found:
         return spark.createDataFrame([], f"file_no int, file string, pos int, task {vocab.TASK}"), missing
-    order = spark.createDataFrame([(i, str(_fs(spark, p)[0].resolvePath(_fs(spark, p)[1]).toUri().getPath())) for i, p in enumerate(there)], "file_no int, file string")
-    raw = spark.read.text(there, wholetext=True).select(F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^[a-z]+:(//[^/]*)?", "").alias("file"), F.col("value"))
+    order = spark.createDataFrame([(i, str(_fs(spark, p)[1].toUri().getPath())) for i, p in enumerate(found)], "file_no int, file string")
+    raw = spark.read.text(sorted(set(found)), wholetext=True).select(F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^[a-z]+:(//[^/]*)?", "").alias("file"), F.col("value"))
     parsed = raw.select("file", F.from_json("value", "array<string>").alias("tasks"), F.expr("try_parse_json(value) is null").alias("broken"))
-    tasks = parsed.where("tasks is not null and not broken").join(F.broadcast(order), "file").select("file_no", "file", F.posexplode("tasks").alias("pos", "json"))
+    tasks = parsed.where("tasks is not null and not broken").join(order, "file").select("file_no", "file", F.posexplode("tasks").alias("pos", "json"))
     bad = parsed.where("tasks is null or broken").select("file", F.lit("unreadable").alias("error"))
     return tasks.select("file_no", "file", "pos", F.from_json("json", vocab.TASK).alias("task")), missing.union(bad)
 

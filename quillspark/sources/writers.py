@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MANIFEST_COLUMNS = ["image_id", "house_id", "original_filename", "original_relpath", "original_format", "orig_width", "orig_height", "final_width", "final_height", "orientation", "room_type", "capture_type", "include_flag", "exclude_reason", "has_face", "notes"]
+from .. import vocab
+from . import scratch
+
+#: The columns of the manifest in their order.
+MANIFEST_COLUMNS = [c.split()[0] for c in vocab.MANIFEST.split(", ")]
 
 
 def public(df: DataFrame) -> DataFrame:
@@ -37,3 +44,31 @@ def items(df: DataFrame, path: str) -> int:
 def responses(df: DataFrame, path: str) -> None:
     """Appends rows of (model_tag, shard, ...); a batch is there as a whole or not at all."""
     df.write.mode("append").partitionBy("model_tag", "shard").json(path)
+
+
+def images(made: DataFrame, root: str) -> DataFrame:
+    """Writes the content of rows (dst_name, content) as files below ``root``, a URI or an absolute path in a store that all executors reach, and returns
+    (dst_name, bytes) of the files. Each is written under another name and then moved, so that a task that runs again leaves whole files. Like the other
+    sinks it writes at once: the rows that it returns are a table of what was written."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            names, sizes = [], []
+            for name, content in zip(b.column("dst_name").to_pylist(), b.column("content").to_pylist()):
+                path = f"{base.rstrip('/')}/{name}"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as f:
+                    f.write(content)
+                store.move(part, path)
+                names.append(name)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["dst_name", "bytes"])
+
+    out = made.where("content is not null").select("dst_name", "content").mapInArrow(run, "dst_name string, bytes long")
+    path = scratch.folder(made.sparkSession, "images")
+    out.write.parquet(path)
+    return made.sparkSession.read.parquet(path)

@@ -31,6 +31,7 @@ IMAGE_FILE_KEYS = ["image_file", "file_name", "filename", "image_path", "img_pat
 # Limits.
 MIN_BOX_AREA_PCT, MIN_BOX_SIDE_PX = 15.0, 16
 LONG_EDGE_PX, SHORT_SIDE_PX, GUARD_PX = 2048, 768, 768
+INGEST_QUALITY, RESIZE_QUALITY = 95, 92
 GROUP_A_TOKENS, GROUP_B_TOKENS, LONG_ANSWER_WORDS, WARM_UP = 32, 96, 12, 3
 INGEST_EXTENSIONS = [".jpg", ".jpeg", ".png", ".heic", ".heif"]
 RESIZE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tif", ".tiff"]
@@ -45,6 +46,7 @@ MODEL_TAGS = {
     "OpenGVLab/InternVL3_5-4B-HF": "internvl3_5-4b",
 }
 
+# Schemas of the files that are read and written.
 MANIFEST = "image_id string, house_id string, original_filename string, original_relpath string, original_format string, orig_width int, orig_height int, final_width int, final_height int, orientation string, room_type string, capture_type string, include_flag string, exclude_reason string, has_face string, notes string"
 BOX = "struct<object_id:string,bangla_name:string,bbox:array<int>,bbox_pct:array<double>>"
 QA = "struct<qa_id:string,type:string,question:string,answer:string>"

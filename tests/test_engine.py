@@ -115,6 +115,18 @@ def png(w, h):
 JPEG = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 30, 40) + b"\x03" + b"\0" * 12
 
 
+def test_headers():
+    riff = lambda kind, body: b"RIFF\0\0\0\0WEBP" + kind + struct.pack("<I", len(body)) + body
+    tiff = lambda o, mark: mark + struct.pack(o + "IH", 8, 2) + struct.pack(o + "HHIHH", 256, 3, 1, 640, 0) + struct.pack(o + "HHII", 257, 4, 1, 480)
+    ispe = lambda w, h: struct.pack(">I", 20) + b"ispe" + struct.pack(">III", 0, w, h)
+    assert images.header(riff(b"VP8X", b"\0" * 4 + (639).to_bytes(3, "little") + (479).to_bytes(3, "little"))) == (640, 480)
+    assert images.header(riff(b"VP8L", b"\x2f" + (639 | 479 << 14).to_bytes(4, "little"))) == (640, 480)
+    assert images.header(riff(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 640, 480))) == (640, 480)
+    assert images.header(tiff("<", b"II*\0")) == images.header(tiff(">", b"MM\0*")) == (640, 480)
+    assert images.header(struct.pack(">I", 24) + b"ftypheic" + b"\0" * 12 + ispe(320, 240) + ispe(4032, 3024)) == (4032, 3024)
+    assert images.header(b"II*\0\xff\xff\xff\x7f") is images.header(riff(b"VP8 ", b"")) is images.header(b"GIF") is None
+
+
 def test_images(spark, tmp_path):
     for folder, files in {"House 1": {"B.png": png(3000, 1500), "a.PNG": png(5, 6), "x.txt": b"", "bad.jpg": b"zz"}, "House 02": {"c.jpg": JPEG}, "misc": {"d.png": png(1, 1)}}.items():
         (tmp_path / folder).mkdir()
@@ -133,6 +145,12 @@ def test_images(spark, tmp_path):
     status = images.resize(todo, work=lambda c, side, q: (_ for _ in ()).throw(ValueError("unreadable")) if c == b"zz" else (c, 7, 8)).cache()
     assert {r.status: r.n for r in images.status_counts(status).collect()} == {"done": 1, "failed": 1}
     assert [r.message for r in status.where("status = 'failed'").collect()] == ["ValueError: unreadable"]
+    numbered = images.number(sizes)
+    made = images.ingest(numbered.select("house_id", "image_id", "name", "content"), work=lambda c, edge, q: (b"%d,%d" % (edge, q), 1, 1))
+    written = writers.images(made, f"{tmp_path}/out")
+    assert {r.dst_name: r.bytes for r in written.collect()} == {"H01/H01_0001.jpg": 7, "H01/H01_0002.jpg": 7, "H02/H02_0001.jpg": 7}
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["H01/H01_0001.jpg", "H01/H01_0002.jpg", "H02/H02_0001.jpg"]
+    assert (tmp_path / "out/H01/H01_0002.jpg").read_bytes() == b"2048,95"
     assert not images.verdict(flat, 4).first().ok and images.verdict(flat, 3).first().ok
 
 

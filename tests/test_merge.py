@@ -66,7 +66,8 @@ def test_routing_and_last_wins(merged):
     assert c.room_type == "NA" and c["_room_raw"] == "bedroom" and c.qa_pairs[0].answer == "a b" and c.image_w is None
     assert sorted((r.id, r.issue) for r in m.issues.collect()) == [("5", "no_image_id"), ("H01_0001", "duplicate_image_id_across_exports"), ("H02_0003", "duplicate_image_id_across_exports"), ("H02_0006", "skipped_or_empty")]
     done = merge.completeness(m, man).first().asDict()
-    assert done == {"manifest_total": 5, "in_dataset": 4, "excluded": 1, "dropped_degenerate": 1, "intentional_skips": 1, "real_gap_count": 1, "extra_not_in_manifest_count": 2, "real_gap": ["H09_0009"], "extra_not_in_manifest": ["H02_0004", "H03_0007"]}
+    assert done == {"manifest_total": 5, "in_dataset": 4, "excluded": 1, "dropped_degenerate": 1, "intentional_skips": 1, "real_gap_count": 1, "extra_not_in_manifest_count": 2}
+    assert sorted(map(tuple, merge.gaps(m, man).collect())) == [("H02_0004", "extra_not_in_manifest"), ("H03_0007", "extra_not_in_manifest"), ("H09_0009", "real_gap")]
 
 
 def test_boxes_numbers_and_problems(merged):
@@ -94,7 +95,8 @@ def test_report_and_release_files(merged, spark, tmp_path):
     rep = merge.report(m, man, "x.json")
     writers.report(rep, f"{tmp_path}/report")
     r = rep.first()
-    assert r.counts.total == 4 and r.images_per_annotator == {"": 1, "A1": 2, "A2": 1} and r.completeness.real_gap == ["H09_0009"] and len(r.duplicates) == 2
+    assert r.counts.total == 4 and r.images_per_annotator == {"": 1, "A1": 2, "A2": 1} and r.completeness.real_gap_count == 1 and r.rows["duplicates"] == 2
+    assert {k: df.count() for k, df in merge.report_tables(m, man).items()} == r.rows and sorted(x.id for x in merge.report_tables(m, man)["duplicates"].collect()) == ["H01_0001", "H02_0003"]
 
 
 def test_options(spark, tmp_path, merged):

@@ -56,5 +56,21 @@ QUERIES = {
     f.__name__: f
     for f in (op1_chat_format, op2_sentencepiece, op3_substring_dedup, op4_quality_rules, op5_minhash_neardup, op6_token_files, op7_url_filter, op8_spotsigs, op9_license_scan, op10_best_fit_packing)
 }
-#: DuckDB cannot express any of these whole (hash sketches, trained cutoffs, tokenizers): tests hold them against brute force.
-ORACLE: dict[str, str] = {}
+#: Words of whole texts, their place and number.
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_SUBSTRING_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+first AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(50)) AS pos FROM win JOIN first USING (k) WHERE f < doc_id),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY pos) AS t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM d) p ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+_NEAR_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+edge AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY 1) r USING (doc_id)"""
+#: The others hold trained cutoffs, tokenizers or digests that DuckDB cannot express: tests hold them against brute force.
+ORACLE = {"op3_substring_dedup": _SUBSTRING_SQL, "op5_minhash_neardup": _NEAR_SQL}

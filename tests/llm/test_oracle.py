@@ -1,0 +1,17 @@
+"""The text operators that SQL can express, against DuckDB on the same tables."""
+
+import duckdb
+import pytest
+
+from quillspark.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_matches_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    want = con.execute(queries.ORACLE[name])
+    columns = [c[0] for c in want.description]
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert df.columns == columns
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want.fetchall(), key=str)

@@ -102,11 +102,12 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """stratum and a map from signal to the cutoff that counts: documents with that value or more are rejected."""
     best = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    values = F.create_map(*[x for k, v in SIGNALS.items() for x in (F.lit(k), F.expr(v).cast("int"))])
+    names = F.array(*map(F.lit, SIGNALS))
+    values = F.array(*[F.expr(v).cast("int") for v in SIGNALS.values()])
     seen = measured.where("not base_failed").join(best, "doc_id").select("stratum", (F.col("quality") >= 1).alias("good"), values.alias("values"), (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).alias("held"))
 
     # The half that chooses.
-    long = seen.where("not held").select("stratum", "good", F.explode("values").alias("signal", "value"))
+    long = seen.where("not held").select("stratum", "good", F.explode(F.map_from_arrays(names, "values")).alias("signal", "value"))
     counts = long.groupBy("stratum", "signal", "value").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     grid = counts.select("stratum", "signal").distinct().select("stratum", "signal", F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("value"))
     from_high = Window.partitionBy("stratum", "signal").orderBy(F.desc("value"))
@@ -117,9 +118,10 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, alpha
 
     # The half that certifies.
     strata = max(1, seen.select("stratum").distinct().count())
-    held = seen.where("held and good").join(rules, "stratum")
-    rejects = F.array_position(F.transform("rules", lambda x: F.col("values")[x["signal"]] >= x["cutoff"]), True)
-    first = held.groupBy("stratum", "rules", rejects.alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    # Equal documents are counted up before they meet the rules of their stratum.
+    held = seen.where("held and good").groupBy("stratum", "values").agg(F.count(F.lit(1)).alias("m")).join(rules, "stratum")
+    rejects = F.array_position(F.transform("rules", lambda x: F.element_at("values", F.array_position(names, x["signal"]).cast("int")) >= x["cutoff"]), True)
+    first = held.groupBy("stratum", "rules", rejects.alias("first")).agg(F.sum("m").alias("n"))
     by = first.groupBy("stratum", "rules").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("at"))
     tried = by.select("stratum", "rules", "n", "at", F.posexplode("rules").alias("j", "rule"))
     rejected = F.aggregate(F.sequence(F.lit(1), F.col("j") + 1), F.lit(0).cast("long"), lambda s, i: s + F.coalesce(F.col("at")[i.cast("long")], F.lit(0).cast("long")))

@@ -10,7 +10,8 @@ threshold of 0.85 meets in no table with a chance of 2.2e-5, at 0.9 of 3e-7.
 2. Keys of the small collections that only one class has are dropped, and with them every table they are in.
 3. A class with ``r`` shingles that other candidates have too can share no more than ``r`` with any of them. This bound
    (for similarity at the threshold, ``r`` must reach the share of both sizes) takes out classes that are too far from all others.
-4. In each bucket a pivot is compared with the other members: rows grow with the members, never with pairs. In buckets whose
+4. In each bucket a pivot is compared with the other members: rows grow with the members, never with pairs. That is done for one bucket in ``FIRST``, which
+   connects most of a large group, and then for all buckets and the members that are not yet connected with their pivot. In buckets whose
    members are not connected afterwards, members of different components that meet the bound are compared, each pair in the first bucket
    that it shares. Buckets of more than ``DIRECT`` open members first get more pivots, twice as many in each round, which are compared with all
    members and are then done with, until fewer are open. So every pair that meets in a bucket is compared, bounded away or already connected.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, U, buffers, chained, chunks, lists, longs, mix, release, row_key, run_ids, spans, symbols, table, unused, word_ids
 
 WIDTH, PERCENT, TABLES, HALF = 5, 85, 12, 3
-DIRECT, TASK_EDGES = 4096, 1_000_000
+DIRECT, FIRST, TASK_EDGES = 4096, 16, 1_000_000
 
 
 def _runs(count: np.ndarray, width: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -255,14 +256,15 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
 
     def with_pivots(r: DataFrame, each: int = 1, members: int = 1) -> DataFrame:
         """Each member of a bucket of more than so many with the bucket's pivots: the first of each of about ``each`` parts of it."""
+        own = ["label"] if "label" in r.columns else []
         part = [F.pmod(F.xxhash64("c", "bucket"), F.lit(each)).alias("part")] if each > 1 else []
-        pivots = r.groupBy("bucket", *part).agg(F.min(F.struct(place, "n", "r")).alias("p"), F.count(F.lit(1)).alias("m"))
+        pivots = r.groupBy("bucket", *part).agg(F.min(F.struct(place, "n", "r", *own)).alias("p"), F.count(F.lit(1)).alias("m"))
         if members > 1:
             large = r.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > members).select("bucket")
             pivots = pivots.join(large, "bucket")
         elif not part:
             pivots = pivots.where("m > 1")
-        return r.join(pivots.select("bucket", F.col("p.o.c").alias("p"), F.col("p.n").alias("n_p"), F.col("p.r").alias("r_p")), "bucket")
+        return r.join(pivots.select("bucket", F.col("p.o.c").alias("p"), F.col("p.n").alias("n_p"), F.col("p.r").alias("r_p"), *[F.col("p.label").alias("label_p") for _ in own]), "bucket")
 
     def unconnected(done: DataFrame | None) -> DataFrame:
         """Rows of buckets with more than one component, without the pivots that are done with."""
@@ -273,11 +275,15 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
         open_ = r.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
         return table(r.join(open_, "bucket"), "open")
 
-    confirm(with_pivots(rows(bounded, "c", "n", "r").select("c", "n", "r", "bucket")).where("c <> p").where(near))
+    every = rows(bounded, "c", "n", "r").select("c", "n", "r", "bucket")
+    confirm(with_pivots(every.where(F.pmod("bucket", F.lit(FIRST)) == 0)).where("c <> p").where(near))
+    left = unconnected(None)
+    confirm(with_pivots(left.select("c", "n", "r", "bucket", "label")).where("label <> label_p").where(near))
+    release(left)
     done, left, each = None, unconnected(None), 1
     while not left.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > DIRECT).isEmpty():
-        seen = table(with_pivots(left.select("c", "n", "r", "bucket"), each, DIRECT), "pivots")
-        confirm(seen.where("c <> p").where(near).select("c", "p"))
+        seen = table(with_pivots(left.select("c", "n", "r", "bucket", "label"), each, DIRECT), "pivots")
+        confirm(seen.where("label <> label_p").where(near).select("c", "p"))
         last = seen.select("bucket", F.col("p").alias("c")).distinct()
         done = table(last if done is None else done.union(last), "done")
         release(left, seen)

@@ -4,13 +4,14 @@ Host names are segmented by unigram Viterbi: word counts of the pages' visible t
 probabilities, and letters that no word covers cost more the longer the run. Segmented host words and path tokens
 feed a multinomial naive Bayes model, trained on the urls that rules decide, of which all are counted.
 
-No count is cut. All words of the pages are counted in Spark, and the total is over all of them; the dictionary that the workers
-get holds those that are part of a word of some url, as no other can be of use, with their whole counts. It and the token counts
-grow with the distinct words of the urls, not with the pages' text.
+No count is cut, and none comes to the driver but the sums. Each distinct word of the urls is joined with the counts of its own substrings, which are all
+that its segmentation can use, and segmented once. Each distinct url is joined with the segmentations of its words, counted for the model if a rule
+decides it, joined with the weights of its tokens, and scored once. Weights are added as whole multiples of 2**-36, so sums have no order.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and the verdict of its (no) words; rules
 of equal length: the one with the longer host, then the smaller string; if the rules decide no url, the verdict
-is allow; rows that share a page_id are judged each for itself; an empty table gives an empty result; other columns are ignored.
+is allow; rows that share a page_id are judged each for itself; a very long url is one row's memory, its words' substrings are made in parts; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, table
+from .common import table
 
 #: So many substrings are held at a time.
 HELD = 100_000
+#: Weights are multiples of one part in this.
+UNIT = 1 << 36
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
@@ -98,34 +101,50 @@ def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
     return out
 
 
-def _parts(lengths: list[int]):
-    """The substrings of these lengths of the words of host and path; some come more than once."""
+def _names(batches):
+    """The names of host and path in order, with their side; numbers by their number of digits."""
+    for b in batches:
+        out = []
+        for host, path in zip(b.column("host").to_pylist(), b.column("path").to_pylist()):
+            out.append([f"{side}#{len(w)}" if w.isdigit() else f"{side}:{w}" for side, text in (("h", host), ("p", path)) for w in names(text)])
+        yield b.append_column("names", pa.array(out, pa.list_(pa.string())))
+
+
+def _substrings(lengths: list[int]):
+    """The distinct substrings of these lengths of each word."""
 
     def run(batches):
+        words: list[str] = []
+        out: list[str] = []
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(out, pa.string())], names=["word", "w"])
+            words.clear()
+            out.clear()
+            return batch
+
         for b in batches:
-            words = {w for c in ("host", "path") for x in b.column(c).to_pylist() for w in names(x) if not w.isdigit()}
-            out: set[str] = set()
-            for w in words:
+            for word in b.column("word").to_pylist():
                 for n in lengths:
-                    for i in range(len(w) - n + 1):
-                        out.add(w[i : i + n])
+                    if n > len(word):
+                        break
+                    for x in {word[i : i + n] for i in range(len(word) - n + 1)}:
+                        words.append(word)
+                        out.append(x)
                         if len(out) >= HELD:
-                            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["w"])
-                            out = set()
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["w"])
+                            yield flush()
+            yield flush()
 
     return run
 
 
-def _tokens(counts: dict[str, int], total: int):
-    made: list[Segmenter] = []
-
+def _cut(total: int):
     def run(batches):
-        if not made:
-            made.append(Segmenter(counts, total))
         for b in batches:
-            out = [tokens(h, p, made[0]) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
-            yield b.append_column("tokens", pa.array(out, pa.list_(pa.string())))
+            out = []
+            for word, known in zip(b.column("word").to_pylist(), b.column("known").to_pylist()):
+                out.append(Segmenter({x["w"]: x["n"] for x in known or []}, total)._split(word))
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(out, pa.list_(pa.string()))], names=["word", "pieces"])
 
     return run
 
@@ -141,43 +160,48 @@ def word_counts(pages: DataFrame) -> dict[str, int]:
     return {r["w"]: r["n"] for r in counted(pages).collect()}
 
 
-def dictionary(pages: DataFrame, urls: DataFrame) -> tuple[dict[str, int], int]:
-    """The counts of all words that are part of a word of (host, path) of ``urls``, and the sum of all counts."""
-    words = table(counted(pages), "words")
-    sizes = words.groupBy(F.length("w").alias("length")).agg(F.sum("n").alias("n")).collect()
-    substrings = urls.select("host", "path").distinct().mapInArrow(_parts(sorted(r["length"] for r in sizes)), "w string").distinct()
-    counts = {r["w"]: r["n"] for r in words.join(substrings, "w").collect()}
-    release(words)
-    return counts, sum(r["n"] for r in sizes)
+def segmented(pages: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, pieces) of distinct words, by the counts of all words of the pages."""
+    counts = table(counted(pages), "words")
+    sizes = counts.groupBy(F.length("w").alias("length")).agg(F.sum("n").alias("n")).collect()  # a row for each length that occurs
+    parts_ = words.select("word").mapInArrow(_substrings(sorted(r["length"] for r in sizes)), "word string, w string")
+    known = parts_.join(counts, "w").groupBy("word").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    return words.select("word").join(known, "word", "left").mapInArrow(_cut(sum(r["n"] for r in sizes)), "word string, pieces array<string>")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds of block), words of the host."""
     host, path = parts(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
-    urls = urls.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"))
-    cut = urls.mapInArrow(_tokens(*dictionary(pages, urls)), "page_id long, host string, path string, rule string, said string, tokens array<string>")
-    taught = cut.where("said is not null")
-    sums = {r["said"]: (r["urls"], r["tokens"]) for r in taught.groupBy("said").agg(F.count(F.lit(1)).alias("urls"), F.sum(F.size("tokens")).alias("tokens")).collect()}
-    seen = taught.select("said", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if(F.col("said") == "block").alias("block"), F.count_if(F.col("said") == "allow").alias("allow"))
-    model = {r["token"]: (r["block"], r["allow"]) for r in seen.collect()}
-    return cut.mapInArrow(_verdict(model, sums), "page_id long, host string, path string, rule string, verdict string, score double, words string")
-
+    rule, said = by_rule(F.col("host"), F.col("path"), rules)
+    each = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("said", said)
+    # Each distinct url gets a number, which the written table fixes, so that its tokens need not carry it.
+    named = each.mapInArrow(_names, "host string, path string, n long, said string, names array<string>")
+    each = table(named.withColumn("u", F.monotonically_increasing_id()), "urls")
+    name = F.col("name")
+    found = each.select("u", F.posexplode("names").alias("at", "name")).select("u", "at", F.left(name, F.lit(1)).alias("side"), F.substr(name, F.lit(2), F.lit(1)).alias("kind"), F.substr(name, F.lit(3)).alias("word"))
+    words = table(found.where("kind = ':'").select("word").distinct(), "names")
+    pieces = table(segmented(pages, words), "segments")
+    one = found.where("kind = ':'").join(pieces, "word").union(found.where("kind = '#'").select("word", "u", "at", "side", "kind", F.array(F.concat(F.lit("#"), "word")).alias("pieces")))
+    token_lists = one.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("at", F.transform("pieces", lambda x: F.concat("side", F.lit(":"), x)).alias("t")))).alias("x"))
+    cut = each.select("u", "host", "path", "n", "said").join(token_lists.select("u", F.flatten("x.t").alias("tokens")), "u", "left")
+    cut = table(cut.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))), "tokens")
 
-def _verdict(model: dict[str, tuple[int, int]], sums: dict[str, tuple[int, int]]):
-    n = len(model) + 1
+    taught = cut.where("said is not null")
+    sums = {r["said"]: (r["urls"], r["tokens"]) for r in taught.groupBy("said").agg(F.sum("n").alias("urls"), F.sum(F.col("n") * F.size("tokens")).alias("tokens")).collect()}
     (nb, tb), (na, ta) = sums.get("block", (0, 0)), sums.get("allow", (0, 0))
+    seen = taught.select("said", "n", F.explode("tokens").alias("token")).groupBy("token").agg(*[F.sum(F.when(F.col("said") == k, F.col("n")).otherwise(0)).alias(k) for k in ("block", "allow")])
+    seen = table(seen, "model")
+    size = seen.count() + 1
+    odds = lambda b, a: F.log((b + 1) / F.lit(float(tb + size))) - F.log((a + 1) / F.lit(float(ta + size)))
+    whole = lambda x: F.round(x * UNIT).cast("long")
+    weights = table(seen.select("token", whole(odds(F.col("block"), F.col("allow"))).alias("weight")), "weights")
+    other = whole(odds(F.lit(0), F.lit(0)))
+    scores = cut.select("u", F.explode("tokens").alias("token")).join(weights, "token", "left").groupBy("u").agg(F.sum(F.coalesce("weight", other)).alias("sum"))
     prior = math.log((nb + 1) / (na + 1))
-    weight = {t: math.log((b + 1) / (tb + n)) - math.log((a + 1) / (ta + n)) for t, (b, a) in model.items()}
-    other = math.log(1 / (tb + n)) - math.log(1 / (ta + n))
-
-    def run(batches):
-        for b in batches:
-            token_lists = b.column("tokens").to_pylist()
-            score = [prior + sum(weight.get(t, other) for t in x) if nb + na else 0.0 for x in token_lists]
-            verdict = [s or ("block" if x > 0 else "allow") for s, x in zip(b.column("said").to_pylist(), score)]
-            words = [" ".join(t[2:] for t in x if t.startswith("h:")) for x in token_lists]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdict), pa.array(score, pa.float64()), pa.array(words)], names=["page_id", "host", "path", "rule", "verdict", "score", "words"])
-
-    return run
+    score = F.lit(prior) + F.coalesce("sum", F.lit(0)) / UNIT if nb + na else F.lit(0.0)
+    host_words = F.array_join(F.transform(F.filter("tokens", lambda t: F.startswith(t, F.lit("h:"))), lambda t: F.substr(t, F.lit(3))), " ")
+    judged = table(cut.join(scores, "u", "left").select("host", "path", score.cast("double").alias("score"), host_words.alias("words")), "scores")
+    verdict = F.coalesce(F.col("said"), F.when(F.col("score") > 0, "block").otherwise("allow"))
+    out = urls.withColumns({"rule": rule, "said": said}).join(judged, ["host", "path"])
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", "words")

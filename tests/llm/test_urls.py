@@ -18,6 +18,35 @@ def rule(host, path, rules=urls.RULES):
     return max(fit)[1:] if fit else (None, None)
 
 
+class Plain:
+    """Counts, segmentation by trying all last words of each prefix, and tokens, without the module's."""
+
+    def __init__(self, rows):
+        self.n = Counter()
+        for r in rows:
+            text = re.sub(r"(?s)<(script|style)[^>]*>.*?</\1>", " ", (r.html or "").lower())
+            self.n.update(re.findall(r"[^\W\d_]+", re.sub(r"<[^>]*>", " ", text)))
+        self.total = sum(self.n.values()) + 1
+        self.seen = {}
+
+    def split(self, word):
+        if word not in self.seen:
+            best = [(0.0, [])]
+            for j in range(1, len(word) + 1):
+                options = [(best[i][0] + math.log(self.n[word[i:j]] / self.total), -i, [*best[i][1], word[i:j]]) for i in range(j) if word[i:j] in self.n]
+                options.append((best[j - 1][0] + math.log(1 / self.total) - math.log(10), 1 - j, [*best[j - 1][1], word[j - 1]]))
+                best.append(max(options, key=lambda x: (x[0], -x[1]))[::2])
+            self.seen[word] = best[-1][1]
+        return self.seen[word]
+
+    def tokens(self, host, path):
+        out = []
+        for side, text in (("h", host), ("p", path)):
+            for word in re.findall(r"[^\W\d_]+|\d+", text.lower()):
+                out += [f"{side}:#{len(word)}"] if word.isdigit() else [f"{side}:{w}" for w in self.split(word)]
+        return out
+
+
 def check(rows, out):
     assert sorted([(r.page_id, r.host, r.path, r.rule) for r in out], key=str) == sorted([(i, *parts(u), rule(*parts(u))[0]) for i, u in rows], key=str)
     for r in out:
@@ -29,19 +58,19 @@ def test_query_equals_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in pages.select("page_id", "url").collect()]
     out = queries.op7_url_filter(spark, sf_dir).collect()
     check(rows, out)
-    # The model scores by counts over all pages that rules decide.
-    segmenter = urls.Segmenter(urls.word_counts(pages))
+    # The model scores by counts over all pages that rules decide; words, tokens and segmentation are made anew here.
+    segmenter = Plain(pages.select("html").collect())
     taught = {"block": {}, "allow": {}}
     n = {"block": 0, "allow": 0}
     for r in out:
         if r.rule:
             n[r.verdict] += 1
-            for t in urls.tokens(r.host, r.path, segmenter):
+            for t in segmenter.tokens(r.host, r.path):
                 taught[r.verdict][t] = taught[r.verdict].get(t, 0) + 1
     size = len(set(taught["block"]) | set(taught["allow"])) + 1
     for r in out:
         score = math.log((n["block"] + 1) / (n["allow"] + 1))
-        for t in urls.tokens(r.host, r.path, segmenter):
+        for t in segmenter.tokens(r.host, r.path):
             score += math.log((taught["block"].get(t, 0) + 1) / (sum(taught["block"].values()) + size)) - math.log((taught["allow"].get(t, 0) + 1) / (sum(taught["allow"].values()) + size))
         assert abs(score - r.score) < 1e-9
 
@@ -75,8 +104,8 @@ def test_no_count_is_cut(spark):
     pages = spark.createDataFrame([(1, f"x://{rare}{long}.net/de/", " ".join([*often, *often[:-1], long]))], "page_id long, url string, html string")
     counts = urls.word_counts(pages)
     assert len(counts) == 60_001 and counts[rare] == counts[long] == 1
-    some, total = urls.dictionary(pages, spark.createDataFrame([(f"{rare}{long}.net", "/de/")], "host string, path string"))
-    assert total == sum(counts.values()) and {rare, long} <= set(some) and all(counts[w] == n for w, n in some.items())
+    [cut] = urls.segmented(pages, spark.createDataFrame([(f"{rare}{long}",)], "word string")).collect()
+    assert cut.pieces == [rare, long] == list(urls.Segmenter(counts).split(f"{rare}{long}"))
     [row] = urls.judge(pages).collect()
     assert row.words.split()[:2] == [rare, long]
 

@@ -2,10 +2,11 @@
 
 A template is wording with two kinds of markup: ``[[ ... ]]`` is a region that may be missing, and ``{{n}}`` one of up to n words of any
 kind. It is compiled into an automaton over words, which accepts a place of a text only if all mandatory wording is there,
-word for word. Texts without a trigger word of any template are passed over by one search of the bytes.
+word for word. A template is tried on texts only that have its trigger, one of its mandatory words, as a word; one search of the bytes finds those.
 
 Defined cases: A-Z is lower-cased; words are runs of ASCII letters, digits and all characters beyond ASCII; a null text is
-empty; rows are judged each for itself, whatever their doc_id; an empty table gives an empty result; other columns are ignored.
+empty; rows are judged each for itself, whatever their doc_id; a very long text is one chunk of its own and takes memory in proportion to its length; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -129,7 +130,8 @@ class Automaton:
 def _scan(phrases: dict[str, str], templates: list[tuple[str, str, str]]):
     found = [(label, len(p.split()), re.compile(GAP.join(map(re.escape, p.encode().split())))) for p, label in phrases.items()]
     automata = [(label, Automaton(t)) for label, t, _ in templates]
-    trigger = re.compile(b"|".join(sorted({re.escape(t.encode()) for _, _, t in templates})))
+    # No trigger begins with another, or the other alone would be found where both are; overlaps within one word make no word.
+    trigger = re.compile(b"|".join(sorted({re.escape(t.encode()) for _, _, t in templates}, reverse=True)))
     triggers = [t.encode() for _, _, t in templates]
 
     def run(batches):
@@ -151,13 +153,15 @@ def _scan(phrases: dict[str, str], templates: list[tuple[str, str, str]]):
                             last[d] = at if last[d] is None else max(last[d], at)
                             base[d].add(label)
                             covered[d].append((at, at + size))
-                rows = {int(np.searchsorted(off, m.start(), side="right")) - 1 for m in trigger.finditer(raw)}
-                for d in rows:
-                    text = raw[off[d] : off[d + 1]]
-                    words = None
+                rows: dict[int, set[bytes]] = {}
+                for m in trigger.finditer(raw):
+                    w = int(np.searchsorted(s, m.start()))
+                    if w < len(s) and s[w] == m.start() and e[w] == m.end():
+                        rows.setdefault(int(np.searchsorted(count, w, side="right")) - 1, set()).add(m[0])
+                for d, has in rows.items():
+                    words = [raw[x:y] for x, y in zip(s[count[d] : count[d + 1]].tolist(), e[count[d] : count[d + 1]].tolist())]
                     for (label, automaton), t in zip(automata, triggers):
-                        if t in text:
-                            words = words or [raw[x:y] for x, y in zip(s[count[d] : count[d + 1]].tolist(), e[count[d] : count[d + 1]].tolist())]
+                        if t in has:
                             if hits := automaton.places(words):
                                 labels[d].add(label)
                                 covered[d] += hits

@@ -20,7 +20,57 @@ def base(t):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
-def check(rows, out):
+def parsed(template):
+    """Words, numbers of free words, and lists for regions that may be missing."""
+    out = [[]]
+    for p in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template):
+        if p == "[[":
+            out.append([])
+        elif p == "]]":
+            region = out.pop()
+            out[-1].append(region)
+        else:
+            out[-1].append(int(p[2:-2]) if p.startswith("{{") else p)
+    return out[0]
+
+
+def ends(parts, w, at):
+    for p in parts:
+        if isinstance(p, list):
+            at = at | ends(p, w, at)
+        elif isinstance(p, int):
+            at = {i + j for i in at for j in range(p + 1) if i + j <= len(w)}
+        else:
+            at = {i + 1 for i in at if i < len(w) and w[i] == p}
+        if not at:
+            break
+    return at
+
+
+def whole(t):
+    """Labels and score by trying every template at every word."""
+    w, labels, covered = words(t), set(), set()
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        for i in range(len(w)):
+            if w[i : i + len(p)] == p:
+                labels.add(label)
+                covered.update(range(i, i + len(p)))
+    for label, template, _ in licenses.TEMPLATES:
+        parts, i = parsed(template), 0
+        while i < len(w):
+            end = max(ends(parts, w, {i}), default=i)
+            if end > i:
+                labels.add(label)
+                covered.update(range(i, end))
+            i = max(end, i + 1)
+    return ",".join(sorted(labels)), len(covered) / len(w) if covered else 0.0
+
+
+def check(rows, out, by_id=True):
+    if by_id:
+        want = {d: whole(t) for d, t in rows}
+        assert {r.doc_id: (r.labels, round(r.score, 9)) for r in out} == {d: (labels, round(score, 9)) for d, (labels, score) in want.items()}
     got = sorted([(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in out], key=str)
     assert got == sorted([(d, *base(t)) for d, t in rows], key=str)
     for r in out:
@@ -35,7 +85,7 @@ def test_query_equals_brute_force(spark, sf_dir):
 
 def test_edge_cases(spark):
     r = random.Random(2)
-    bits = ["cc", "by", "CC-BY", "all", "rights", "Reserved.", "general", "public", "license", "é", "gnu", "cc by cc by", " ", "xcc", "bye"]
+    bits = ["nc", "mit", "under", "the", "salicense", "xmit", "apache", "Copyright", "cc", "by", "CC-BY", "all", "rights", "Reserved.", "general", "public", "license", "é", "gnu", "cc by cc by", " ", "xcc", "bye"]
     rows = [(None, None), (1, ""), (2, "cc"), (3, "by the way"), (4, "ccé by"), (5, "cc\nby" * 3000)]
     rows += [(10 + i, r.choice([" ", "-", "\n", "_"]).join(r.choice(bits) for _ in range(r.randint(0, 30)))) for i in range(300)]
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, labels string").coalesce(1)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, buffers, chained, chunks, lists, longs, mix, release, row_key, run_ids, spans, symbols, table, unused, word_ids
+from .common import LOWER, U, buffers, chained, chunks, lists, longs, mix, release, row_key, run_ids, spans, symbols, table, trimmed, unused, word_ids
 
 WIDTH, PERCENT, TABLES, HALF = 5, 85, 12, 3
 DIRECT, FIRST, TASK_EDGES = 4096, 16, 1_000_000
@@ -202,7 +202,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("c", "p").cast("decimal(20,0)"))).first()
 
     tasks = edges.count() // TASK_EDGES + 1
-    now = table((edges.repartition(tasks) if tasks > 1 else edges.coalesce(1)).mapInArrow(_forest, "c long, p long"), name)
+    now = table((edges.repartition(tasks) if tasks > 1 else edges.coalesce(1)).mapInArrow(trimmed(_forest), "c long, p long"), name)
     seen = None
     while tasks > 1:
         new = table(star(star(now, True), False), name)
@@ -218,7 +218,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: int = TABLES, half: int = HALF) -> DataFrame:
     """doc_id, th, n_shingles, component_id, kept for each row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("th"))
-    sketch = table(docs.mapInArrow(_sketch(width, tables, half), "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<long>"), "sketch")
+    sketch = table(docs.mapInArrow(trimmed(_sketch(width, tables, half)), "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<long>"), "sketch")
     # A class has a number, which the written table fixes; its smallest doc_id names it, and one of its rows lends text and keys.
     same = ["n_shingles", "s1", "s2"]
     found = sketch.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "th", "keys")).alias("of"))
@@ -231,7 +231,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
     own = table(own.join(classes.select("c", "doc_id", "th", "n_shingles"), "c"), "candidates")
     d = docs.alias("d")
     texts = table(d.join(own.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.th") == F.col("o.th"))).select("o.c", "d.text").dropDuplicates(["c"]), "texts")
-    lone = texts.mapInArrow(_shingles(width), "s long, c long").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).where("n = 1").groupBy("c").agg(F.count(F.lit(1)).alias("lone"))
+    lone = texts.mapInArrow(trimmed(_shingles(width)), "s long, c long").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).where("n = 1").groupBy("c").agg(F.count(F.lit(1)).alias("lone"))
     bounded = own.join(lone, "c", "left").select("c", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("r"), "a", "b").where(F.col("r") * 100 >= F.col("n") * percent)
     bounded = table(bounded, "bounded")
 
@@ -249,7 +249,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
         nonlocal links, labels
         pairs = pairs.select(F.least("c", "p").alias("c"), F.greatest("c", "p").alias("p")).distinct()
         side = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"text_{x}"))
-        sure = pairs.join(side("c"), "c").join(side("p"), "p").select("c", "p", "text_c", "text_p").mapInArrow(_confirm(width, percent), "c long, p long")
+        sure = pairs.join(side("c"), "c").join(side("p"), "p").select("c", "p", "text_c", "text_p").mapInArrow(trimmed(_confirm(width, percent)), "c long, p long")
         # Stars of the components so far stand for the links that made them.
         links = table(sure if labels is None else sure.union(labels.where("node <> label").select(F.col("node").alias("c"), F.col("label").alias("p"))), "links")
         labels = table(components(links), "labels")

@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Grams, buffers, chained, chunks, complete, lists, longs, mix, release, row_key, spans, symbols, table, unused, word_ids
+from .common import U, Grams, buffers, chained, chunks, complete, lists, longs, mix, release, row_key, spans, symbols, table, trimmed, unused, word_ids
 
 ANCHOR_WORDS = 15
-#: Different blocks of a group that is sorted in memory.
-GROUP_ROWS = 1000
+#: Different blocks of a group that is sorted in memory, and blocks that are hashed together.
+GROUP_ROWS, TOGETHER = 1000, 4096
 _NONE = np.zeros(0, np.int64)
 
 
@@ -102,15 +102,18 @@ _NAMES = [x.split()[0] for x in _SUFFIX.split(", ")]
 
 def _block_hash(sym: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, seed: int) -> np.ndarray:
     """A hash of the words of each block: every word is mixed with its place in the block before they are added up."""
-    first = np.cumsum(size) - size
-    place = np.arange(size.sum()) - np.repeat(first, size)
-    mixed = mix(sym[np.repeat(start, size) + place] + (place + seed).astype(U) * U(0x9E3779B97F4A7C15))
-    return mix(np.add.reduceat(mixed, first) + (size * 4096 + left).astype(U)) if len(size) else np.zeros(0, U)
+    out = np.zeros(len(start), U)
+    for k in range(0, len(start), TOGETHER):
+        n = size[k : k + TOGETHER]
+        first = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(first, n)
+        out[k : k + TOGETHER] = np.add.reduceat(mix(sym[np.repeat(start[k : k + TOGETHER], n) + place] + (place + seed).astype(U) * U(0x9E3779B97F4A7C15)), first)
+    return mix(out + (size * 4096 + left).astype(U))
 
 
 def _suffixes(size: int):
     """A row for each block whose anchor occurs in another document: its prefix (the anchor), its hash, the place of the suffix, the number of words
-    that go with it on the left, the number of windows, and the words."""
+    that go with it on the left, the number of windows, and the words, which equal blocks of a chunk of texts give once."""
 
     def run(batches):
         for b in batches:
@@ -128,10 +131,13 @@ def _suffixes(size: int):
                 if not len(v):
                     continue
                 row, raw, n = pa.array(of + lo), data.tobytes(), to - at + 1
-                words = [raw[x:y] for x, y in zip(s[at].tolist(), e[to + size - 1].tolist())]
-                halves = [longs(_block_hash(symbols(data, s, e, lane), at, n + size - 1, p - at, 1 + 1000 * lane)) for lane in (0, 1)]
+                halves = [_block_hash(symbols(data, s, e, lane), at, n + size - 1, p - at, 1 + 1000 * lane) for lane in (0, 1)]
+                order = np.lexsort((*halves, v))
+                new = np.ones(len(v), bool)
+                new[order[1:]] = (v[order[1:]] != v[order[:-1]]) | (halves[0][order[1:]] != halves[0][order[:-1]]) | (halves[1][order[1:]] != halves[1][order[:-1]])
+                words = [raw[x:y] if k else None for k, x, y in zip(new.tolist(), s[at].tolist(), e[to + size - 1].tolist())]
                 ints = [pa.array(x.astype(np.int32)) for x in (p - count[of], p - at, n)]
-                yield pa.RecordBatch.from_arrays([longs(v), *halves, doc.take(row), th.take(row), *ints, pa.array(words, pa.binary())], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([longs(v), *map(longs, halves), doc.take(row), th.take(row), *ints, pa.array(words, pa.binary())], names=_NAMES)
 
     return run
 
@@ -220,7 +226,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, DataFrame]
     same words; and the maximal repeats (doc_id, th, spans array<struct<start, stop>>, in words, overlapping and in no order) of the first copies, whose windows a
     smaller doc_id has too. ``th`` is the hash of the row's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("th"))
-    outline = table(docs.mapInArrow(_outline(min_words), "doc_id long, th long, n_words long, sha string, anchors array<long>"), "outline")
+    outline = table(docs.mapInArrow(trimmed(_outline(min_words)), "doc_id long, th long, n_words long, sha string, anchors array<long>"), "outline")
     known = outline.where("doc_id is not null and n_words >= %d" % min_words)
     # A copy is removed whole, so one row of each class has suffixes to look at.
     classes = table(known.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("th", "anchors"), "doc_id").alias("of")).select("sha", "doc_id", "of.*"), "classes")
@@ -228,12 +234,12 @@ def repeats(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, DataFrame]
     live = each.groupBy("v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("v")
     own = each.join(live, "v").groupBy("doc_id", "th").agg(F.collect_list("v").alias("live"))
     texts = docs.where("doc_id is not null").join(own, ["doc_id", "th"])
-    suffixes = table(texts.mapInArrow(_suffixes(min_words), _SUFFIX), "suffixes")
+    suffixes = table(texts.mapInArrow(trimmed(_suffixes(min_words)), _SUFFIX), "suffixes")
     key = ["grp", "a", "b"]
-    blocks = table(suffixes.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.first("left").alias("left"), F.first("words").alias("words")), "blocks")
+    blocks = table(suffixes.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.first("left").alias("left"), F.first("words", ignorenulls=True).alias("words")), "blocks")
     large = table(blocks.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS).select("grp"), "large")
-    tree = blocks.join(large, "grp", "left_anti").repartition("grp").sortWithinPartitions("grp").mapInArrow(_subtrees(min_words), _RUN)
-    windows = table(blocks.join(large, "grp").mapInArrow(_windows(min_words), "grp long, a long, b long, first_doc long, p int, wa long, wb long"), "windows")
+    tree = blocks.join(large, "grp", "left_anti").repartition("grp").sortWithinPartitions("grp").mapInArrow(trimmed(_subtrees(min_words)), _RUN)
+    windows = table(blocks.join(large, "grp").mapInArrow(trimmed(_windows(min_words)), "grp long, a long, b long, first_doc long, p int, wa long, wb long"), "windows")
     leaves = table(windows.groupBy("wa", "wb").agg(F.min("first_doc").alias("lo"), F.max("first_doc").alias("hi")).where("lo < hi").select("wa", "wb", "lo"), "leaves")
     hits = windows.join(leaves, ["wa", "wb"]).where("lo < first_doc").select(*key, "first_doc", F.col("p").alias("low"), F.col("p").alias("high"))
     runs = table(tree.union(hits), "runs")
@@ -272,7 +278,7 @@ def report(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of ``docs``."""
     marked, found = repeats(docs, min_words)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("th"))
-    cut = texts.join(found, ["doc_id", "th"]).mapInArrow(_digest, "doc_id long, th long, n_removed long, kept_sha256 string").dropDuplicates(["doc_id", "th"])
+    cut = texts.join(found, ["doc_id", "th"]).mapInArrow(trimmed(_digest), "doc_id long, th long, n_removed long, kept_sha256 string").dropDuplicates(["doc_id", "th"])
     empty = hashlib.sha256(b"").hexdigest()
     copy = F.coalesce(F.col("first_copy") < F.col("doc_id"), F.lit(False))
     return marked.join(cut, ["doc_id", "th"], "left").select(
@@ -302,4 +308,4 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     copies = marked.where("first_copy < doc_id").select("doc_id", "th", F.lit(True).alias("copy")).distinct()
     change = found.join(copies, ["doc_id", "th"], "full").select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("spans").alias(spans_), F.coalesce("copy", F.lit(False)).alias(copy))
     out = docs.withColumn(key, row_key()).join(change, (F.col("doc_id").cast("long") == F.col(doc)) & (F.col(key) == F.col(th)), "left")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], spans_, F.coalesce(F.col(copy), F.lit(False)).alias(copy)).mapInArrow(_shorten("text", spans_, copy, docs.columns), docs.schema)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], spans_, F.coalesce(F.col(copy), F.lit(False)).alias(copy)).mapInArrow(trimmed(_shorten("text", spans_, copy, docs.columns)), docs.schema)

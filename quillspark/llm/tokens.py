@@ -12,7 +12,6 @@ length; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import json
 import zlib
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, release, row_key, spans, table
+from .common import chunks, release, row_key, spans, table, trim
 
 #: Chunks of texts of about so many bytes share one search for distinct pieces.
 TEXT_BYTES = 4 << 20
@@ -256,15 +255,6 @@ class Encoder:
             yield lo, [ids[x:y] for x, y in zip(cuts, cuts[1:])]
 
 
-def _trim() -> None:
-    """Gives freed memory back to the system, where the C library can."""
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-    pa.default_memory_pool().release_unused()
-
-
 class encoder:
     """An encoder for the length of a task: workers that Spark reuses keep neither model nor cache."""
 
@@ -277,7 +267,7 @@ class encoder:
 
     def __exit__(self, *_) -> None:
         self.made = None
-        _trim()
+        trim()
 
 
 # --- the file format ---------------------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 A text becomes a leading space and its bytes, with spaces shown as the marker U+2581, as the library does it. Among all ways to
 write it as pieces, Viterbi finds the one with the greatest sum of log scores; characters that no piece begins with fall back
 to byte pieces, at ``UNKNOWN`` below the lowest score. No piece has a marker after another character, so a text's
-segmentation is that of its runs of markers with what follows. The distinct runs of a chunk of texts are found in Arrow, and all of
+segmentation is that of its runs of markers with what follows; sums are taken run by run. The distinct runs of a chunk of texts are found in Arrow, and all of
 them walk the trie together, byte by byte; longer runs than ``LONGEST`` bytes do so one by one. Nothing is kept from chunk to chunk.
 
 The vocabulary is a merge list whose scores are negative ranks; ``-log(1 + rank)`` (Zipf's law) makes them log scores.

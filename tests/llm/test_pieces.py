@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,12 +11,14 @@ ODD = ["", " ", "  a  b ", "héllo wörld\nnew\tline", "日本語 😀 \x00", "a
 
 
 def brute(m, text):
-    """Dynamic programming over all pieces of the whole text, without trie, runs or cache."""
-    if not text:
-        return []
-    run = (b" " + text.encode()).replace(b" ", pieces.MARK)
-    of = {p: i for i, p in enumerate(m.pieces) if p and m.scores[i] > -math.inf}
+    """Dynamic programming over all pieces of each run of spaces and what follows, without trie or chunks. Sums begin anew with each run, as sums
+    over a whole text would round differently where two ways are equally good."""
+    of = m.__dict__.setdefault("of", {p: i for i, p in enumerate(m.pieces) if p and m.scores[i] > -math.inf})
     longest = max(map(len, of))
+    return [v for run in re.findall(rb" *[^ ]+| +", b" " + text.encode()) for v in best_way(m, of, longest, run.replace(b" ", pieces.MARK))] if text else []
+
+
+def best_way(m, of, longest, run):
     starts = [i for i, c in enumerate(run) if c & 0xC0 != 0x80] + [len(run)]
     best, come = {0: 0.0}, {}
     for i, after in zip(starts, starts[1:]):

@@ -63,8 +63,8 @@ def verify(rows, capacity, texts):
     ids = {}
     for (d, _), x in zip(texts, ids_of([t for _, t in texts])):
         ids.setdefault(d, []).append([*x, 0])
-    pieces = sorted((d, p, s, n, c) for d, p, s, n, c, _, _ in rows)
-    want = sorted((d, k, k * capacity, len(x[k * capacity : (k + 1) * capacity]), crc(x[k * capacity : (k + 1) * capacity])) for d, xs in ids.items() for x in xs for k in range(-(-len(x) // capacity)))
+    pieces = sorted(((d, p, s, n, c) for d, p, s, n, c, _, _ in rows), key=str)
+    want = sorted(((d, k, k * capacity, len(x[k * capacity : (k + 1) * capacity]), crc(x[k * capacity : (k + 1) * capacity])) for d, xs in ids.items() for x in xs for k in range(-(-len(x) // capacity))), key=str)
     assert pieces == want
     bins = {}
     for _, _, _, n, _, s, o in rows:

@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes each one's rows as Parquet in
 the shared folder and reads them again. All but the last return the columns of ``documents``; substring dedup
 shortens texts and brings ``n_chars`` up to date. The last returns a row for each packed piece.
+
+Defined cases: a null or empty text is rejected by the quality rules; a null lang is a stratum of its own, and a null in any other column is passed on; rows that
+share a doc_id are documents of their own, and rows equal in doc_id and text stay or go together; of near copies the smallest doc_id stays, and a null one
+is never smaller than another; a very long text is one row's memory in one task; an empty table gives an empty one; columns beyond those of ``documents``
+are passed on by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations

@@ -48,7 +48,7 @@ def seeds(vectors: DataFrame, k: int) -> np.ndarray:
     """The vectors with the smallest sha256 of ``1:<vec_id>``, in the order of the hashes."""
     key = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     first = vectors.orderBy(F.col("vec_id").isNull(), key, "x").limit(k).collect()
-    return np.array([r.x for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r.x for r in first], np.int64)
 
 
 def matrix(col: pa.Array, kind) -> np.ndarray:

@@ -230,7 +230,7 @@ class Grams:
         n = len(self.sums) - k
         if n <= 0:
             return np.zeros(0, U)
-        return mix((self.sums[k:] - self.sums[:-k]) * self.q[:n] + U(k) * U(0xE7037ED1A0B428DB))
+        return mix((self.sums[k:] - self.sums[:-k]) * self.q[:n] + U(k * 0xE7037ED1A0B428DB % (1 << 64)))
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

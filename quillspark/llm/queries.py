@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, clusters, licenses, merkle, neardup, pieces, quality, spotsigs, substring, tokens, urls
+from . import chat, clusters, licenses, merkle, neardup, pieces, quality, spotsigs, substring, tokens, toxicity, urls
 from .common import read, shared_dir
 
 
@@ -56,13 +56,17 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(read(spark, sf_dir, "embeddings"), k=16, dim=64, scale=64, rounds=3)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"))
 
 
 _ALL = (
     op1_chat_format, op2_sentencepiece, op3_substring_dedup, op4_quality_rules, op5_minhash_neardup, op6_token_files, op7_url_filter, op8_spotsigs, op9_license_scan, op10_best_fit_packing,
-    op11_centroid_clusters, op13_merkle_manifest,
+    op11_centroid_clusters, op12_toxicity, op13_merkle_manifest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 #: Words of whole texts, their place and number.

@@ -417,7 +417,7 @@ def _scored(model: Model, keep: list[str]):
                     names[d].append(model.terms[t])
                 has = np.bincount(text[some], minlength=n) > 0
                 score = pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))), mask=~has)
-                quoted = np.bincount(text[some & (kind > MOST)], minlength=n)
+                quoted = np.bincount(text[kind > MOST], minlength=n)
                 told = [pa.array(np.bincount(text[some], minlength=n)), pa.array(quoted), pa.array([",".join(sorted(x)) for x in names])]
                 yield pa.RecordBatch.from_arrays([*(b.column(k)[lo:hi] for k in keep), score, *told], names=[*keep, "score", "n_hits", "n_quoted", "terms"])
 
@@ -425,7 +425,7 @@ def _scored(model: Model, keep: list[str]):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, n_hits (terms that weigh), n_quoted (of these, only found quoted) and terms of every row."""
+    """doc_id, score, n_hits (terms that weigh), n_quoted (terms that are found quoted only) and terms of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model, ["doc_id"]), "doc_id long, score double, n_hits long, n_quoted long, terms string")
     return rows.withColumn("score", F.coalesce("score", F.lit(model.without)))
 

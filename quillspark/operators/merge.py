@@ -37,8 +37,9 @@ def picked(tasks: DataFrame) -> DataFrame:
 
 
 def _text(value: Column) -> Column:
-    """A text area holds a list of strings or one string."""
-    return F.when(value.rlike(r"^\s*\["), text.join_parts(F.from_json(value, "array<string>"))).otherwise(value)
+    """A text area holds a list of strings or one string; its JSON type tells, not how it begins."""
+    kind = F.schema_of_variant(value)
+    return F.when(kind.startswith("ARRAY"), text.join_parts(F.try_variant_get(value, "$", "array<string>"))).when(kind != "VOID", F.try_variant_get(value, "$", "string"))
 
 
 def regions(tasks: DataFrame) -> DataFrame:
@@ -165,7 +166,8 @@ def merge(tasks: DataFrame, assignment: DataFrame, manifest: DataFrame, options:
     repeated = Window.partitionBy("image_id").orderBy("file_no", "pos")
     again = every.select("file_no", "pos", "image_id", F.row_number().over(repeated).alias("n")).where("n > 1")
     files = seen.select("file_no", "file").distinct()
-    issues = seen.where("issue is not null").select("file", F.coalesce("image_id", F.col("task_id")).alias("id"), "issue").union(again.join(files, "file_no").select("file", F.col("image_id").alias("id"), F.lit("duplicate_image_id_across_exports").alias("issue")))
+    # A task without a record is known by its own id, a record that comes again by its image's.
+    issues = seen.where("issue is not null").select("file", F.col("task_id").alias("id"), "image_id", "issue").union(again.join(files, "file_no").select("file", F.col("image_id").alias("id"), "image_id", F.lit("duplicate_image_id_across_exports").alias("issue")))
     good = kept.where(~lost).drop("_out")
     return Merged(good, excluded, kept.where(lost).drop("_out"), issues, seen, every, problems(good))
 

@@ -16,8 +16,10 @@ from ..sources import readers, scratch
 from . import sqltext as S
 from .registry import query, read
 
-ODD = "  ​ক্‍  x"
-_FILES = 8
+ODD = "[x]  ​ক্‍  x"
+#: Tasks of one export; a table gives eight exports at least.
+_TASKS = 2000
+_FILES = "(SELECT f FROM files)"
 # Expressions that Spark and DuckDB share.
 _CAPTURE = "CASE k % 4 WHEN 0 THEN 'overview' WHEN 1 THEN 'closeup' WHEN 2 THEN 'group' ELSE 'odd' END"
 _ROOM = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'kitchen' WHEN '2' THEN 'bedroom' WHEN '3' THEN 'NA' WHEN '4' THEN 'garage' END"
@@ -53,21 +55,12 @@ def _tasks(spark, d) -> DataFrame:
     upload = F.when(k % 10 == 0, None).when(k % 10 == 1, "none.jpg").when(k % 10 == 2, F.concat(F.lit("up-"), F.lower("img"), F.lit(".jpg"))).otherwise(F.concat(F.lit("abc-"), "img", F.lit(".jpg")))
     head = F.to_json(F.struct(k.alias("id"), upload.alias("file_upload"), F.struct(F.when(k % 10 == 1, "").otherwise(F.concat(F.lit("/d/"), "img", F.lit(".png"))).alias("image")).alias("data")))
     json = F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"annotations":['), "annotations", F.lit("]}"))
-    return o.select("k", head.alias("head"), annotations.alias("annotations")).select((k % _FILES).alias("file"), k.alias("pos"), json.alias("json"))
-
-
-_DONE: dict[tuple[str, str], tuple[merge.Merged, DataFrame]] = {}
+    files = max(8, read(spark, d, "orders").count() // _TASKS)
+    return o.select("k", head.alias("head"), annotations.alias("annotations")).select(F.format_string("%09d", k % files).alias("file"), k.alias("pos"), json.alias("json"))
 
 
 def _merged(spark, d) -> tuple[merge.Merged, DataFrame]:
-    """The merge writes its records once; the queries of a session look at different outputs of it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _DONE:
-        _DONE[key] = _merge(spark, d)
-    return _DONE[key]
-
-
-def _merge(spark, d) -> tuple[merge.Merged, DataFrame]:
+    """Writes the exports, reads them back and merges them."""
     root = scratch.folder(spark, "exports")
     t = _tasks(spark, d).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "json"))).alias("t"))
     t.select("file", F.concat(F.lit("["), F.array_join("t.json", ","), F.lit("]")).alias("value")).write.partitionBy("file").text(root)
@@ -81,7 +74,7 @@ def _merge(spark, d) -> tuple[merge.Merged, DataFrame]:
 
 
 _CLEAN = S.clean_for_storage
-_SQL = f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(f'{c} DESC' for c in _ORDER[1:])}) AS rn FROM lineitem),
+_SQL = f"""WITH files AS (SELECT greatest(8, count(*) // {_TASKS}) AS f FROM orders), l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(f'{c} DESC' for c in _ORDER[1:])}) AS rn FROM lineitem),
 b AS (SELECT l_orderkey AS k, l_linenumber AS num, {_BOX} FROM l WHERE rn = 1), {S.GEOMETRY},
 e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {S.signed('y', 4)}, {S.signed('x', 4)}, num) AS i, 100.0 - lost < 15.0 OR pw < 16 OR ph < 16 AS bad FROM g),
 dims AS (SELECT k, min(ow) AS dw, min(oh) AS dh, count_if(NOT bad) AS boxes FROM e GROUP BY 1),
@@ -129,12 +122,12 @@ def merge_routes(spark, d):
     return tag(m.records, "kept").union(tag(m.excluded, "excluded")).union(tag(m.degenerate, "degenerate"))
 
 
-@query(f"""{_SQL} SELECT id, issue, count(*) AS n FROM (SELECT k::VARCHAR AS id, 'no_image_id' AS issue FROM t WHERE k % 10 = 1 UNION ALL SELECT img, 'skipped_or_empty' FROM t WHERE k % 10 <> 1 AND s = 'P'
-UNION ALL SELECT img, 'duplicate_image_id_across_exports' FROM r QUALIFY row_number() OVER (PARTITION BY img ORDER BY k % {_FILES}, k) > 1) GROUP BY ALL""")
+@query(f"""{_SQL} SELECT id, image_id, issue, count(*) AS n FROM (SELECT k::VARCHAR AS id, NULL AS image_id, 'no_image_id' AS issue FROM t WHERE k % 10 = 1 UNION ALL SELECT k::VARCHAR, img, 'skipped_or_empty' FROM t WHERE k % 10 <> 1 AND s = 'P'
+UNION ALL SELECT img, img, 'duplicate_image_id_across_exports' FROM r QUALIFY row_number() OVER (PARTITION BY img ORDER BY k % {_FILES}, k) > 1) GROUP BY ALL""")
 def merge_issues(spark, d):
     """tasks without a record and ids that come again."""
     m, _ = _merged(spark, d)
-    return m.issues.groupBy("id", "issue").agg(F.count(F.lit(1)).alias("n"))
+    return m.issues.groupBy("id", "image_id", "issue").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""{_SQL}, s AS (SELECT e.* FROM e JOIN r USING (k)), v AS (SELECT list_sort(list(over_px)) AS o, list_sort(list(lost)) AS l FROM s WHERE over_px > 0)

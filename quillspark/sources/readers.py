@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import strip
+from . import arrays
 
 
 def _fs(spark: SparkSession, path: str):
@@ -47,8 +48,8 @@ def exists(spark: SparkSession, path: str | None) -> bool:
 
 
 def exports(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Tasks (file_no, pos, task) of JSON-array exports in the order of their files, and the files that can't be read. An export is one JSON
-    text, so each is parsed as a whole, in one task; many files are read side by side."""
+    """Tasks (file_no, file, pos, task) of JSON-array exports in the order of their files, and the files that can't be read. Files are parsed in byte ranges,
+    so a large export is the work of many tasks (``arrays``)."""
     found: list[str] = []
     gone: list[str] = []
     for pattern in patterns:  # one listing for each pattern, none for its files
@@ -60,11 +61,12 @@ def exports(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, DataFr
     if not found:
         return spark.createDataFrame([], f"file_no int, file string, pos int, task {vocab.TASK}"), missing
     order = spark.createDataFrame([(i, str(_fs(spark, p)[1].toUri().getPath())) for i, p in enumerate(found)], "file_no int, file string")
-    raw = spark.read.text(sorted(set(found)), wholetext=True).select(F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^[a-z]+:(//[^/]*)?", "").alias("file"), F.col("value"))
-    parsed = raw.select("file", F.from_json("value", "array<string>").alias("tasks"), F.expr("try_parse_json(value) is null").alias("broken"))
-    tasks = parsed.where("tasks is not null and not broken").join(order, "file").select("file_no", "file", F.posexplode("tasks").alias("pos", "json"))
-    bad = parsed.where("tasks is null or broken").select("file", F.lit("unreadable").alias("error"))
-    return tasks.select("file_no", "file", "pos", F.from_json("json", vocab.TASK).alias("task")), missing.union(bad)
+    parsed, files = arrays.elements(spark, sorted(set(found)))
+    name = F.regexp_replace(F.url_decode("path"), "^[a-z]+:(//[^/]*)?", "")
+    tasks = parsed.withColumn("file", name).join(order, "file")
+    # A file without any text has no entry.
+    bad = order.select("file").distinct().join(files.where("good").select(name.alias("file")), "file", "left_anti")
+    return tasks.select("file_no", "file", F.col("pos").cast("int").alias("pos"), F.from_json("json", vocab.TASK).alias("task")), missing.union(bad.select("file", F.lit("unreadable").alias("error")))
 
 
 def records(spark: SparkSession, path: str, schema: str = vocab.RELEASE) -> DataFrame:

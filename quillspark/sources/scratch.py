@@ -23,4 +23,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
     the reading."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by ``table`` that nothing reads any more."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

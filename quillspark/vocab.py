@@ -55,5 +55,5 @@ ITEMS = "rank long, qa_id string, image_id string, house_id string, image_file s
 RESPONSES = "qa_id string, model_id string, raw_output string, latency_s double, run_ts string"
 TASK = (
     "struct<id:string,file_upload:string,data:struct<image:string>,annotations:array<struct<was_cancelled:boolean,result:array<struct<from_name:string,id:string,type:string,"
-    "original_width:int,original_height:int,value:struct<choices:array<string>,text:string,x:double,y:double,width:double,height:double>>>>>>"
+    "original_width:int,original_height:int,value:struct<choices:array<string>,text:variant,x:double,y:double,width:double,height:double>>>>>>"
 )

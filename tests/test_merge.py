@@ -64,7 +64,7 @@ def test_routing_and_last_wins(merged):
     assert kept["H02_0003"].annotator_id == "A2" and len(r.qa_pairs) == 5
     c = kept["H01_0002"]
     assert c.room_type == "NA" and c["_room_raw"] == "bedroom" and c.qa_pairs[0].answer == "a b" and c.image_w is None
-    assert sorted((r.id, r.issue) for r in m.issues.collect()) == [("5", "no_image_id"), ("H01_0001", "duplicate_image_id_across_exports"), ("H02_0003", "duplicate_image_id_across_exports"), ("H02_0006", "skipped_or_empty")]
+    assert sorted((r.id, r.issue) for r in m.issues.collect()) == [("5", "no_image_id"), ("6", "skipped_or_empty"), ("H01_0001", "duplicate_image_id_across_exports"), ("H02_0003", "duplicate_image_id_across_exports")]
     done = merge.completeness(m, man).first().asDict()
     assert done == {"manifest_total": 5, "in_dataset": 4, "excluded": 1, "dropped_degenerate": 1, "intentional_skips": 1, "real_gap_count": 1, "extra_not_in_manifest_count": 2}
     assert sorted(map(tuple, merge.gaps(m, man).collect())) == [("H02_0004", "extra_not_in_manifest"), ("H03_0007", "extra_not_in_manifest"), ("H09_0009", "real_gap")]
@@ -99,6 +99,14 @@ def test_report_and_release_files(merged, spark, tmp_path):
     assert {k: df.count() for k, df in merge.report_tables(m, man).items()} == r.rows and sorted(x.id for x in merge.report_tables(m, man)["duplicates"].collect()) == ["H01_0001", "H02_0003"]
 
 
+def test_text_areas_are_judged_by_their_type(spark, tmp_path):
+    texts = ["[abc] def", "[1] chair", '["a"]', ["a", " ", "b"], [], "", " x ", None, 7, [1, "[2]"]]
+    (tmp_path / "t.json").write_text(json.dumps([task("H01_0001", [choice("capture_type", "closeup"), *[area(f"f{i}", t) for i, t in enumerate(texts)]])]))
+    t, _ = readers.exports(spark, [f"{tmp_path}/t.json"])
+    got = {r.field: r.raw for r in merge.regions(merge.picked(t)).where("type = 'textarea'").collect()}
+    assert [got[f"f{i}"] for i in range(len(texts))] == ["[abc] def", "[1] chair", '["a"]', "a b", "", "", " x ", None, "7", "1 [2]"]
+
+
 def test_options(spark, tmp_path, merged):
     tasks = merged[0].tasks
     del tasks

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 import re
 from collections import Counter
 
@@ -93,6 +94,35 @@ def test_segmenter_equals_brute_force():
             assert abs(sum(map(cost, s.split(name))) - best) < 1e-9 and "".join(s.split(name)) == name
 
 
+def word_counts(pages):
+    return {r["w"]: r["n"] for r in urls.counted(pages).collect()}
+
+
+def test_very_long_words(spark):
+    rng = random.Random(4)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choices(alphabet, k=rng.randint(1, 9))) for _ in range(300)]
+    big = "".join(rng.choices(alphabet, k=70))
+    long = ["".join(rng.choices(vocabulary, k=6000)), big * 3, big + "x" * 2000, "e" * 300_000, "".join(rng.choices(alphabet, k=1_000_000))]
+    html = " ".join([*vocabulary, big, big, big + "x" * 500, big + "y" * 500, big[:64], big[:65]])
+    rows = [(i, f"x://{w}.net/{'de' if i % 2 else 'fr'}/{w}", html if i == 0 else None) for i, w in enumerate(long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.word: tuple(r.pieces) for r in urls.segmented(pages, spark.createDataFrame([(w,) for w in long], "word string")).collect()}
+    segmenter = urls.Segmenter(word_counts(pages))
+    assert all(out[w] == segmenter._split(w) for w in long)
+    assert out[long[1]] == (big,) * 3 and big + "x" * 500 in out[long[2]]
+    check([r[:2] for r in rows], urls.judge(pages).collect())
+
+
+def test_frequent_words_meet_the_same_weights(spark, monkeypatch):
+    rows = [(i, f"x://www.site{letters(i % 40)}.{'net' if i % 3 else 'org'}/{'de' if i % 2 else 'es'}/{letters(i)}", "the site net de") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(map(tuple, urls.judge(pages).collect()))
+    monkeypatch.setattr(urls, "HOT", 0)  # no word is frequent
+    monkeypatch.setattr(urls, "SALT", 1)
+    assert sorted(map(tuple, urls.judge(pages).collect())) == got
+
+
 def letters(i):
     return "".join(chr(97 + i // 26**k % 26) for k in range(4))
 
@@ -102,7 +132,7 @@ def test_no_count_is_cut(spark):
     often, long = [letters(i) for i in range(60_000)], "zyxwvutsrqponmlkjihgfedcba"
     rare = often[-1]
     pages = spark.createDataFrame([(1, f"x://{rare}{long}.net/de/", " ".join([*often, *often[:-1], long]))], "page_id long, url string, html string")
-    counts = urls.word_counts(pages)
+    counts = word_counts(pages)
     assert len(counts) == 60_001 and counts[rare] == counts[long] == 1
     [cut] = urls.segmented(pages, spark.createDataFrame([(f"{rare}{long}",)], "word string")).collect()
     assert cut.pieces == [rare, long] == list(urls.Segmenter(counts).split(f"{rare}{long}"))
@@ -114,7 +144,7 @@ def test_all_tokens_are_weighed(spark):
     ids = [letters(i) for i in range(60_000)]
     pages = spark.createDataFrame([(1, "x://net/de/" + "/".join(ids), " ".join(ids)), (2, f"x://other.org/{ids[-1]}", None)], "page_id long, url string, html string")
     score = {r.page_id: r.score for r in urls.judge(pages).collect()}
-    segmenter = urls.Segmenter(urls.word_counts(pages))
+    segmenter = urls.Segmenter(word_counts(pages))
     taught = Counter(urls.tokens("net", "/de/" + "/".join(ids), segmenter))
     size, want = len(taught) + 1, math.log(1 / 2)
     for t in urls.tokens("other.org", f"/{ids[-1]}", segmenter):

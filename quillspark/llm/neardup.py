@@ -14,8 +14,11 @@ threshold of 0.85 meets in no table with a chance of 2.2e-5, at 0.9 of 3e-7.
    connects most of a large group, and then for all buckets and the members that are not yet connected with their pivot. In buckets whose
    members are not connected afterwards, members of different components that meet the bound are compared, each pair in the first bucket
    that it shares. Buckets of more than ``DIRECT`` open members first get more pivots, twice as many in each round, which are compared with all
-   members and are then done with, until fewer are open. So every pair that meets in a bucket is compared, bounded away or already connected.
-   Pairs are confirmed on the words of the full shingle sets, not on hashes, by ``100 * intersection >= percent * union``.
+   members and are then done with, until fewer are open. Open members of a bucket are dealt to blocks of about ``MEMBERS`` members and ``SHINGLES`` shingles, and a task
+   compares two blocks through postings of their shingles: a row is a member in a block, never a pair, and only links that connect come out.
+   So every pair that meets in a bucket is compared, bounded away or already connected.
+   Pairs are confirmed on the words of the full shingle sets, not on hashes, by ``100 * intersection >= percent * union``. A pivot's text goes to ``SALT`` tasks, each
+   of which compares a part of the members with it.
 5. Components come from stars within tasks of about ``TASK_EDGES`` edges, joined by rounds of large and small stars over written tables.
 
 Defined cases: A-Z is lower-cased; a null or blank text has the empty set and is linked with nothing;
@@ -32,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, buffers, chained, chunks, lists, longs, mix, release, row_key, run_ids, spans, symbols, table, trimmed, unused, word_ids
+from .common import LOWER, U, buffers, chained, chunks, complete, lists, longs, mix, release, row_key, run_ids, spans, symbols, table, trimmed, unused, word_ids
 
 WIDTH, PERCENT, TABLES, HALF = 5, 85, 12, 3
 DIRECT, FIRST, TASK_EDGES = 4096, 16, 1_000_000
+MEMBERS, SHINGLES, SALT = 1024, 500_000, 32
 
 
 def _runs(count: np.ndarray, width: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -74,9 +78,9 @@ def _sets(data, off, width: int, lanes: int = 1) -> tuple[list[np.ndarray], np.n
     return [x[at] for x in out], to
 
 
-def _shared(col_c: pa.Array, col_p: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of both sets of each pair and of their intersection, by words and not by hashes."""
-    data, off = buffers(pa.concat_arrays([col_c, col_p]))
+def _word_sets(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Numbers of the distinct shingles of each text, by words and not by hashes, one text after the other and sorted, their offsets, and a bound of the numbers."""
+    data, off = buffers(col)
     low = LOWER[data]
     s, e, count = spans(low, off)
     ids, values, docs, base = word_ids(low, s, e), [], [], 0
@@ -85,15 +89,29 @@ def _shared(col_c: pa.Array, col_p: pa.Array, width: int) -> tuple[np.ndarray, n
             values.append(base + run_ids(ids, m)[at])
             docs.append(of)
             base += len(ids)
-    n = len(col_c)
     if not values:
-        return np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(off), np.int64), 1
     values, docs = np.concatenate(values), np.concatenate(docs)
-    at, to = _distinct(values, docs, 2 * n)
-    key = (docs[at] % n) * base + values[at]
-    both = np.intersect1d(key[: to[n]], key[to[n] :], assume_unique=True)
+    at, to = _distinct(values, docs, len(off) - 1)
+    return values[at], to, base
+
+
+def _rows(to: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of what ``some`` of the lists with the offsets ``to`` hold, and which of them each is of."""
+    n = to[some + 1] - to[some]
+    return np.repeat(to[some] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(some)), n)
+
+
+def _overlaps(col: pa.Array, mine: np.ndarray, theirs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of both sets of each pair of texts of ``col`` and of their intersection."""
+    values, to, base = _word_sets(col, width)
+    keys = np.repeat(np.arange(len(col)), np.diff(to)) * base + values
+    at, pair = _rows(to, mine)
+    wanted = theirs[pair] * base + values[at]
+    place = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    found = keys[place] == wanted if len(keys) else np.zeros(0, bool)
     size = np.diff(to)
-    return size[:n], size[n:], np.bincount(both // base, minlength=n) if base else np.zeros(n, np.int64)
+    return size[mine], size[theirs], np.bincount(pair[found], minlength=len(mine))
 
 
 def _sketch(width: int, tables: int, half: int):
@@ -143,15 +161,76 @@ def _shingles(width: int):
     return run
 
 
+def _alike(both, x, y, percent: int):
+    return (100 * both >= percent * (x + y - both)) & (both > 0)
+
+
 def _confirm(width: int, percent: int):
-    """Keeps the pairs whose full sets are similar enough."""
+    """Rows come sorted by pivot and part, the pivot first: keeps the members whose full sets are similar enough to its."""
 
     def run(batches):
+        pivot = None
         for b in batches:
-            for lo, hi, _, _ in chunks(b.column("text_c")):
-                c, p, both = _shared(b.column("text_c")[lo:hi], b.column("text_p")[lo:hi], width)
-                keep = pa.array(np.flatnonzero((100 * both >= percent * (c + p - both)) & (both > 0)) + lo)
+            for lo, hi, _, _ in chunks(b.column("text")):
+                texts, first = b.column("text")[lo:hi], b.column("first")[lo:hi].to_numpy(zero_copy_only=False)
+                if pivot is not None:
+                    texts, first = pa.concat_arrays([pivot, texts]), np.append(True, first)
+                of = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+                mine = np.flatnonzero(~first)
+                x, y, both = _overlaps(texts, mine, of[mine], width)
+                keep = pa.array(mine[_alike(both, x, y, percent)] - (len(first) - (hi - lo)) + lo)
                 yield pa.RecordBatch.from_arrays([b.column("c").take(keep), b.column("p").take(keep)], names=["c", "p"])
+                pivot = texts[int(of[-1]) : int(of[-1]) + 1]
+
+    return run
+
+
+def _block_pairs(width: int, percent: int):
+    """Rows come sorted by bucket and pair of blocks (x, y): compares the members of the one block with those of the other, and gives links that connect them."""
+
+    def links(g) -> list[tuple[int, int]]:
+        col = lambda k: g.column(k).to_numpy(zero_copy_only=False)
+        m, c, label, own, n, r = g.num_rows, col("c"), col("label"), col("own"), col("n"), col("r")
+        x, y = g.column("x")[0].as_py(), g.column("y")[0].as_py()
+        ok = (label[:, None] != label) & (np.minimum(r[:, None], r) * (100 + percent) >= (n[:, None] + n) * percent)
+        ok &= np.triu(np.ones((m, m), bool), 1) if x == y else (own[:, None] == x) & (own == y)
+        # A pair is compared in the bucket of its smallest shared keys.
+        for side, key in (("a", "ka"), ("b", "kb")):
+            lists_, k = g.column(side), g.column(key)[0].as_py()
+            flat, of = lists_.flatten().to_numpy(), np.repeat(np.arange(m), lists_.value_lengths().to_numpy())
+            flat, of = flat[flat < k], of[flat < k]
+            order = np.argsort(flat, kind="stable")
+            for some in np.split(of[order], np.flatnonzero(np.diff(flat[order])) + 1):
+                if len(some) > 1:
+                    ok[np.ix_(some, some)] = False
+        if not ok.any():
+            return []
+        values, to, _ = _word_sets(g.column("text"), width)
+        size, doc = np.diff(to), np.repeat(np.arange(m), np.diff(to))
+        _, number = np.unique(values, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        post, begun = doc[order], np.searchsorted(number[order], np.arange(number.max(initial=-1) + 2))
+        of, out = np.unique(label, return_inverse=True)[1], []
+        for u in np.flatnonzero(ok.any(1)).tolist():
+            at, _ = _rows(begun, number[to[u] : to[u + 1]])
+            both = np.bincount(post[at], minlength=m)
+            for v in np.flatnonzero(ok[u] & _alike(both, size[u], size, percent)).tolist():
+                if of[u] != of[v]:
+                    of[of == of[v]] = of[u]
+                    out.append((min(c[u], c[v]), max(c[u], c[v])))
+        return out
+
+    def run(batches):
+        keys = ["bucket", "x", "y"]
+        for b in complete(batches, keys):
+            new = np.zeros(b.num_rows, bool)
+            new[0] = True
+            for k in keys:
+                v = b.column(k).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            cuts = [*np.flatnonzero(new).tolist(), b.num_rows]
+            out = [e for low, high in zip(cuts, cuts[1:]) for e in links(b.slice(low, high - low))]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["c", "p"])
 
     return run
 
@@ -245,15 +324,21 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
     place = F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("f"), F.col("c")).alias("o")
     links = labels = None
 
-    def confirm(pairs: DataFrame) -> None:
+    def connect(sure: DataFrame) -> None:
         nonlocal links, labels
-        pairs = pairs.select(F.least("c", "p").alias("c"), F.greatest("c", "p").alias("p")).distinct()
-        side = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"text_{x}"))
-        sure = pairs.join(side("c"), "c").join(side("p"), "p").select("c", "p", "text_c", "text_p").mapInArrow(trimmed(_confirm(width, percent)), "c long, p long")
         # Stars of the components so far stand for the links that made them.
         links = table(sure if labels is None else sure.union(labels.where("node <> label").select(F.col("node").alias("c"), F.col("label").alias("p"))), "links")
         labels = table(components(links), "labels")
 
+    def confirm(pairs: DataFrame) -> None:
+        """``pairs`` of a member (c) and a pivot (p)."""
+        pairs = table(pairs.select("c", "p", F.pmod(F.xxhash64("c"), F.lit(SALT)).alias("salt")).distinct(), "pairs")
+        pivots = pairs.select("p", "salt").distinct().select(F.col("p").alias("c"), "p", "salt", F.lit(True).alias("first"))
+        rows_ = pivots.unionByName(pairs.withColumn("first", F.lit(False))).join(texts, "c")
+        sorted_ = rows_.repartition("p", "salt").sortWithinPartitions("p", "salt", F.desc("first")).select("c", "p", "first", "text")
+        connect(sorted_.mapInArrow(trimmed(_confirm(width, percent)), "c long, p long"))
+        release(pairs)
+
     def with_pivots(r: DataFrame, each: int = 1, members: int = 1) -> DataFrame:
         """Each member of a bucket of more than so many with the bucket's pivots: the first of each of about ``each`` parts of it."""
         own = ["label"] if "label" in r.columns else []
@@ -288,10 +373,12 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
         done = table(last if done is None else done.union(last), "done")
         release(left, seen)
         left, each = unconnected(done), 2 * each
-    other = left.select("bucket", *[F.col(x).alias(f"{x}_p") for x in ("n", "r", "label", "a", "b")], F.col("c").alias("p"))
-    # A pair of whose first bucket one is done with has been compared there.
-    first = (F.get(F.array_intersect("a", "a_p"), F.lit(0)) == F.col("ka")) & (F.get(F.array_intersect("b", "b_p"), F.lit(0)) == F.col("kb"))
-    confirm(left.join(other, (left["bucket"] == other["bucket"]) & (left["c"] < other["p"]) & (left["label"] != other["label_p"]) & near & first).select("c", "p"))
+    blocks = left.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
+    dealt = left.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("c", "bucket"), F.col("blocks")))
+    dealt = dealt.withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"x": F.least("own", "of"), "y": F.greatest("own", "of")})
+    keys = ["bucket", "x", "y"]
+    dealt = dealt.join(texts, "c").select(*keys, "own", "c", "label", "n", "r", "a", "b", "ka", "kb", "text").repartition(*keys).sortWithinPartitions(*keys)
+    connect(dealt.mapInArrow(trimmed(_block_pairs(width, percent)), "c long, p long"))
     release(left)
     named = classes.select("c", *same, "first_doc").join(labels, F.col("c") == F.col("node"), "left").select(*same, "first_doc", F.coalesce("label", "c").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))

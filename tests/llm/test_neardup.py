@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quillspark.llm import neardup, queries
@@ -56,9 +57,9 @@ def test_confirmation_is_by_words(spark, monkeypatch):
 
     texts = ["a b c d e f", "A b c d e f g", "", None, "one two", "One two", "x " * 9, "x " * 40, "u v w"]
     n = len(texts)
-    c, p = zip(*[(texts[i], texts[j]) for i in range(n) for j in range(n)])
-    got = list(zip(*(v.tolist() for v in neardup._shared(pa.array(c, pa.string()), pa.array(p, pa.string()), 5))))
-    assert got == [(len(shingles(a)), len(shingles(b)), len(shingles(a) & shingles(b))) for a, b in zip(c, p)]
+    mine, theirs = (np.array(x) for x in zip(*[(i, j) for i in range(n) for j in range(n)]))
+    got = list(zip(*(v.tolist() for v in neardup._overlaps(pa.array(texts, pa.string()), mine, theirs, 5))))
+    assert got == [(len(shingles(texts[i])), len(shingles(texts[j])), len(shingles(texts[i]) & shingles(texts[j]))) for i, j in zip(mine, theirs)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -94,6 +95,24 @@ def test_many_pairs_in_buckets_get_pivots(spark, monkeypatch):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("members,direct", [(1024, 4096), (7, 4096), (4, 20)])
+def test_open_members_in_blocks(spark, monkeypatch, members, direct):
+    monkeypatch.setattr(neardup, "MEMBERS", members)
+    monkeypatch.setattr(neardup, "DIRECT", direct)
+    monkeypatch.setattr(neardup, "SALT", 2)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):  # most are about as far from the base as the threshold, and farther from each other
+        w = list(base)
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(120)] = f"x{r.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, rows[10 * i][1] + " y" * i) for i in range(1, 5)]
+    assert len({x[2] for x in brute(rows)}) > 10
+    check(spark, rows)
+
+
 def test_components_in_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "TASK_EDGES", 15)
     r = random.Random(4)

@@ -8,8 +8,9 @@ A window is ``min_words`` neighbouring words of one document; a word goes if a w
 2. The neighbouring windows of one anchor make a block of up to 85 words: the suffix at the anchor, and the words before it that go with it. Equal blocks
    (by 128 bits of hash) are counted up in parts before they move, and each keeps the smallest document and one copy of its words, so a passage that occurs
    in any number of documents costs one block. In all other documents such a block is a repeat as a whole.
-3. Blocks are split by prefix: the anchor. A prefix with up to ``GROUP_ROWS`` different blocks makes a group, which fits in memory by far.
-   Beyond, the prefix is lengthened to the whole path: the window itself, known by 128 bits of hash, so that a group is one leaf.
+3. Blocks are split by prefixes of variable length. The shortest is the anchor, which all windows of a block share. A prefix with up to ``GROUP_ROWS`` different blocks makes a
+   group, which fits in memory by far. Others are lengthened: each half of the windows shares more words around the anchor, by which its blocks are dealt again, and so on until groups
+   fit or the prefix is the whole window; blocks that have this in common are counted up by its words. Prefixes are dealt by hashes, which only bring blocks together.
 4. A group's suffixes, with the words before them, are sorted in word order, to the right of the anchor and (backwards) to its left. The
    words that neighbours have in common (LCP) give both trees' internal nodes: those of depth q are the runs where no LCP is below q.
    Suffixes in the same node of depth ``min_words - p`` on the right and of depth p on the left share a window that starts p words before the
@@ -28,6 +29,7 @@ to its length; an empty table gives an empty result. Other columns are ignored,
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -142,20 +144,43 @@ def _suffixes(size: int):
     return run
 
 
-def _windows(size: int):
-    """A row for each window of the blocks of large groups: the two halves of its hash."""
+_LEVEL = "grp long, low int, high int, key long, a long, b long, first_doc long, left int, words binary"
+_GROUP = ["grp", "low", "high", "key"]
+
+
+def _longer(size: int):
+    """Deals the blocks of groups that are too large to two halves of their windows each, with the longer prefix that all windows of the half share:
+    those that start ``low`` to ``high`` words before the anchor have in common what lies from ``low`` words before it to ``size - high`` words behind its start."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, data, off in chunks(b.column("words")):
+                s, e, count = spans(data, off)
+                sym, n = symbols(data, s, e), np.diff(count)
+                left, low, high = (np.asarray(b.column(x)[lo:hi]).astype(np.int64) for x in ("left", "low", "high"))
+                for x, y in np.unique(np.stack([low, high]), axis=1).T.tolist():
+                    mid = (x + y) // 2
+                    for p, q in ((x, mid), (mid + 1, y)):
+                        some = np.flatnonzero((low == x) & (high == y) & (np.maximum(p, size - n + left) <= np.minimum(q, left)))
+                        if len(some):
+                            key = chained(sym, count[some] + left[some] - p, p + size - q, 77)
+                            take = pa.array(some + lo)
+                            fixed = [pa.array(np.full(len(some), v, np.int32)) for v in (p, q)]
+                            yield pa.RecordBatch.from_arrays([b.column("grp").take(take), *fixed, longs(key), *(b.column(c).take(take) for c in ("a", "b", "first_doc", "left", "words"))], names=[c.split()[0] for c in _LEVEL.split(", ")])
+
+    return run
+
+
+def _whole_windows(size: int):
+    """The words of the one window that each row is in its group for."""
 
     def run(batches):
         for b in batches:
             for lo, hi, data, off in chunks(b.column("words")):
                 s, e, count = spans(data, off)
-                n = np.diff(count) - size + 1
-                row = np.repeat(np.arange(hi - lo), n)
-                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                a, c = (chained(symbols(data, s, e, lane), start + count[row], size, 30 + lane) for lane in (0, 1))
-                take = pa.array(row + lo)
-                left = np.asarray(b.column("left"))[row + lo]
-                yield pa.RecordBatch.from_arrays([*(b.column(x).take(take) for x in ("grp", "a", "b", "first_doc")), pa.array((left - start).astype(np.int32)), longs(a), longs(c)], names=["grp", "a", "b", "first_doc", "p", "wa", "wb"])
+                raw, at = data.tobytes(), count[:-1] + np.asarray(b.column("left")[lo:hi]) - np.asarray(b.column("low")[lo:hi])
+                words = [b" ".join(raw[x:y].split()) for x, y in zip(s[at].tolist(), e[at + size - 1].tolist())]
+                yield pa.RecordBatch.from_arrays([*(b.column(x)[lo:hi] for x in ("grp", "a", "b", "first_doc", "low", "high")), pa.array(words, pa.binary())], names=["grp", "a", "b", "first_doc", "low", "high", "w"])
 
     return run
 
@@ -169,8 +194,8 @@ def _common(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.concatenate([[-1], np.where(g[1:] == g[:-1], lcp, -1)])
 
 
-def _repeats(group, doc, left, data, off, size: int) -> np.ndarray:
-    """For each suffix and each p: whether a smaller document has the window that starts p words before the anchor."""
+def _repeats(group, low, high, doc, left, data, off, size: int) -> np.ndarray:
+    """For each suffix and each p from its ``low`` to its ``high``: whether a smaller document has the window that starts p words before the anchor."""
     s, e, count = spans(data, off)
     ids, n = word_ids(data, s, e), len(doc)
     at, k = count[:-1] + left, min(ANCHOR_WORDS, size)
@@ -182,7 +207,7 @@ def _repeats(group, doc, left, data, off, size: int) -> np.ndarray:
     found = np.zeros((size - k + 1, n), bool)
     node_after, node_before = np.empty(n, np.int64), np.empty(n, np.int64)
     for p in range(size - k + 1):
-        some = np.flatnonzero((left >= p) & (right >= size - p))
+        some = np.flatnonzero((left >= p) & (right >= size - p) & (low <= p) & (p <= high))
         if len(some) < 2:
             continue
         node_after[after] = np.cumsum(lcp_after < size - p)
@@ -205,7 +230,9 @@ def _subtrees(size: int):
 
     def look(b):
         data, off = buffers(b.column("words"))
-        found = _repeats(np.asarray(b.column("grp")), np.asarray(b.column("first_doc")), np.asarray(b.column("left")).astype(np.int64), data, off, size)
+        keys = [np.asarray(b.column(x)) for x in _GROUP]
+        group = np.cumsum(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+        found = _repeats(group, *keys[1:3], np.asarray(b.column("first_doc")), np.asarray(b.column("left")).astype(np.int64), data, off, size)
         edge = np.zeros((b.num_rows, found.shape[0] + 2), np.int8)
         edge[:, 1:-1] = found.T
         step = np.diff(edge, axis=1)
@@ -215,7 +242,7 @@ def _subtrees(size: int):
         return pa.RecordBatch.from_arrays([*(b.column(x).take(take) for x in ("grp", "a", "b", "first_doc")), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=[x.split()[0] for x in _RUN.split(", ")])
 
     def run(batches):
-        for b in complete(batches, ["grp"]):
+        for b in complete(batches, _GROUP):
             yield look(b)
 
     return run
@@ -237,13 +264,25 @@ def repeats(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, DataFrame]
     suffixes = table(texts.mapInArrow(trimmed(_suffixes(min_words)), _SUFFIX), "suffixes")
     key = ["grp", "a", "b"]
     blocks = table(suffixes.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.first("left").alias("left"), F.first("words", ignorenulls=True).alias("words")), "blocks")
-    large = table(blocks.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS).select("grp"), "large")
-    tree = blocks.join(large, "grp", "left_anti").repartition("grp").sortWithinPartitions("grp").mapInArrow(trimmed(_subtrees(min_words)), _RUN)
-    windows = table(blocks.join(large, "grp").mapInArrow(trimmed(_windows(min_words)), "grp long, a long, b long, first_doc long, p int, wa long, wb long"), "windows")
-    leaves = table(windows.groupBy("wa", "wb").agg(F.min("first_doc").alias("lo"), F.max("first_doc").alias("hi")).where("lo < hi").select("wa", "wb", "lo"), "leaves")
-    hits = windows.join(leaves, ["wa", "wb"]).where("lo < first_doc").select(*key, "first_doc", F.col("p").alias("low"), F.col("p").alias("high"))
-    runs = table(tree.union(hits), "runs")
-    release(large, windows, leaves)
+    whole = ["grp", "a", "b", "first_doc", "low", "high"]
+    level = blocks.select("grp", F.lit(0).alias("low"), F.lit(min_words - min(ANCHOR_WORDS, min_words)).alias("high"), F.lit(0).cast("long").alias("key"), "a", "b", "first_doc", "left", "words")
+    found, leaves, made = [], [], []
+    while True:
+        large = table(level.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS).select(*_GROUP), "large")
+        tree = level.join(large, _GROUP, "left_anti").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+        found.append(table(tree.mapInArrow(trimmed(_subtrees(min_words)), _RUN), "runs"))
+        made += [large, found[-1]]
+        if large.isEmpty():
+            break
+        rest = level.join(large, _GROUP)
+        leaves.append(table(rest.where("low = high").mapInArrow(trimmed(_whole_windows(min_words)), "grp long, a long, b long, first_doc long, low int, high int, w binary"), "leaves"))
+        level = table(rest.where("low < high").mapInArrow(trimmed(_longer(min_words)), _LEVEL), "level")
+        made += [leaves[-1], level]
+    for leaf in leaves:
+        first = leaf.groupBy("w").agg(F.min("first_doc").alias("least"), F.max("first_doc").alias("most")).where("least < most").select("w", "least")
+        found.append(leaf.join(first, "w").where("least < first_doc").select(*whole))
+    runs = table(reduce(DataFrame.unionAll, found), "runs")
+    release(*made)
     places = suffixes.drop("words")
     begin = F.col("at") - F.col("left")
     again = places.join(blocks.select(*key, "first_doc"), key).where("first_doc < doc_id").select("doc_id", "th", begin.alias("start"), (begin + F.col("n") + (min_words - 1)).alias("stop"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import nested, scalars, text
+from . import ordered, shuffled
 
 
 def build(raw: DataFrame, extension: str = ".jpg") -> tuple[DataFrame, DataFrame]:
@@ -37,14 +36,10 @@ def rank_by_hash(items: DataFrame, seed: int = 42, key: str = "qa_id") -> DataFr
 
 
 def rank_by_shuffle(items: DataFrame, seed: int = 42) -> DataFrame:
-    """The order of a seeded shuffle of the items sorted by (image_id, qa_id, qa_type). The permutation depends on their number only and is
-    made on the driver: for benchmark-sized sets."""
-    n = items.count()
-    places = list(range(n))
-    random.Random(seed).shuffle(places)
-    order = items.sparkSession.createDataFrame([(p, r) for r, p in enumerate(places)] or [], "_pos long, rank long")
-    pos = F.row_number().over(Window.orderBy("image_id", "qa_id", "qa_type")) - 1
-    return items.withColumn("_pos", pos.cast("long")).join(order, "_pos").drop("_pos").select("rank", *[F.col(f"`{c}`") for c in items.columns])
+    """The order of a seeded shuffle of the items sorted by (image_id, qa_id, qa_type). The permutation depends on their number only; it is a table that is joined by place."""
+    at = ordered.placed(items, [], ["image_id", "qa_id", "qa_type"])
+    order = shuffled.permutation(items.sparkSession, at.count(), seed)
+    return at.join(order, at["_pos"] == order["pos"]).select("rank", *[F.col(f"`{c}`") for c in items.columns])
 
 
 def shard(items: DataFrame, k: int, n: int) -> DataFrame:

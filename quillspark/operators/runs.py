@@ -5,14 +5,16 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import geometry, scalars, text
 from . import items as items_
+from . import ordered
 
 RESPONSE = "qa_id string, model_id string, raw_output string, latency_s double, run_ts string, error string"
 
@@ -97,16 +99,24 @@ def run(planned: DataFrame, make: Callable[[], Answerer], options: RunOptions =
 
 def error_runs(responses: DataFrame, order: str, failed: str) -> DataFrame:
     """(start, end, n) of runs of consecutive failures in the order of ``order``, per model."""
-    w = Window.partitionBy("model_id").orderBy(order)
-    marked = responses.select("model_id", order, failed, (F.row_number().over(w) - F.row_number().over(Window.partitionBy("model_id", failed).orderBy(order))).alias("island"))
-    return marked.where(failed).groupBy("model_id", "island").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("n")).drop("island")
+    return ordered.islands(responses, ["model_id"], order, failed).select("model_id", "start", "end", "n")
 
 
 def latency(responses: DataFrame, by: list[str], order: list[str], column: str = "latency_s", drop: int = vocab.WARM_UP) -> DataFrame:
-    """Mean latency, and that after the first ``drop`` where there are more than one more."""
-    at = responses.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    out = at.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean_s"), F.avg(F.when(F.col("_n") > drop, F.col(column))).alias("_warm"))
-    return out.select(*by, "n", "mean_s", F.when(F.col("n") > drop + 1, F.col("_warm")).otherwise(F.col("mean_s")).alias("warm_mean_s"))
+    """Mean latency, and that after the first ``drop`` where there are more than one more. Each task hands on no more than its first ``drop`` rows of a key; rows
+    that are equal in order and latency change nothing by their order."""
+    along = [*order, column]
+    first = responses.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*along))).where(F.col("_n") <= drop)
+    last = first.groupBy(*by).agg(F.max(F.struct(*along)).alias("_last"), F.count(F.lit(1)).alias("_warm_up"))
+    keys = [F.col(f"f.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    both = responses.alias("r").join(last.alias("f"), reduce(Column.__and__, keys), "left").select("r.*", "_last", "_warm_up")
+    at = F.struct(*along)
+    n, late = F.count(F.lit(1)), at > F.col("_last")
+    out = both.groupBy(*by).agg(n.alias("n"), F.avg(column).alias("mean_s"), F.sum(F.when(late, F.col(column))).alias("_sum"), F.count_if(late).alias("_late"), F.max(f"_last.{column}").alias("_tie"))
+    # Of rows equal to the last one that is dropped, some may stay.
+    stay = F.col("n") - drop - F.col("_late")
+    warm = (F.coalesce("_sum", F.lit(0.0)) + F.when(stay > 0, stay * F.col("_tie")).otherwise(F.lit(0.0))) / (F.col("n") - drop)
+    return out.select(*by, "n", "mean_s", F.when(F.col("n") > drop + 1, warm).otherwise(F.col("mean_s")).alias("warm_mean_s"))
 
 
 def projection(speed: DataFrame, items: int, warm: str = "warm_mean_s", workers: list[int] = [1, 2, 3, 4, 6, 8], session_hours: float = 12.0) -> DataFrame:

@@ -27,6 +27,8 @@ from .common import row_key, table, unused
 
 SPACE = r"[\x20\x09-\x0D]+"
 RISK, ALPHA, GOOD_WEIGHT = 0.05, 0.05, 5
+#: Strata whose rules and cutoffs, some hundred bytes each, are broadcast; beyond, parts that each stratum's rows are dealt to.
+BROADCAST, SALT = 10_000, 32
 #: Signals in steps of a hundredth per word, line or character; high values are bad. Cutoffs run from STEPS down to 1.
 STEPS = 100
 SIGNALS = {
@@ -99,6 +101,15 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), top * F.aggregate(steps, start, step, lambda a: a["s"])))
 
 
+def per_stratum(df: DataFrame, few: DataFrame, strata: int) -> DataFrame:
+    """``df`` with the columns of ``few``, which has a row for each of at most ``strata`` strata, or nulls. A stratum may have most of the rows: ``few`` is broadcast, or, if
+    there are more than ``BROADCAST`` strata, dealt to ``SALT`` parts of each stratum."""
+    if strata <= BROADCAST:
+        return df.join(F.broadcast(few), "stratum", "left")
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return df.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")).join(salted, ["stratum", "salt"], "left").drop("salt")
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """stratum and a map from signal to the cutoff that counts: documents with that value or more are rejected."""
     best = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
@@ -119,7 +130,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, alpha
     # The half that certifies.
     strata = max(1, seen.select("stratum").distinct().count())
     # Equal documents are counted up before they meet the rules of their stratum.
-    held = seen.where("held and good").groupBy("stratum", "values").agg(F.count(F.lit(1)).alias("m")).join(rules, "stratum")
+    held = per_stratum(seen.where("held and good").groupBy("stratum", "values").agg(F.count(F.lit(1)).alias("m")), rules, strata).where("rules is not null")
     rejects = F.array_position(F.transform("rules", lambda x: F.element_at("values", F.array_position(names, x["signal"]).cast("int")) >= x["cutoff"]), True)
     first = held.groupBy("stratum", "rules", rejects.alias("first")).agg(F.sum("m").alias("n"))
     by = first.groupBy("stratum", "rules").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("at"))
@@ -134,9 +145,9 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, alpha
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """The measures of every row of ``docs`` (text, lang), ``kept``, and ``rejected_by`` (signals)."""
     measured = table(measure(docs), "measures")
-    cutoffs = thresholds(measured, labels, risk, alpha)
+    cutoffs = table(thresholds(measured, labels, risk, alpha), "cutoffs")
     by = F.filter(F.array(*[F.when(F.expr(v) >= F.col("cutoffs")[k], F.lit(k)) for k, v in SIGNALS.items()]), lambda x: x.isNotNull())
-    out = measured.join(cutoffs, "stratum", "left").withColumn("rejected_by", F.when(F.col("cutoffs").isNull(), F.array().cast("array<string>")).otherwise(by))
+    out = per_stratum(measured, cutoffs, cutoffs.count()).withColumn("rejected_by", F.when(F.col("cutoffs").isNull(), F.array().cast("array<string>")).otherwise(by))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("cutoffs")
 
 

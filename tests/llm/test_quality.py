@@ -83,7 +83,7 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert got(queries.op4_quality_rules(spark, sf_dir)) == brute(spark, rows, labels)[0]
 
 
-def test_cutoffs_are_certified_and_used(spark):
+def test_cutoffs_are_certified_and_used(spark, monkeypatch):
     r = random.Random(5)
     rows, labels = [], []
     for i in range(1500):
@@ -100,6 +100,9 @@ def test_cutoffs_are_certified_and_used(spark):
     assert got(quality.report(df, lab)) == want
     kept = sorted((r.doc_id for r in quality.keep(df, lab).collect()), key=str)
     assert kept == sorted((x[0] for x in want if x[-1]), key=str)
+    monkeypatch.setattr(quality, "BROADCAST", 0)  # strata in parts
+    assert got(quality.report(df, lab)) == want
+    monkeypatch.undo()
     assert quality.report(df.limit(0), lab).collect() == []
     assert got(quality.report(df, lab.limit(0))) == brute(spark, rows, [])[0]
 

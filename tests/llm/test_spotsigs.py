@@ -56,6 +56,12 @@ def test_edge_cases(spark):
     assert spotsigs.report(df.limit(0)).collect() == []
 
 
+def test_helper_columns_may_clash(spark):
+    rows = [(i, f"the red fox {i} of a green house {i % 3}") for i in range(6)]
+    wide = spark.createDataFrame([(d, t, "x", 1, True, "y", 2) for d, t in rows], "doc_id int, text string, part string, sigs int, guest boolean, EDIT string, n int")
+    assert got(spotsigs.report(wide)) == brute(rows)
+
+
 def test_join_equals_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     member, pairs = spotsigs.join(spark.createDataFrame(rows), 0.5)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import geometry, scalars, text
+from ..sources import scratch
 from . import items as items_
 from . import ordered
 
@@ -71,30 +72,57 @@ def dry_run(planned: DataFrame, n: int = 3) -> DataFrame:
     return planned.orderBy("rank").limit(n)
 
 
+class Worker:
+    """Answers items one after the other and counts the failures in a row."""
+
+    def __init__(self, make: Callable[[], Answerer], options: RunOptions, failed: int = 0):
+        self.answerer, self.options, self.failed = make(), options, failed
+        self.answerer.setup()
+
+    @property
+    def stopped(self) -> bool:
+        return self.failed >= self.options.max_consecutive_errors
+
+    def answer(self, item: dict) -> tuple:
+        began, error, said = time.perf_counter(), None, ""
+        try:
+            said = self.answerer.answer(item).strip()
+            self.failed = 0
+        except Exception as e:  # noqa: BLE001 - any failure of a model is one item's failure
+            error, self.failed = f"{type(e).__name__}: {e}", self.failed + 1
+        return item["qa_id"], self.options.model_id, said, round(time.perf_counter() - began, 3), time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), error
+
+
+_COLUMNS = [c.split()[0] for c in RESPONSE.split(", ")]
+
+
 def run(planned: DataFrame, make: Callable[[], Answerer], options: RunOptions = RunOptions()) -> DataFrame:
-    """A response for each item. A failure gives an empty answer and its error; after too many in a row a partition stops,
-    and the row that stops it is not written."""
+    """A response for each item. A failure gives an empty answer and its error; after too many in a row, in the order of ranks over all tasks, nothing more is
+    kept, nor the row that stops the run. Tasks answer ranges of ranks side by side; each ends early at so many failures of its own, and what later ranges have answered
+    in vain is cut off."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        answerer, failed = make(), 0
-        answerer.setup()
+        worker = None
         for pdf in frames:
-            out = []
-            for item in pdf.sort_values("rank").to_dict("records"):
-                began, error, said = time.perf_counter(), None, ""
-                try:
-                    said = answerer.answer(item).strip()
-                    failed = 0
-                except Exception as e:  # noqa: BLE001 - any failure of a model is one item's failure
-                    error, failed = f"{type(e).__name__}: {e}", failed + 1
-                    if failed >= options.max_consecutive_errors:
-                        break
-                out.append((item["qa_id"], options.model_id, said, round(time.perf_counter() - began, 3), time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), error))
-            yield pd.DataFrame(out, columns=["qa_id", "model_id", "raw_output", "latency_s", "run_ts", "error"])
-            if failed >= options.max_consecutive_errors:
+            worker, out = worker or Worker(make, options), []
+            for item in pdf.to_dict("records"):
+                if worker.stopped:
+                    break
+                out.append((*worker.answer(item), item["rank"]))
+            yield pd.DataFrame(out, columns=[*_COLUMNS, "rank"])
+            if worker.stopped:
                 return
 
-    return planned.mapInPandas(work, RESPONSE)
+    ranged = planned.repartitionByRange("rank").sortWithinPartitions("rank")
+    made = scratch.table(ranged.mapInPandas(work, f"{RESPONSE}, rank long"), "responses")
+    return cut_off(made, options.max_consecutive_errors).select(*_COLUMNS)
+
+
+def cut_off(responses: DataFrame, most: int, order: str = "rank") -> DataFrame:
+    """The responses before the one that makes it ``most`` failures in a row."""
+    runs = ordered.islands(responses.withColumn("_failed", F.col("error").isNotNull()), [], order, "_failed")
+    stop = runs.where(F.col("n") >= most).agg(F.min(F.col("first") + most - 1).alias("_stop"))  # one row
+    return ordered.placed(responses, [], [order]).join(F.broadcast(stop), F.lit(True)).where(F.coalesce(F.col("_pos") < F.col("_stop"), F.lit(True))).select(*responses.columns)
 
 
 def error_runs(responses: DataFrame, order: str, failed: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from . import scratch
+from .ledger import Ledger
 
 #: The columns of the manifest in their order.
 MANIFEST_COLUMNS = [c.split()[0] for c in vocab.MANIFEST.split(", ")]
@@ -41,9 +42,10 @@ def items(df: DataFrame, path: str) -> int:
     return df.sparkSession.read.text(path).count()
 
 
-def responses(df: DataFrame, path: str) -> None:
-    """Appends rows of (model_tag, shard, ...); a batch is there as a whole or not at all."""
-    df.write.mode("append").partitionBy("model_tag", "shard").json(path)
+def responses(df: DataFrame, path: str, batch: str | int | None = None) -> bool:
+    """Commits rows of (model_tag, shard, ...) to the ledger at ``path``: a batch is there as a whole or not at all, and once under its number or name. Without one,
+    the rows are a batch of their own."""
+    return Ledger(df.sparkSession, path).commit(df, uuid.uuid4().hex if batch is None else batch)
 
 
 def images(made: DataFrame, root: str) -> DataFrame:

@@ -152,15 +152,23 @@ class Merged:
 def merge(tasks: DataFrame, assignment: DataFrame, manifest: DataFrame, options: MergeOptions = MergeOptions()) -> Merged:
     """Routes records: kept, excluded, dropped for lack of a usable box; and the issues of tasks and ids. Tasks and records are written once, as all
     outputs and audits come from them."""
-    from .validate import problems
-
     seen = scratch.table(picked(tasks), "tasks")
     every = scratch.table(records(seen, assignment, manifest, options), "records")
-    route = F.lit(False) if options.keep_excluded else F.col("_exclude") != ""
-    routed = every.withColumn("_out", route)
-    if options.strict_exclusion:
-        routed = routed.withColumn("_out", F.max("_out").over(Window.partitionBy("image_id")))
-    last = last_wins(routed, ["image_id", "_out"], ["file_no", "pos"])
+    return routes(seen, every, last_routed(every, options), options)
+
+
+def last_routed(every: DataFrame, options: MergeOptions = MergeOptions()) -> DataFrame:
+    """The last record of each id and route; ``_out`` is the route."""
+    out = F.lit(False) if options.keep_excluded else F.col("_exclude") != ""
+    return last_wins(every.withColumn("_out", out), ["image_id", "_out"], ["file_no", "pos"])
+
+
+def routes(seen: DataFrame, every: DataFrame, last: DataFrame, options: MergeOptions = MergeOptions()) -> Merged:
+    """What a merge gives, of all tasks, all records and the last record of each id and route."""
+    from .validate import problems
+
+    if options.strict_exclusion:  # two rows of an id at most
+        last = last_wins(last.withColumn("_out", F.max("_out").over(Window.partitionBy("image_id"))), ["image_id", "_out"], ["file_no", "pos"])
     kept, excluded = last.where("not _out"), last.where("_out").drop("_out")
     lost = F.col("capture_type").isin(vocab.SCENE_CAPTURES) & (F.size("objects") == 0)
     repeated = Window.partitionBy("image_id").orderBy("file_no", "pos")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import geometry, nested, scalars, text
 from ..operators import audit, images, items, merge, runs, stats, validate
-from . import merging  # noqa: F401 registers its queries
+from . import files, merging  # noqa: F401 register their queries
 from . import sqltext as S
 from .registry import ORACLE, QUERIES, query, read  # noqa: F401
 

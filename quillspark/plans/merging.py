@@ -69,8 +69,11 @@ def _merged(spark, d) -> tuple[merge.Merged, DataFrame]:
     here = ids.select(F.format_string("H%02d_%04d", "h", "num").alias("image_id"), F.expr(_WIDTH).alias("final_width"), F.lit("480").alias("final_height"))
     more = read(spark, d, "customer").select(F.concat(F.lit("H99_"), "c_custkey").alias("image_id"), F.lit("1").alias("final_width"), F.lit("1").alias("final_height"))
     manifest = here.union(more)
-    assignment = read(spark, d, "nation").select(F.format_string("H%02d", "n_nationkey").alias("house_id"), F.col("n_name").alias("annotator_id"))
-    return merge.merge(tasks, assignment, manifest), manifest
+    assignment = read(spark, d, "nation").select(F.format_string("h%02d ", "n_nationkey").alias("house_id"), F.lit("x").alias("annotator_name"), F.col("n_name").alias("annotator_id"))
+    for name, df in (("assignment", assignment), ("manifest", manifest)):
+        df.write.option("header", True).csv(f"{root}-{name}")
+    sizes = scratch.table(readers.manifest(spark, f"{root}-manifest"), "manifest")
+    return merge.merge(tasks, readers.assignment(spark, f"{root}-assignment"), sizes), sizes
 
 
 _CLEAN = S.clean_for_storage
@@ -93,7 +96,7 @@ good AS (SELECT * FROM last WHERE NOT out AND NOT lost_all)"""
 cap AS capture_type, room AS room_type, boxes::INT AS boxes, (CASE WHEN cap = 'closeup' THEN 1 ELSE 2 END)::INT AS pairs,
 CASE WHEN known AND dw IS NOT NULL AND (mw = 800 OR mw <> dw) THEN 'manifest=' || mw || 'x480 ls=[(' || dw || ', ' || dh || ')]' ELSE '' END AS conflict FROM good""")
 def merge_records(spark, d):
-    """The merge itself: P1, P2, P10, P13, F1-F3, F5, F6, J1, J2, J4, D1, N10, N11, S2, U1."""
+    """The merge itself: P1, P2, P10, P13, F1-F3, F5, F6, J1, J2, J4, D1, N10, N11, S1, S2, S4-S6, U1."""
     m, _ = _merged(spark, d)
     return m.records.select("image_id", "house_id", "annotator_id", "image_file", "image_w", "image_h", "capture_type", "room_type", F.size("objects").alias("boxes"), F.size("qa_pairs").alias("pairs"), F.regexp_replace("_dims_conflict", r"\), \(800, 600", "").alias("conflict"))
 

@@ -70,8 +70,11 @@ def exports(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, DataFr
 
 
 def records(spark: SparkSession, path: str, schema: str = vocab.RELEASE) -> DataFrame:
-    """Rows of a JSON array or of JSON lines."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Rows of JSON arrays, which are parsed in byte ranges, or of other JSON texts, a file in a task."""
+    found, files = arrays.elements(spark, [path])
+    rows = found.select(F.from_json("json", schema).alias("r")).select("r.*")
+    others = [r.path for r in files.where("not good").collect()]
+    return rows.unionByName(spark.read.schema(schema).option("multiLine", True).json(others)) if others else rows
 
 
 def json_lines(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:

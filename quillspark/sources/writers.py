@@ -26,6 +26,35 @@ def release(df: DataFrame, path: str) -> None:
     public(df).orderBy("image_id").write.option("ignoreNullFields", False).json(path)
 
 
+def document(df: DataFrame, path: str, order: str = "image_id") -> None:
+    """Records as one JSON array in one file, ordered over the parts that tasks write side by side: each row brings the separator before it, the first the bracket. The
+    parts, in their order, and the closing bracket are then copied together, and the file is renamed to ``path``."""
+    spark, staged = df.sparkSession, scratch.folder(df.sparkSession, "document")
+    rows = public(df)
+    json = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
+    lines = rows.select(F.col(order).alias("_order"), json.alias("_json")).orderBy("_order", "_json")
+    lines.select(F.concat(F.when(F.monotonically_increasing_id() == 0, "[").otherwise(","), "_json").alias("value")).write.text(staged)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    name = jvm.org.apache.hadoop.fs.Path
+    fs = name(staged).getFileSystem(conf)
+    parts = sorted((x.getPath() for x in fs.listStatus(name(staged)) if x.getPath().getName().startswith("part-") and x.getLen()), key=lambda p: p.getName())
+    whole = name(f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(whole, True)
+    try:
+        for p in parts:  # bytes are handed through, a buffer at a time
+            source = fs.open(p)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            source.close()
+        out.write(b"]\n" if parts else b"[]\n")
+    finally:
+        out.close()
+    fs.delete(name(staged), True)
+    if fs.exists(name(path)):
+        fs.delete(name(path), False)
+    if not fs.rename(whole, name(path)):
+        raise OSError(f"{path} could not be written")
+
+
 def report(df: DataFrame, path: str) -> None:
     """A one-row nested DataFrame as one JSON object."""
     df.coalesce(1).write.option("ignoreNullFields", False).json(path)

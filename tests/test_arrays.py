@@ -3,15 +3,17 @@ import random
 
 import pytest
 
-from quillspark.sources import arrays, readers
+from pyspark.sql import functions as F
 
-HARD = [{"a": "} , ] [ { \" \\ \\\\"}, {}, {"b": [{"c": {"d": "\\"}}, [[{}]]], "é": "漢 }"}, {"s": "\"}\"", "t": "\\\"}"}, {"long": "x}" * 400}, {"n": [1, 2.5, None, True]}]
+from quillspark.sources import arrays, readers, writers
+
+HARD = [{"a": "} , ] [ { \" \\ \\\\"}, {}, {"b": [{"c": {"d": "\\"}}, [[{}]]], "é": "漢 }"}, {"s": "\"}\"", "t": "\\\"}"}, {"long": "x}" * 300}, {"n": [1, 2.5, None, True]}]
 
 
 @pytest.fixture
 def small_ranges(spark):
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
     yield
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
@@ -30,7 +32,7 @@ def told(spark, folder):
 def test_ranges_cut_strings_escapes_and_elements(spark, tmp_path, small_ranges):
     rng = random.Random(2)
     want = {}
-    for i, (indent, n) in enumerate([(None, 40), (2, 25), (None, 1), (0, 60)]):
+    for i, (indent, n) in enumerate([(None, 40), (2, 25), (None, 1), (0, 30)]):
         want[f"f{i}.json"] = [rng.choice(HARD) for _ in range(n)]
         (tmp_path / f"f{i}.json").write_text(json.dumps(want[f"f{i}.json"], indent=indent, ensure_ascii=bool(i % 2)) + "\n" * (i % 2))
     (tmp_path / "none.json").write_text(" [ ]\n")
@@ -45,7 +47,7 @@ def test_ranges_cut_strings_escapes_and_elements(spark, tmp_path, small_ranges):
 def test_one_file_is_the_work_of_many_tasks(spark, tmp_path, small_ranges):
     rows = [{"id": i, "text": "}{" * (i % 7)} for i in range(300)]
     (tmp_path / "one.json").write_text(json.dumps(rows))
-    assert arrays._fragments(spark, [str(tmp_path)]).rdd.getNumPartitions() > 50
+    assert arrays._fragments(spark, [str(tmp_path)]).rdd.getNumPartitions() > 10
     assert told(spark, tmp_path) == ({"one.json": rows}, [])
 
 
@@ -56,3 +58,18 @@ def test_exports_without_text_are_unreadable(spark, tmp_path):
     tasks, bad = readers.exports(spark, [f"{tmp_path}/*.json", f"{tmp_path}/gone"])
     assert [(r.file_no, r.pos, r.task.id) for r in sorted(tasks.select("file_no", "pos", "task.id", "task").collect())] == [(0, 0, "3"), (0, 1, "4")]
     assert sorted(r.file.rsplit("/", 1)[1] for r in bad.collect()) == ["empty.json", "gone"]
+
+
+def test_release_as_one_document(spark, tmp_path, small_ranges):
+    rows = [(f"H{i:02d}_000{i % 7}", "H01", "A", "x.jpg", i, None, "overview", 'k"}[', [], [{"qa_id": f"q{i}", "type": "count", "question": "}", "answer": "\\"}]) for i in range(60)]
+    df = spark.createDataFrame(rows, readers.vocab.RELEASE).withColumn("_hidden", F.lit(1)).repartition(7)
+    writers.document(df, f"{tmp_path}/release.json")
+    told_ = json.loads((tmp_path / "release.json").read_text())
+    assert [r["image_id"] for r in told_] == sorted(r[0] for r in rows) and "_hidden" not in told_[0] and told_[0]["image_h"] is None
+    back = readers.records(spark, f"{tmp_path}/release.json")
+    assert sorted(back.collect(), key=str) == sorted(df.drop("_hidden").collect(), key=str)
+    writers.document(df.limit(0), f"{tmp_path}/release.json")
+    assert (tmp_path / "release.json").read_text() == "[]\n" and readers.records(spark, f"{tmp_path}/release.json").collect() == []
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["release.json"]
+    (tmp_path / "one.json").write_text('{"image_id": "H01_0001"}')
+    assert [r.image_id for r in readers.records(spark, f"{tmp_path}/one.json").collect()] == ["H01_0001"]

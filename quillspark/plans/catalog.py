@@ -194,12 +194,14 @@ def resume_todo(spark, d):
     return items.todo(docs, read(spark, d, "labels").select(F.col("doc_id").alias("qa_id"))).select(F.col("qa_id").alias("doc_id"), "lang")
 
 
-@query("""WITH a AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey < 20)
+_REFERS, _THERE = "CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE -o_custkey END", "CASE WHEN c_nationkey < 20 THEN c_custkey ELSE c_custkey + 100000000 END"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT {_REFERS} AS id FROM orders), b AS (SELECT {_THERE} AS id FROM customer)
 SELECT id, 'missing' AS side FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT id, 'unreferenced' AS side FROM b WHERE id NOT IN (SELECT id FROM a)""")
 def referential_both_ways(spark, d):
     """J7, U3."""
-    a = read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"))
-    return audit.references(a, read(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("id")), "id")
+    return audit.references(read(spark, d, "orders").select(F.expr(_REFERS).alias("id")), read(spark, d, "customer").select(F.expr(_THERE).alias("id")), "id")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -208,18 +210,18 @@ def duplicate_keys(spark, d):
     return audit.duplicate_keys(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("""WITH m AS (SELECT c_custkey AS id FROM customer), a AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey % 10 < 6), e AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey % 10 = 6),
-k AS (SELECT id FROM m WHERE id % 10 = 7), acc AS (SELECT id FROM a UNION SELECT id FROM e UNION SELECT id FROM k)
-SELECT (SELECT count(*) FROM m) AS manifest_total, (SELECT count(*) FROM a) AS in_dataset, (SELECT count(*) FROM e) AS excluded, (SELECT count(*) FROM k) AS intentional_skips,
-(SELECT count(*) FROM m WHERE id NOT IN (SELECT id FROM acc)) AS real_gap_count, (SELECT count(*) FROM (SELECT id FROM a UNION SELECT id FROM e) x WHERE id NOT IN (SELECT id FROM m)) AS extra_count""")
+_IMAGE = "CAST(CASE WHEN o_orderstatus = 'P' THEN o_custkey + 100000000 ELSE o_custkey END AS STRING)"
+
+
+@query(f"""WITH m AS (SELECT c_custkey::VARCHAR AS id, c_nationkey % 5 = 0 AS skip FROM customer), o AS (SELECT DISTINCT {_IMAGE} AS id, o_custkey % 10 AS r FROM orders), k AS (SELECT id FROM m WHERE skip), acc AS (SELECT id FROM o UNION SELECT id FROM k)
+SELECT (SELECT count(*) FROM m) AS manifest_total, (SELECT count(*) FROM o WHERE r < 6) AS in_dataset, (SELECT count(*) FROM o WHERE r IN (6, 7)) AS excluded, (SELECT count(*) FROM o WHERE r > 7) AS dropped_degenerate, (SELECT count(*) FROM k) AS intentional_skips,
+(SELECT count(*) FROM m WHERE id NOT IN (SELECT id FROM acc)) AS real_gap_count, (SELECT count(*) FROM o WHERE id NOT IN (SELECT id FROM m)) AS extra_count""")
 def completeness(spark, d):
-    """AG26, J6, J11, U2, U3."""
-    s = lambda n: F.col("image_id").cast("long") % 10 == n
-    ids = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("image_id"))
-    o = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("image_id"))
-    skips = ids.where(s(7)).withColumn("issue", F.lit("skipped_or_empty"))
-    m = merge.Merged(o.where(F.col("image_id").cast("long") % 10 < 6), o.where(s(6)), o.limit(0), None, skips, None, None)
-    return merge.completeness(m, ids).select("manifest_total", "in_dataset", "excluded", "intentional_skips", "real_gap_count", F.col("extra_not_in_manifest_count").alias("extra_count"))
+    """AG26, J6, J11, U2, U3: orders are records of the three routes, customers the manifest and its skips."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("image_id"), F.when(F.col("c_nationkey") % 5 == 0, "skipped_or_empty").alias("issue"))
+    o = read(spark, d, "orders").select(F.expr(_IMAGE).alias("image_id"), (F.col("o_custkey") % 10).alias("r"))
+    m = merge.Merged(o.where("r < 6"), o.where("r in (6, 7)"), o.where("r > 7"), None, c, None, None)
+    return merge.completeness(m, c).select("manifest_total", "in_dataset", "excluded", "dropped_degenerate", "intentional_skips", "real_gap_count", F.col("extra_not_in_manifest_count").alias("extra_count"))
 
 
 @query(f"""WITH {ITEMS_SQL}, o AS (SELECT qa_type, count(*) AS observed FROM items GROUP BY 1), e AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v}::BIGINT)" for k, v in vocab.EXPECTED_COUNTS.items() if k != 'count')}) v(qa_type, expected))
@@ -245,13 +247,15 @@ def dimension_lookups(spark, d):
     return stats.with_split(o, nation).select("o_orderkey", "annotator", F.col("_split").alias("split"))
 
 
-@query("""WITH i AS (SELECT DISTINCT p_brand AS image_id, p_brand || '.jpg' AS image_file FROM part), f AS (SELECT DISTINCT CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 5 = 1 THEN p_brand || '.png' ELSE p_brand || '.jpg' END AS name FROM part WHERE p_brand <> 'Brand#11' AND NOT (p_brand = 'Brand#12' AND p_size % 5 > 1))
+_FILE = "CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_brand = 'Brand#11' THEN 'other' WHEN p_brand = 'Brand#12' AND p_size % 5 > 1 THEN p_brand || '_x.jpg' WHEN p_size % 5 = 1 THEN p_brand || '.png' ELSE p_brand || '.jpg' END"
+
+
+@query(f"""WITH i AS (SELECT DISTINCT p_brand AS image_id, p_brand || '.jpg' AS image_file FROM part), f AS (SELECT DISTINCT {_FILE} AS name FROM part)
 SELECT image_id, image_file, CASE WHEN count(name) = 0 THEN 'missing' WHEN NOT bool_or(name = image_file) THEN 'wrong_extension' ELSE 'ok' END AS status FROM i LEFT JOIN f ON regexp_replace(name, '[.][^.]*$', '') = image_id GROUP BY ALL""")
 def image_references(spark, d):
     """J8, F17."""
     p = read(spark, d, "part")
-    f = p.where("p_brand <> 'Brand#11' and not (p_brand = 'Brand#12' and p_size % 5 > 1)").select(F.when(F.col("p_size") % 5 == 0, None).when(F.col("p_size") % 5 == 1, F.concat("p_brand", F.lit(".png"))).otherwise(F.concat("p_brand", F.lit(".jpg"))).alias("name")).distinct()
-    return audit.image_check(p.select(F.col("p_brand").alias("image_id"), F.concat("p_brand", F.lit(".jpg")).alias("image_file")), f)
+    return audit.image_check(p.select(F.col("p_brand").alias("image_id"), F.concat("p_brand", F.lit(".jpg")).alias("image_file")), p.select(F.expr(_FILE).alias("name")).distinct())
 
 
 @query("""SELECT count(*) AS paths, count_if(contains(f, '/') OR contains(f, '\\'))::BIGINT AS with_folder, count_if(regexp_replace(regexp_extract(replace(f, '\\', '/'), '[^/]*$', 0), '[.][^.]*$', '') <> p_name)::BIGINT AS stem_differs

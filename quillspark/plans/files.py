@@ -130,8 +130,8 @@ def files_images(spark, d):
     name = F.concat(F.lit("House "), F.col("p_partkey") % 40 + 1, F.lit("/"), F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.lit(".png"))
     root = scratch.folder(spark, "images")
     writers.images(p.select(name.alias("dst_name"), content.alias("content")), root)
-    found = readers.image_folders(spark, root)
-    sizes = found.drop("content").join(images.dimensions(found), "name").withColumn("ok", F.col("w").isNotNull())
+    found = readers.image_folders(spark, root, content=False)
+    sizes = found.join(images.dimensions_at(found), "path").withColumn("ok", F.col("w").isNotNull())
     writers.manifest(images.manifest(images.number(sizes)), f"{root}-manifest")
     m = readers.csv(spark, f"{root}-manifest")
     return m.select("image_id", "original_filename", "original_relpath", scalars.as_int(F.col("orig_width")).alias("orig_width"), scalars.as_int(F.col("orig_height")).alias("orig_height"))

@@ -135,7 +135,7 @@ def _extension(c: Column) -> Column:
 def image_folders(spark: SparkSession, root: str, extensions: list[str] = vocab.INGEST_EXTENSIONS, content: bool = True) -> DataFrame:
     """folder, name, path (and content) of the images one level below ``root``."""
     df = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*")
-    parts = F.split(F.url_decode("path"), "/")
+    parts = F.split("path", "/")
     out = df.where(_extension(F.col("path")).isin(extensions)).select(F.get(parts, F.size(parts) - 2).alias("folder"), F.get(parts, F.size(parts) - 1).alias("name"), "path", *(["content"] if content else []))
     return out
 
@@ -143,4 +143,4 @@ def image_folders(spark: SparkSession, root: str, extensions: list[str] = vocab.
 def images(spark: SparkSession, root: str, extensions: list[str] = vocab.RESIZE_EXTENSIONS, content: bool = False) -> DataFrame:
     """name, path (and content) of the images in a flat folder; without content, no file is opened."""
     df = spark.read.format("binaryFile").load(root)
-    return df.where(_extension(F.col("path")).isin(extensions)).select(F.element_at(F.split(F.url_decode("path"), "/"), -1).alias("name"), "path", *(["content"] if content else []))
+    return df.where(_extension(F.col("path")).isin(extensions)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", *(["content"] if content else []))

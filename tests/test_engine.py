@@ -1,3 +1,4 @@
+import io
 import json
 import struct
 import zlib
@@ -127,6 +128,34 @@ def test_headers():
     assert images.header(b"II*\0\xff\xff\xff\x7f") is images.header(riff(b"VP8 ", b"")) is images.header(b"GIF") is None
 
 
+def test_sizes_by_range(spark, tmp_path):
+    # The size of the JPEG stands behind 300 kB of other segments, that of the TIFF at its end.
+    late = b"\xff\xd8" + (b"\xff\xe1" + struct.pack(">H", 60_000) + b"\xff" * 59_998) * 5 + b"\xff\xc0\x00\x11\x08" + struct.pack(">HH", 30, 40) + b"\x03" + b"\0" * 500_000
+    end = b"II*\0" + struct.pack("<I", 400_000) + b"\0" * 399_992 + struct.pack("<H", 2) + struct.pack("<HHIHH", 256, 3, 1, 640, 0) + struct.pack("<HHII", 257, 4, 1, 480)
+    heif = struct.pack(">I", 24) + b"ftypheic" + b"\0" * 16_360 + struct.pack(">I", 20) + b"ispe" + struct.pack(">III", 0, 320, 240)
+    files = {"a b.jpg": late, "é%.tif": end, "c.png": png(5, 6), "d.jpg": b"zz", "f.jpg": late[:200_000], "g.heic": heif, "h.gif": b"GIF89a"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    found = readers.images(spark, str(tmp_path), [".jpg", ".tif", ".png", ".heic", ".gif"])
+    got = {r.name: (r.w, r.h) for r in found.join(images.dimensions_at(found), "path").collect()}
+    assert got == {"a b.jpg": (40, 30), "é%.tif": (640, 480), "c.png": (5, 6), "d.jpg": (None, None), "f.jpg": (None, None), "g.heic": (320, 240), "h.gif": (None, None)}
+    assert {k: images.header(v) or (None, None) for k, v in files.items()} == got
+
+    class Counting(io.BytesIO):
+        read_ = 0
+
+        def size(self):
+            return len(self.getbuffer())
+
+        def read_at(self, n, at):
+            Counting.read_ += n
+            return self.getbuffer()[at : at + n].tobytes()
+
+    assert images.header(images.Ranges(Counting(late))) == (40, 30) and Counting.read_ < 200_000
+    Counting.read_ = 0
+    assert images.header(images.Ranges(Counting(end))) == (640, 480) and Counting.read_ < 50_000
+
+
 def test_images(spark, tmp_path):
     for folder, files in {"House 1": {"B.png": png(3000, 1500), "a.PNG": png(5, 6), "x.txt": b"", "bad.jpg": b"zz"}, "House 02": {"c.jpg": JPEG}, "misc": {"d.png": png(1, 1)}}.items():
         (tmp_path / folder).mkdir()

@@ -12,10 +12,11 @@ threshold of 0.85 meets in no table with a chance of 2.2e-5, at 0.9 of 3e-7.
    (for similarity at the threshold, ``r`` must reach the share of both sizes) takes out classes that are too far from all others.
 4. In each bucket a pivot is compared with the other members: rows grow with the members, never with pairs. That is done for one bucket in ``FIRST``, which
    connects most of a large group, and then for all buckets and the members that are not yet connected with their pivot. In buckets whose
-   members are not connected afterwards, members of different components that meet the bound are compared, each pair in the first bucket
+   members are not connected afterwards, members of different components that meet the bound are compared, each pair at the smallest key
    that it shares. Buckets of more than ``DIRECT`` open members first get more pivots, twice as many in each round, which are compared with all
-   members and are then done with, until fewer are open. Open members of a bucket are dealt to blocks of about ``MEMBERS`` members and ``SHINGLES`` shingles, and a task
-   compares two blocks through postings of their shingles: a row is a member in a block, never a pair, and only links that connect come out.
+   members and are then done with, until fewer are open. What is left is looked at by key of the first collection, so that a member is in at most ``tables`` groups: the members of open
+   buckets with this key are dealt to blocks of about ``MEMBERS`` members and ``SHINGLES`` shingles, and a task compares two blocks through postings of their shingles. A
+   row is a member in a block, never a pair, and only links that connect come out.
    So every pair that meets in a bucket is compared, bounded away or already connected.
    Pairs are confirmed on the words of the full shingle sets, not on hashes, by ``100 * intersection >= percent * union``. A pivot's text goes to ``SALT`` tasks, each
    of which compares a part of the members with it.
@@ -185,8 +186,20 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _sharing(lists_: pa.Array, m: int, below: int | None = None) -> np.ndarray:
+    """Which of ``m`` members share a key, or one that is smaller than ``below``."""
+    keys, of = lists_.flatten().to_numpy(), np.repeat(np.arange(m), lists_.value_lengths().to_numpy())
+    if below is not None:
+        keys, of = keys[keys < below], of[keys < below]
+    order, out = np.argsort(keys, kind="stable"), np.zeros((m, m), bool)
+    for some in np.split(of[order], np.flatnonzero(np.diff(keys[order])) + 1):
+        if len(some) > 1:
+            out[np.ix_(some, some)] = True
+    return out
+
+
 def _block_pairs(width: int, percent: int):
-    """Rows come sorted by bucket and pair of blocks (x, y): compares the members of the one block with those of the other, and gives links that connect them."""
+    """Rows come sorted by key and pair of blocks (x, y): compares the members of the one block with those of the other, and gives links that connect them."""
 
     def links(g) -> list[tuple[int, int]]:
         col = lambda k: g.column(k).to_numpy(zero_copy_only=False)
@@ -194,15 +207,9 @@ def _block_pairs(width: int, percent: int):
         x, y = g.column("x")[0].as_py(), g.column("y")[0].as_py()
         ok = (label[:, None] != label) & (np.minimum(r[:, None], r) * (100 + percent) >= (n[:, None] + n) * percent)
         ok &= np.triu(np.ones((m, m), bool), 1) if x == y else (own[:, None] == x) & (own == y)
-        # A pair is compared in the bucket of its smallest shared keys.
-        for side, key in (("a", "ka"), ("b", "kb")):
-            lists_, k = g.column(side), g.column(key)[0].as_py()
-            flat, of = lists_.flatten().to_numpy(), np.repeat(np.arange(m), lists_.value_lengths().to_numpy())
-            flat, of = flat[flat < k], of[flat < k]
-            order = np.argsort(flat, kind="stable")
-            for some in np.split(of[order], np.flatnonzero(np.diff(flat[order])) + 1):
-                if len(some) > 1:
-                    ok[np.ix_(some, some)] = False
+        # A pair is compared at the smallest key that it shares, if it shares one of the other collection too.
+        ok &= ~_sharing(g.column("a"), m, g.column("ka")[0].as_py())
+        ok &= _sharing(g.column("b"), m)
         if not ok.any():
             return []
         values, to, _ = _word_sets(g.column("text"), width)
@@ -221,7 +228,7 @@ def _block_pairs(width: int, percent: int):
         return out
 
     def run(batches):
-        keys = ["bucket", "x", "y"]
+        keys = ["ka", "x", "y"]
         for b in complete(batches, keys):
             new = np.zeros(b.num_rows, bool)
             new[0] = True
@@ -316,7 +323,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
 
     def rows(classes: DataFrame, *names: str) -> DataFrame:
         """A row for each class and table."""
-        return classes.select(*names, "a", "b", F.explode("a").alias("ka")).select(*names, "a", "b", "ka", F.explode("b").alias("kb")).withColumn("bucket", F.xxhash64("ka", "kb"))
+        return classes.select(*names, "b", F.explode("a").alias("ka")).select(*names, "ka", F.explode("b").alias("kb")).withColumn("bucket", F.xxhash64("ka", "kb"))
 
     # |x & y| <= r and |x | y| >= |x| + |y| - r, for the smaller r of both
     near = F.least("r", "r_p") * (100 + percent) >= (F.col("n") + F.col("n_p")) * percent
@@ -373,12 +380,14 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tables: in
         done = table(last if done is None else done.union(last), "done")
         release(left, seen)
         left, each = unconnected(done), 2 * each
-    blocks = left.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
-    dealt = left.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("c", "bucket"), F.col("blocks")))
+    members = table(left.select("ka", "c", "n", "r", "label").distinct(), "members")
+    blocks = members.groupBy("ka").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
+    dealt = members.join(blocks, "ka").withColumn("own", F.pmod(F.xxhash64("c", "ka"), F.col("blocks")))
     dealt = dealt.withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"x": F.least("own", "of"), "y": F.greatest("own", "of")})
-    keys = ["bucket", "x", "y"]
-    dealt = dealt.join(texts, "c").select(*keys, "own", "c", "label", "n", "r", "a", "b", "ka", "kb", "text").repartition(*keys).sortWithinPartitions(*keys)
+    keys = ["ka", "x", "y"]
+    dealt = dealt.join(texts.join(bounded.select("c", "a", "b"), "c"), "c").select(*keys, "own", "c", "label", "n", "r", "a", "b", "text").repartition(*keys).sortWithinPartitions(*keys)
     connect(dealt.mapInArrow(trimmed(_block_pairs(width, percent)), "c long, p long"))
+    release(members)
     release(left)
     named = classes.select("c", *same, "first_doc").join(labels, F.col("c") == F.col("node"), "left").select(*same, "first_doc", F.coalesce("label", "c").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))

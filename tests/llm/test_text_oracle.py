@@ -9,7 +9,8 @@ from quillspark.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     want = con.execute(queries.ORACLE[name])
     columns = [c[0] for c in want.description]
     df = queries.QUERIES[name](spark, sf_dir)

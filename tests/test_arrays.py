@@ -1,3 +1,4 @@
+import gzip
 import json
 import random
 
@@ -73,3 +74,22 @@ def test_release_as_one_document(spark, tmp_path, small_ranges):
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["release.json"]
     (tmp_path / "one.json").write_text('{"image_id": "H01_0001"}')
     assert [r.image_id for r in readers.records(spark, f"{tmp_path}/one.json").collect()] == ["H01_0001"]
+
+
+@pytest.mark.parametrize("separator", ["}", "\n"])
+def test_packed_files_are_held_to_the_same_rules(spark, tmp_path, separator):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # elements that batches break off in
+    want, bad = {"none.json.gz": []}, {"open": '[{"a": 1}', "two": '[{"a": 1}]]', "comma": '[{"a": 1} {"b": 2}]', "twice": '[{"a": 1},,{"b": 2}]', "end": '[{"a": 1},]', "object": '{"a": 1}', "mixed": '[1, {"a": 1}]', "string": '[{"a": "}]', "value": '[{"a": }]', "after": '[{"a": 1}] x', "nested": '[[{"a": 1}]]'}
+    for i, indent in enumerate((None, 2)):
+        want[f"f{i}.json.gz"] = HARD * (1 + i)
+        (tmp_path / f"f{i}.json.gz").write_bytes(gzip.compress(json.dumps(want[f"f{i}.json.gz"], indent=indent, ensure_ascii=False).encode()))
+    (tmp_path / "none.json.gz").write_bytes(gzip.compress(b" [ ]\n"))
+    for k, v in bad.items():
+        (tmp_path / f"{k}.json.gz").write_bytes(gzip.compress(v.encode()))
+    found, files = arrays.elements(spark, [f"{tmp_path}/*.json.gz"], separator=separator)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    name = lambda p: p.rsplit("/", 1)[1]
+    got = {name(r.path): [] for r in files.collect() if r.good}
+    for r in sorted(found.collect()):
+        got[name(r.path)].append(json.loads(r.json))
+    assert got == want and sorted(name(r.path) for r in files.collect() if not r.good) == sorted(f"{k}.json.gz" for k in bad)

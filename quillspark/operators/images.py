@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Callable, Iterator
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import geometry, scalars
+from ..sources.readers import store
 
 STATUS = "status string, src_name string, dst_name string, w int, h int, message string"
 
@@ -131,18 +130,14 @@ class Ranges:
         return -1
 
 
-def dimensions_at(images: DataFrame) -> DataFrame:
-    """(path, w, h) of images by their path in a store that all tasks reach: files are opened by range, and what is read of each is what its header takes;
+def sized(images: DataFrame) -> DataFrame:
+    """The images with w and h, by their path in a store that all tasks reach: files are opened by range, and what is read of each is what its header takes;
     null where it can't be read."""
 
     def size(path: str) -> tuple[int | None, int | None]:
-        from pyarrow import fs
-
         try:
-            # Paths of Spark are not encoded, and a local one has a single slash.
-            local = re.sub("^file:/+", "/", path)
-            store, name = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(quote(path, safe=":/@"))
-            with store.open_input_file(name) as f:
+            files, name = store(path)
+            with files.open_input_file(name) as f:
                 return header(Ranges(f)) or (None, None)
         except (OSError, ValueError, struct.error):
             return None, None
@@ -150,9 +145,14 @@ def dimensions_at(images: DataFrame) -> DataFrame:
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             d = [size(p) for p in pdf["path"]]
-            yield pd.DataFrame({"path": pdf["path"], "w": pd.array([x[0] for x in d], "Int32"), "h": pd.array([x[1] for x in d], "Int32")})
+            yield pdf.assign(w=pd.array([x[0] for x in d], "Int32"), h=pd.array([x[1] for x in d], "Int32"))
+
+    return images.mapInPandas(read, ", ".join([*(f"`{c}` {t}" for c, t in images.dtypes), "w int, h int"]))
 
-    return images.select("path").mapInPandas(read, "path string, w int, h int")
+
+def dimensions_at(images: DataFrame) -> DataFrame:
+    """(path, w, h) of images (``sized``)."""
+    return sized(images.select("path"))
 
 
 def number(images: DataFrame, ok: str = "ok") -> DataFrame:

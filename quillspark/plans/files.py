@@ -14,6 +14,8 @@ from .registry import query, read
 
 TYPES = list(vocab.GROUPS)
 _TYPES_SQL = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
+#: Images that one task writes.
+_IMAGES = 5000
 #: Conversations of one record file.
 _RECORDS = 20
 _PAIRS = f"""t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS gold FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -125,13 +127,15 @@ SELECT printf('H%02d_%04d', house, row_number() OVER (PARTITION BY house ORDER B
 def files_images(spark, d):
     """Image files are written into folders of houses, some of them no images, and those that have a size are numbered for the manifest."""
     p = read(spark, d, "part")
+    # Rows are small and files are not: a part of the table in a task is too much to write.
+    p = p.select("p_partkey", "p_size").repartition(max(spark.sparkContext.defaultParallelism, p.count() // _IMAGES))
     content = F.when(F.col("p_size") % 7 == 0, F.encode(F.lit("none"), "UTF-8")).otherwise(_png(F.col("p_size") * 100, F.col("p_partkey") % 900 + 100))
     # Names sort as numbers do.
     name = F.concat(F.lit("House "), F.col("p_partkey") % 40 + 1, F.lit("/"), F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.lit(".png"))
     root = scratch.folder(spark, "images")
     writers.images(p.select(name.alias("dst_name"), content.alias("content")), root)
     found = readers.image_folders(spark, root, content=False)
-    sizes = found.join(images.dimensions_at(found), "path").withColumn("ok", F.col("w").isNotNull())
+    sizes = images.sized(found).withColumn("ok", F.col("w").isNotNull())
     writers.manifest(images.manifest(images.number(sizes)), f"{root}-manifest")
     m = readers.csv(spark, f"{root}-manifest")
     return m.select("image_id", "original_filename", "original_relpath", scalars.as_int(F.col("orig_width")).alias("orig_width"), scalars.as_int(F.col("orig_height")).alias("orig_height"))

@@ -86,11 +86,14 @@ def images(made: DataFrame, root: str) -> DataFrame:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(root)
+        made_folders = set()
         for b in batches:
             names, sizes = [], []
             for name, content in zip(b.column("dst_name").to_pylist(), b.column("content").to_pylist()):
                 path = f"{base.rstrip('/')}/{name}"
-                store.create_dir(path.rpartition("/")[0], recursive=True)
+                if (folder := path.rpartition("/")[0]) not in made_folders:
+                    store.create_dir(folder, recursive=True)
+                    made_folders.add(folder)
                 part = f"{path}.{uuid.uuid4().hex}.part"
                 with store.open_output_stream(part) as f:
                     f.write(content)

@@ -79,7 +79,7 @@ class Store:
         tasks, bad = readers.exports(self.spark, new)
         later = len(state.files)
         tasks_at, seen = self._write(merge.picked(tasks.withColumn("file_no", F.col("file_no") + later)), "tasks")
-        records_at, every = self._write(merge.records(seen, assignment, manifest, self.options), "records")
+        records_at, every = self._write(merge.records(seen, assignment, merge.sizes_of(manifest, seen.where("issue is null")), self.options), "records")
         last = merge.last_routed(every, self.options)
         keyed = last.withColumn("_bucket", F.pmod(F.xxhash64("image_id"), F.lit(BUCKETS)).cast("string"))
         keyed = self._write(keyed, "new")[1]

@@ -124,3 +124,16 @@ def test_options(spark, tmp_path, merged):
     with pytest.raises(ValueError):
         (tmp_path / "bad.csv").write_text("house_id,x\nH01,1\n")
         readers.assignment(spark, f"{tmp_path}/bad.csv")
+
+
+def test_exports_are_kept_as_what_is_picked(spark, tmp_path):
+    result = [*SCENE, choice("exclude", "a"), choice("exclude", "b"), rect("r1", -5, 1, 9, 9), rect("r2", 2, 1, 50, 120), rect(None, 1, 1, 1, 1)]
+    (tmp_path / "p.json").write_text(json.dumps([task("H01_0001", result), task("H01_0001", SCENE), {"id": 2, "file_upload": "H02_0002.jpg", "annotations": []}]))
+    seen, _ = readers.exports(spark, [f"{tmp_path}/p.json"], pick=merge.pick)
+    (tmp_path / "p.json").unlink()
+    assert sorted((r.pos, r.image_id, r["_exclude"], r.issue) for r in seen.collect()) == [(0, "H01_0001", "b", None), (1, "H01_0001", "", None), (2, "H02_0002", "", "skipped_or_empty")]
+    m = merge.merge(seen, readers.assignment(spark, None), readers.manifest(spark, None))
+    assert [(r.pos, len(r.objects)) for r in m.records.collect()] == [(1, 1)] and [(r.pos, r["_exclude"]) for r in m.excluded.collect()] == [(0, "b")]
+    want = [(r.pos, i, *[b[c] for c in ("object_id", "bbox", "over_px", "lost", "out_of_frame", "degenerate")]) for r in m.all_records.select("pos", "_boxes").collect() for i, b in enumerate(r["_boxes"])]
+    got = m.boxes.select("pos", "i", "object_id", "bbox", "over_px", "lost", "out_of_frame", "degenerate").collect()
+    assert len(want) == 3 and sorted(map(tuple, got)) == sorted(want)

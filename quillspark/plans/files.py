@@ -95,13 +95,15 @@ median(length(question))::DOUBLE AS q_chars, median(len(list_filter(string_split
 count_if(boxes > 0 AND cap = 'O')::BIGINT AS with_box_o, count(DISTINCT cap || '|' || question)::INT AS capture_x_room, (SELECT count(*) FROM r WHERE split = 'val') AS val_images, count_if(question LIKE '1%')::BIGINT AS counted FROM r""")
 def files_release(spark, d):
     """S3, S4, S6, K1, AG4, AG5, AG7, AG10 and the rest of the summary: a release is written as one JSON document, read back, and summed up with the splits of a CSV file."""
-    box = F.struct(F.concat("l_orderkey", F.lit("_b"), "l_linenumber").alias("object_id"), F.lit("চেয়ার").alias("bangla_name"), F.array(F.lit(0), F.lit(0), F.lit(4), F.lit(3)).alias("bbox"), F.array(F.lit(0.0)).alias("bbox_pct"))
-    lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(box).alias("objects"))
+    # Only line numbers are grouped and joined; boxes are made of them behind that.
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct("l_linenumber")).alias("l"))
+    object_id = lambda x: F.concat("o_orderkey", F.lit("_b"), x["l_linenumber"])
+    box = lambda x: F.struct(object_id(x).alias("object_id"), F.lit("চেয়ার").alias("bangla_name"), F.array(F.lit(0), F.lit(0), F.lit(4), F.lit(3)).alias("bbox"), F.array(F.lit(0.0)).alias("bbox_pct"))
     kind = F.when(F.startswith("o_orderpriority", F.lit("1")), "count").otherwise("object")
     qa = F.array(F.struct(F.concat("o_orderkey", F.lit("_q1")).alias("qa_id"), kind.alias("type"), F.col("o_orderpriority").alias("question"), F.concat(F.lit("C"), "o_custkey").alias("answer")))
     o = read(spark, d, "orders").join(lines, "o_orderkey", "left")
     house = F.concat(F.lit("H"), F.col("o_custkey") % 97)
-    r = o.select(F.col("o_orderkey").cast("string").alias("image_id"), house.alias("house_id"), F.concat(F.lit("A"), F.col("o_custkey") % 7).alias("annotator_id"), F.lit("x.jpg").alias("image_file"), F.lit(40).alias("image_w"), F.lit(30).alias("image_h"), F.col("o_orderstatus").alias("capture_type"), F.col("o_orderpriority").alias("room_type"), F.coalesce("objects", F.array().cast(f"array<{vocab.BOX}>")).alias("objects"), qa.alias("qa_pairs"))
+    r = o.select(F.col("o_orderkey").cast("string").alias("image_id"), house.alias("house_id"), F.concat(F.lit("A"), F.col("o_custkey") % 7).alias("annotator_id"), F.lit("x.jpg").alias("image_file"), F.lit(40).alias("image_w"), F.lit(30).alias("image_h"), F.col("o_orderstatus").alias("capture_type"), F.col("o_orderpriority").alias("room_type"), F.coalesce(F.transform("l", box), F.array().cast(f"array<{vocab.BOX}>")).alias("objects"), qa.alias("qa_pairs"))
     root = scratch.folder(spark, "release")
     writers.document(r, f"{root}.json")
     splits = o.select(house.alias("house_id"), F.expr(_HOUSE_SPLIT).alias("split")).where("split <> ''").distinct()

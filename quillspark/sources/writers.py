@@ -28,12 +28,13 @@ def release(df: DataFrame, path: str) -> None:
 
 def document(df: DataFrame, path: str, order: str = "image_id") -> None:
     """Records as one JSON array in one file, ordered over the parts that tasks write side by side: each row brings the separator before it, the first the bracket. The
-    parts, in their order, and the closing bracket are then copied together, and the file is renamed to ``path``."""
+    parts, which are packed, and the closing bracket are then copied together in their order, each part goes when it has been copied, and the file is renamed to ``path``."""
     spark, staged = df.sparkSession, scratch.folder(df.sparkSession, "document")
     rows = public(df)
     json = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
     lines = rows.select(F.col(order).alias("_order"), json.alias("_json")).orderBy("_order", "_json")
-    lines.select(F.concat(F.when(F.monotonically_increasing_id() == 0, "[").otherwise(","), "_json").alias("value")).write.text(staged)
+    with scratch.freed(spark):
+        lines.select(F.concat(F.when(F.monotonically_increasing_id() == 0, "[").otherwise(","), "_json").alias("value")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(staged)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     name = jvm.org.apache.hadoop.fs.Path
     fs = name(staged).getFileSystem(conf)
@@ -42,10 +43,11 @@ def document(df: DataFrame, path: str, order: str = "image_id") -> None:
     out = fs.create(whole, True)
     try:
         for p in parts:  # bytes are handed through, a buffer at a time
-            source = fs.open(p)
+            source = jvm.java.util.zip.GZIPInputStream(fs.open(p))
             jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
             source.close()
-        out.write(b"]\n" if parts else b"[]\n")
+            fs.delete(p, False)
+        out.write(b"]\n" if out.getPos() else b"[]\n")  # a packed part without rows has some bytes
     finally:
         out.close()
     fs.delete(name(staged), True)

@@ -93,3 +93,14 @@ def test_packed_files_are_held_to_the_same_rules(spark, tmp_path, separator):
     for r in sorted(found.collect()):
         got[name(r.path)].append(json.loads(r.json))
     assert got == want and sorted(name(r.path) for r in files.collect() if not r.good) == sorted(f"{k}.json.gz" for k in bad)
+
+
+def test_parts_of_a_document_are_packed_and_go_when_copied(spark, tmp_path, monkeypatch):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    staged = tmp_path / "staged"
+    monkeypatch.setattr(writers.scratch, "folder", lambda *a: str(staged))
+    seen = []
+    monkeypatch.setattr(writers.scratch, "freed", lambda s, f=writers.scratch.freed: seen.append(1) or f(s))
+    writers.document(spark.range(9).selectExpr("cast(id as string) image_id").repartition(3), f"{tmp_path}/r.json")
+    assert [r["image_id"] for r in json.loads((tmp_path / "r.json").read_text())] == [str(i) for i in range(9)]
+    assert seen and not staged.exists() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before

@@ -2,9 +2,12 @@
 
 import pytest
 
+from quillspark.operators import merge
 from quillspark.plans import catalog, merging
 from quillspark.sources import scratch
 
+PARTS = ["counts", "records_with_box_by_capture", "normalization", "bbox_clipping", "capture_x_room", "images_per_annotator", "completeness", "rows"]
+
 
 @pytest.fixture
 def waves(spark, monkeypatch, tmp_path):
@@ -51,3 +54,18 @@ def test_queries_of_the_last_records_leave_no_tasks(spark, sf_dir, waves, monkey
     got = _rows(df)
     monkeypatch.setattr(merging, "_WAVE", 8)
     assert got and got == _rows(catalog.QUERIES[name](spark, sf_dir))
+
+
+def test_a_report_makes_what_is_asked_for(spark, sf_dir, monkeypatch):
+    made, table = [], scratch.table
+    monkeypatch.setattr(scratch, "table", lambda df, name: made.append(name) or table(df, name))
+    got = catalog.QUERIES["merge_report"](spark, sf_dir)
+    assert "records" in made and not {"boxes", "accounts"} & set(made)
+    m, manifest = merging._merged(spark, sf_dir)
+    whole = merge.report(m, manifest, "release").cache().first()
+    assert got.first().total == whole.counts.total and set(whole.asDict()) == {"schema_version", "out_file", "thresholds", *PARTS}
+    for part in PARTS:
+        one = merge.report(m, manifest, "release", parts=[part])
+        assert one.columns == ["schema_version", "out_file", "thresholds", part] and one.first()[part] == whole[part]
+    with pytest.raises(ValueError):
+        merge.report(m, manifest, "release", parts=["none"])

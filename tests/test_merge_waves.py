@@ -46,7 +46,7 @@ def test_keys_without_a_number_or_below_zero_come_in_the_first_wave(spark, tmp_p
     assert len(waves) == 3 and got == order(merging._read(spark, f"{tmp_path}/t")) and len(got) == len(keys)
 
 
-@pytest.mark.parametrize("name", ["merge_pairs", "merge_records", "merge_problem_kinds"])
+@pytest.mark.parametrize("name", ["merge_pairs", "merge_routes", "merge_records", "merge_problem_kinds"])
 def test_queries_of_the_last_records_leave_no_tasks(spark, sf_dir, waves, monkeypatch, tmp_path, name):
     df = catalog.QUERIES[name](spark, sf_dir)
     left = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
